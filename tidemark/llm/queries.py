@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .langid import op10_language_id
+from .mixing import OP9_SQL, op9_mixing
 from .simhash import op6_simhash_near_dedup
 
 QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
