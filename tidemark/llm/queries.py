@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .langid import op10_language_id
 from .mixing import OP9_SQL, op9_mixing
+from .sentencepieces import op8_sentencepiece
 from .simhash import op6_simhash_near_dedup
 
 QUERIES = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
