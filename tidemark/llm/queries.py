@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .langid import op10_language_id
 from .mixing import OP9_SQL, op9_mixing
+from .secrets import OP2_SQL, op2_secret_scan
 from .sentencepieces import op8_sentencepiece
 from .simhash import op6_simhash_near_dedup
+from .urlfilter import OP1_SQL, op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_secret_scan": op2_secret_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op9_mixing": OP9_SQL}
