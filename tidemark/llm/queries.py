@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .additive import op7_additive_quantisation
+from .html import op3_html_extraction
 from .langid import op10_language_id
 from .mixing import OP9_SQL, op9_mixing
 from .secrets import OP2_SQL, op2_secret_scan
@@ -12,7 +14,9 @@ from .urlfilter import OP1_SQL, op1_url_filter
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
+    "op3_html_extraction": op3_html_extraction,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_additive_quantisation": op7_additive_quantisation,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
