@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, table
-from .vectors import kmeans, matrix, usable
+from .vectors import distances, kmeans, matrix, usable
 
 BOOKS, WORDS, BEAM = 48, 64, 4
 SAMPLE = 4096
@@ -141,11 +141,11 @@ def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarra
                 first = np.argpartition(column, some - 1)[:some]
                 limit = best_d[q, -1]
                 if some == k and np.isfinite(column[first]).all():
-                    limit = min(limit, np.sqrt(((x[first] - queries[q]) ** 2).sum(axis=1)).max())
+                    limit = min(limit, distances(x[first], queries[q]).max())
                 rerank = np.flatnonzero((column - error <= limit + slack) & np.isfinite(column))
                 if not len(rerank):
                     continue
-                exact = np.sqrt(((x[rerank] - queries[q]) ** 2).sum(axis=1))
+                exact = distances(x[rerank], queries[q])
                 d, i = np.concatenate([best_d[q], exact]), np.concatenate([best_i[q], row_ids[rerank]])
                 order = np.lexsort((i, d))[:k]
                 best_d[q], best_i[q] = d[order], i[order]
@@ -181,3 +181,12 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
 # ---------------------------------------------------------------- query
 def op7_additive_quantisation(spark, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
+OP7_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS n FROM p)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10"""

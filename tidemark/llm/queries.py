@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .additive import op7_additive_quantisation
+from .additive import OP7_SQL, op7_additive_quantisation
 from .html import op3_html_extraction
 from .langid import op10_language_id
 from .mixing import OP9_SQL, op9_mixing
@@ -22,4 +22,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op7_additive_quantisation": OP7_SQL, "op9_mixing": OP9_SQL}

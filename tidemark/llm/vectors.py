@@ -21,6 +21,15 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows from one vector, squares added in order of the components."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        gap = x[:, j] - q[j]
+        out += gap * gap
+    return np.sqrt(out)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     centres = x[rng.choice(len(x), size=k, replace=len(x) < k)].copy()
     for _ in range(rounds):
