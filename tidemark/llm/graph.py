@@ -4,7 +4,7 @@ Vectors of one label are dealt to clusters, each vector to its OVERLAP nearest,
 graph is built: every vector's nearest candidates are pruned robustly (a candidate goes if a kept one is ALPHA times
 nearer to it than the vector itself), links are made mutual and pruned again. The adjacency lists that a vector got in
 its shards are united. Then each shard is searched for every vector in it, on the united lists: greedily with a beam,
-from the shard's medoid and from the vector's own place, and from there the search widens over every vector within the
+from the shard's medoids and from the vector's own place and list, and from there the search widens over every vector within the
 radius until none is new. A pair counts as linked only once its cosine is verified in double precision. audit() compares
 with brute force.
 
@@ -40,8 +40,8 @@ SHARD, BLOCK = 1024, 2048
 OVERLAP, SAMPLE, CENTRES = 3, 20_000, 4096
 #: A shard is split only if it also holds more than this part of all rows; so there are at most that many to broadcast.
 SPLIT_KEYS = 50_000
-#: Neighbours of a vector in one graph, candidates for them, pruning factor, and width of the search.
-DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 32
+#: Near and far neighbours of a vector in one graph, candidates for them, pruning factor, width of the search, entries.
+DEGREE, FAR, POOL, ALPHA, BEAM, MEDOIDS = 24, 8, 64, 1.2, 32, 16
 
 
 # ---------------------------------------------------------------- graph
@@ -83,10 +83,19 @@ def _nearest(unit: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_graph(unit: np.ndarray) -> np.ndarray:
-    """(n, 2 * DEGREE) neighbours, -1 where fewer."""
+    """(n, 2 * DEGREE + FAR) neighbours, -1 where fewer.
+
+    A tight group's nearest candidates are all its own; so FAR neighbours are pruned from random candidates, nearest first,
+    and keep every group within reach.
+    """
     n = len(unit)
     if n < 2:
-        return np.full((n, 2 * DEGREE), -1, dtype=np.int64)
+        return np.full((n, 1), -1, dtype=np.int64)
+    some = np.random.default_rng(n).integers(0, n, size=(n, min(n, POOL)))
+    some[some == np.arange(n)[:, None]] = -1
+    sims = np.where(some >= 0, np.einsum("npd,nd->np", unit[np.maximum(some, 0)], unit), -2.0)
+    by = np.argsort(-sims, axis=1, kind="stable")
+    far = robust_prune(unit, np.take_along_axis(some, by, 1), np.take_along_axis(sims, by, 1), FAR)
     one_way = robust_prune(unit, *_nearest(unit, POOL))
     a, slot = np.nonzero(one_way >= 0)
     b = one_way[a, slot]
@@ -101,14 +110,30 @@ def build_graph(unit: np.ndarray) -> np.ndarray:
     mutual, near = np.full((n, width), -1, dtype=np.int64), np.full((n, width), -2.0)
     fits = place < width
     mutual[a[fits], place[fits]], near[a[fits], place[fits]] = b[fits], sims[fits]
-    return robust_prune(unit, mutual, near, 2 * DEGREE)
+    return np.concatenate([robust_prune(unit, mutual, near, 2 * DEGREE), far], axis=1)
+
+
+class Mutual:
+    """Adjacency lists of n vectors with every link in both directions, so pruning leaves none that can't be reached."""
 
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray):
+        pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
+        self.next = pairs % max(n, 1)
+        self.begin = np.searchsorted(pairs // max(n, 1), np.arange(n + 1))
 
-def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, vector) of cosine at least `cosine`. own: the query's place in the graph, or -1."""
+    def expand(self, who: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each (who, node) turned into (who, neighbour) for all neighbours."""
+        many = self.begin[node + 1] - self.begin[node]
+        start = np.repeat(self.begin[node] - np.concatenate(([0], np.cumsum(many)[:-1])), many)
+        return np.repeat(who, many), self.next[start + np.arange(len(start))]
+
+
+def range_search(unit: np.ndarray, graph: Mutual, queries: np.ndarray, own: np.ndarray, known: tuple[np.ndarray, np.ndarray], cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) of cosine at least `cosine`. own: the query's place in the graph, or -1. known: pairs (query,
+    vector) to start from, by query; beside them every search starts from the medoids."""
     n, out_q, out_v = len(unit), [], []
-    centre = unit.mean(axis=0)
-    medoid = int(np.argmax(unit @ centre))
+    centres = kmeans(unit, min(MEDOIDS, n), 3, np.random.default_rng(n))
+    medoids = np.unique(np.argmax(unit @ centres.T, axis=0))
     for at in range(0, len(queries), 128):
         q, mine = queries[at : at + 128], own[at : at + 128]
         count = len(q)
@@ -128,7 +153,11 @@ def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, own:
                 sims[who[part], what[part]] = np.einsum("pd,pd->p", q[who[part]], unit[what[part]])
             return who, what
 
-        look(np.concatenate([rows, rows[mine >= 0]]), np.concatenate([np.full(count, medoid), mine[mine >= 0]]))
+        part = slice(*np.searchsorted(known[0], (at, at + count)))
+        look(
+            np.concatenate([np.repeat(rows, len(medoids)), rows[mine >= 0], known[0][part] - at]),
+            np.concatenate([np.tile(medoids, count), mine[mine >= 0], known[1][part]]),
+        )
         done = np.zeros((count, n), dtype=bool)
         width = min(BEAM, n)
         while True:  # one step of every query that isn't finished
@@ -140,18 +169,14 @@ def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, own:
                 break
             node = beam[who, best[who, slot]]
             done[who, node] = True
-            next_to = graph[node]
-            a, b = np.nonzero(next_to >= 0)
-            look(who[a], next_to[a, b])
+            look(*graph.expand(who, node))
         hits = (sims >= cosine) & ~done
         while hits.any():  # widen over all within the radius
             who, node = np.nonzero(hits)
             done |= hits
             hits = np.zeros_like(hits)
             for k in range(0, len(who), 16_384):
-                next_to = graph[node[k : k + 16_384]]
-                a, b = np.nonzero(next_to >= 0)
-                w, v = look(who[k : k + 16_384][a], next_to[a, b])
+                w, v = look(*graph.expand(who[k : k + 16_384], node[k : k + 16_384]))
                 hits[w, v] = sims[w, v] >= cosine
         found = sims >= cosine
         found[rows[mine >= 0], mine[mine >= 0]] = False
@@ -258,13 +283,13 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Reco
         if not len(inside):
             continue
         place = {int(node[i]): k for k, i in enumerate(inside)}
-        lists = [[place[x] for x in group.column(9)[int(i)].as_py() or [] if x in place] for i in inside]
-        graph = np.full((len(inside), max(1, max(map(len, lists)))), -1, dtype=np.int64)
-        for k, row in enumerate(lists):
-            graph[k, : len(row)] = row
+        lists = [[place[x] for x in row or [] if x in place] for row in group.column(9).to_pylist()]
+        begin = np.repeat(np.arange(len(node)), [len(x) for x in lists])
+        end = np.array([x for row in lists for x in row], dtype=np.int64)
         at = np.full(len(node), -1, dtype=np.int64)
         at[inside] = np.arange(len(inside))
-        q, v = range_search(unit[inside], graph, unit, at, cosine)
+        mutual = at[begin] >= 0
+        q, v = range_search(unit[inside], Mutual(len(inside), at[begin[mutual]], end[mutual]), unit, at, (begin, end), cosine)
         v = inside[v]
         # Count a pair in the first shard that both are in.
         seats = np.full((len(node), OVERLAP), -1, dtype=np.int64)
@@ -303,7 +328,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     least = max(BLOCK, OVERLAP * nodes.count() // SPLIT_KEYS)
     large = sizes.where(F.col("count") > least).select("label", "d", "shard", F.ceil(F.col("count") / SHARD).cast("int").alias("blocks"))
     dealt = dealt.join(F.broadcast(cut(large)), ["label", "d", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    # A vector's blocks differ from shard to shard, so its united list reaches into other blocks than its own.
+    block = F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int")
     keys = ["label", "d", "shard", "block"]
     in_blocks = dealt.withColumn("block", block).select(*keys, "node", "v").repartition(*keys).sortWithinPartitions(*keys, "node")
     label_type = nodes.schema["label"].dataType.simpleString()
@@ -364,3 +390,16 @@ def audit(vectors: DataFrame, result: DataFrame, sample: int = 200, id_col: str
 # ---------------------------------------------------------------- query
 def op4_graph_near_dedup(spark, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+OP4_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {COSINE}),
+reach AS (SELECT a AS node, a AS seen FROM link UNION SELECT reach.node, link.b FROM reach JOIN link ON reach.seen = link.a),
+comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node),
+many AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(many.n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(vec_id = coalesce(component, vec_id), false) AS kept
+FROM embeddings LEFT JOIN many ON vec_id = many.a LEFT JOIN comp ON vec_id = comp.node"""

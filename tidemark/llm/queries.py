@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .additive import OP7_SQL, op7_additive_quantisation
+from .graph import OP4_SQL, op4_graph_near_dedup
 from .html import op3_html_extraction
 from .langid import op10_language_id
 from .mixing import OP9_SQL, op9_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op3_html_extraction": op3_html_extraction,
+    "op4_graph_near_dedup": op4_graph_near_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_additive_quantisation": op7_additive_quantisation,
     "op8_sentencepiece": op8_sentencepiece,
@@ -22,4 +24,10 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_secret_scan": OP2_SQL, "op7_additive_quantisation": OP7_SQL, "op9_mixing": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
+    "op2_secret_scan": OP2_SQL,
+    "op4_graph_near_dedup": OP4_SQL,
+    "op7_additive_quantisation": OP7_SQL,
+    "op9_mixing": OP9_SQL,
+}
