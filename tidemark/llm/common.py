@@ -28,16 +28,17 @@ def ensure_shared_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(named)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    ensure_shared_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there, so a lost executor costs no recomputation of what came before."""
     ensure_shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def plain_text(column: str | Column) -> Column:
     """The text, or the empty text for null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

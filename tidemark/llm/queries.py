@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .additive import OP7_SQL, op7_additive_quantisation
+from .chat import op5_tool_call_linking
 from .graph import OP4_SQL, op4_graph_near_dedup
 from .html import op3_html_extraction
 from .langid import op10_language_id
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_html_extraction": op3_html_extraction,
     "op4_graph_near_dedup": op4_graph_near_dedup,
+    "op5_tool_call_linking": op5_tool_call_linking,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_additive_quantisation": op7_additive_quantisation,
     "op8_sentencepiece": op8_sentencepiece,
