@@ -1,25 +1,79 @@
-"""Replay of committed row changes into final table state, as joins and aggregates."""
+"""Replay of committed row changes into final table state, as joins and aggregates.
+
+One aggregate per key finds the last deletion, the last creation behind it, and the last values; so a replay is one
+shuffle of the log and, with a base table, one join. An update never makes a row: it is lost on a key that isn't alive.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WRITES = ("c", "u")
+
+
+def _writes() -> Column:
+    return F.col("op").isin(*WRITES)
+
 
-def replay(log: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    """log(keys, order columns, op, after struct with full images) -> live rows with the last image of each key.
+def replay(log: DataFrame, keys: list[str], order: list[str], columns: list[str], barrier: Column | None = None) -> DataFrame:
+    """log(keys, order columns, op, after struct of full images) -> the live rows: keys, columns, last_lsn.
 
-    A key lives if a create follows its last delete; an update of a dead key does nothing. One aggregate per key finds the
-    last delete and, for creates and updates alike, the largest order beyond it, so one shuffle suffices.
+    barrier: an order struct; what came before it (a truncation) is gone.
     """
     at = F.struct(*order)
+    if barrier is not None:
+        log = log.where(at > barrier)
     marks = log.groupBy(*keys).agg(
         F.max(F.when(F.col("op") == "d", at)).alias("last_d"),
         F.max(F.when(F.col("op") == "c", at)).alias("last_c"),
-        F.max(F.when(F.col("op").isin("c", "u"), at)).alias("last_at"),
-        F.max_by("after", F.when(F.col("op").isin("c", "u"), at)).alias("image"),
+        F.max(F.when(_writes(), at)).alias("last_at"),
+        F.max_by("after", F.when(_writes(), at)).alias("image"),
     )
     alive = F.col("last_c").isNotNull() & (F.col("last_d").isNull() | (F.col("last_c") > F.col("last_d")))
-    return marks.where(alive).select(
-        *keys, *[F.col("image")[c].alias(c) for c in columns], F.col("last_at")[order[-1]].alias("last_lsn")
+    return marks.where(alive).select(*keys, *[F.col("image")[c].alias(c) for c in columns], F.col("last_at")[order[-1]].alias("last_lsn"))
+
+
+def replay_onto(base: DataFrame, log: DataFrame, keys: list[str], order: list[str], columns: list[str], present: dict[str, Column] | None = None, null_safe: bool = False) -> DataFrame:
+    """The base table after the log: keys and columns.
+
+    log has one column for each of `columns`. present says, for each column, whether a row's image has it; a column that an
+    image lacks keeps its value. A row lives if a creation follows its last deletion, or if there is neither and the base
+    has it. null_safe joins keys as equal where both are null (full row identity); plain keys never match on null.
+
+    The log is folded twice over the same partitioning: once for the last deletion and creation, once for each column's
+    last value at or after the row's start.
+    """
+    at = F.struct(*order)
+    present = present or {}
+    marks = log.groupBy(*keys).agg(
+        F.max(F.when(F.col("op") == "d", at)).alias("last_d"),
+        # Everything in order, so the start of the present life is found in one pass: the last creation behind the last deletion.
+        F.max(F.when(F.col("op") == "c", at)).alias("last_c"),
+        *[
+            F.max(F.when(_writes() & present.get(c, F.lit(True)), F.struct(at.alias("at"), F.col(c).alias("v")))).alias(f"last_{c}")
+            for c in columns
+        ],
     )
+    created = F.col("last_c").isNotNull() & (F.col("last_d").isNull() | (F.col("last_c") > F.col("last_d")))
+    k = {c: f"__k_{c}" for c in keys}
+    b = base.select(*[F.col(c).alias(k[c]) for c in keys], *[F.col(c).alias(f"__b_{c}") for c in columns], F.lit(True).alias("__in"))
+    same = [F.col(c).eqNullSafe(F.col(k[c])) if null_safe else F.col(c) == F.col(k[c]) for c in keys]
+    both = marks.join(b, same, "full_outer")
+    in_base = F.coalesce(F.col("__in"), F.lit(False))
+    alive = F.coalesce(created, F.lit(False)) | (F.col("last_d").isNull() & in_base)
+    out = []
+    for c in columns:
+        last, start = F.col(f"last_{c}"), F.col("last_c")
+        fresh = F.coalesce(created, F.lit(False))
+        from_log = last.isNotNull() & (~fresh | (last["at"] >= start))
+        out.append(F.when(from_log, last["v"]).when(~fresh, F.col(f"__b_{c}")).alias(c))
+    return both.where(alive).select(*[F.coalesce(c, k[c]).alias(c) for c in keys], *out)
+
+
+def truncations(log: DataFrame) -> DataFrame:
+    """(schema, table, lsn): the last truncation of each table; a truncation of several tables counts for each."""
+    from .mapping import table_spec
+
+    spec = table_spec(F.col("t"))
+    return log.where(F.col("event") == "t").select(F.explode("tables").alias("t"), "lsn").groupBy(spec["schema"].alias("schema"), spec["table"].alias("table")).agg(F.max("lsn").alias("lsn"))
