@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SinkError
 from ..functions.dialects import SQLITE
+from ..functions.sqltext import split_statements
 from ..operators.render import change_sql
 from .registry import Hook, register_sink
 
@@ -37,14 +38,13 @@ class SqliteSink:
         if batch_id <= last_batch:
             return
         rows = batch.where(F.col("commit_lsn") > last_lsn) if last_lsn else batch
-        rows = rows.select("commit_lsn", "tx_id", "lsn", "seq", change_sql(SQLITE, self.mappings).alias("sql"))
-        rows = rows.orderBy(F.asc_nulls_last("commit_lsn"), "tx_id", "lsn", "seq")
+        rows = rows.select("commit_lsn", "tx_id", "lsn", "seq", "event", change_sql(SQLITE, self.mappings).alias("sql"))
+        rows = rows.where("sql is not null").orderBy(F.asc_nulls_last("commit_lsn"), "tx_id", "lsn", "seq")
         self.db.execute("BEGIN IMMEDIATE")
         try:
             for row in rows.toLocalIterator():
-                for statement in (row["sql"] or "").split("\n") if row["sql"] and row["sql"].startswith("DELETE FROM") and row["sql"].count(";\n") else [row["sql"]]:
-                    if statement:
-                        self.db.execute(statement)
+                for statement in split_statements(row["sql"]) if row["event"] == "t" else [row["sql"]]:
+                    self.db.execute(statement)
                 last_lsn = max(last_lsn, row["commit_lsn"] or 0)
             self.db.execute("INSERT OR REPLACE INTO _applied VALUES (0, ?, ?)", (batch_id, last_lsn))
             if hook is not None:
