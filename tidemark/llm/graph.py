@@ -35,26 +35,27 @@ from .components import connected_components
 from .vectors import kmeans, matrix, usable
 
 COSINE = 0.93
-#: Vectors that a shard is meant to hold, and beyond which it is split into blocks.
-SHARD, BLOCK = 1024, 2048
-OVERLAP, SAMPLE, CENTRES = 3, 20_000, 4096
+#: Vectors that a shard is meant to hold, and beyond which it is split into blocks of half as many.
+SHARD, BLOCK = 256, 2048
+OVERLAP, SAMPLE, CENTRES = 3, 131_072, 16_384
 #: A shard is split only if it also holds more than this part of all rows; so there are at most that many to broadcast.
 SPLIT_KEYS = 50_000
 #: Near and far neighbours of a vector in one graph, candidates for them, pruning factor, width of the search, entries.
-DEGREE, FAR, POOL, ALPHA, BEAM, MEDOIDS = 24, 8, 64, 1.2, 32, 16
+DEGREE, FAR, POOL, ALPHA, BEAM, MEDOIDS = 16, 4, 48, 1.2, 32, 16
 
 
 # ---------------------------------------------------------------- graph
-def robust_prune(unit: np.ndarray, order: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """order, sims (n, pool): candidates of each vector, nearest first (-1: none) -> (n, degree), -1 where fewer are kept."""
-    n, pool = order.shape
+def robust_prune(sims: np.ndarray, order: np.ndarray, degree: int, alpha: float = ALPHA) -> np.ndarray:
+    """sims (n, n): all cosines; order (n, pool): candidates of each vector, nearest first (-1: none) -> (n, degree), -1
+    where fewer are kept."""
+    n = len(order)
     kept = np.full((n, degree), -1, dtype=np.int64)
-    for at in range(0, n, 256):
-        own, near = order[at : at + 256], sims[at : at + 256]
+    for at in range(0, n, 512):
+        own = order[at : at + 512]
         rows = np.arange(len(own))
-        between = unit[np.maximum(own, 0)]
-        apart = 2 - 2 * np.einsum("bpd,bqd->bpq", between, between)  # squared distances among candidates
-        away = 2 - 2 * near
+        near = np.maximum(own, 0)
+        apart = 2 - 2 * sims[near[:, :, None], near[:, None, :]]  # squared distances among candidates
+        away = 2 - 2 * sims[at + rows[:, None], near]
         open_, filled = own >= 0, np.zeros(len(own), dtype=np.int64)
         for _ in range(degree):
             pick = np.argmax(open_, axis=1)  # the nearest that is still open
@@ -68,18 +69,9 @@ def robust_prune(unit: np.ndarray, order: np.ndarray, sims: np.ndarray, degree:
     return kept
 
 
-def _nearest(unit: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
-    n = len(unit)
-    pool = min(pool, n - 1)
-    order, sims = np.empty((n, pool), dtype=np.int64), np.empty((n, pool))
-    for at in range(0, n, 512):
-        s = unit[at : at + 512] @ unit.T
-        rows = np.arange(len(s))[:, None]
-        s[rows[:, 0], at + rows[:, 0]] = -np.inf
-        best = np.argpartition(-s, pool - 1, axis=1)[:, :pool]
-        best = best[rows, np.argsort(-s[rows, best], axis=1, kind="stable")]
-        order[at : at + 512], sims[at : at + 512] = best, s[rows, best]
-    return order, sims
+def _nearest_first(sims: np.ndarray, some: np.ndarray) -> np.ndarray:
+    value = np.where(some >= 0, sims[np.arange(len(some))[:, None], np.maximum(some, 0)], -2.0)
+    return np.take_along_axis(some, np.argsort(-value, axis=1, kind="stable"), 1)
 
 
 def build_graph(unit: np.ndarray) -> np.ndarray:
@@ -91,26 +83,24 @@ def build_graph(unit: np.ndarray) -> np.ndarray:
     n = len(unit)
     if n < 2:
         return np.full((n, 1), -1, dtype=np.int64)
-    some = np.random.default_rng(n).integers(0, n, size=(n, min(n, POOL)))
-    some[some == np.arange(n)[:, None]] = -1
-    sims = np.where(some >= 0, np.einsum("npd,nd->np", unit[np.maximum(some, 0)], unit), -2.0)
-    by = np.argsort(-sims, axis=1, kind="stable")
-    far = robust_prune(unit, np.take_along_axis(some, by, 1), np.take_along_axis(sims, by, 1), FAR)
-    one_way = robust_prune(unit, *_nearest(unit, POOL))
+    sims, rows = unit @ unit.T, np.arange(n)
+    np.fill_diagonal(sims, -2.0)
+    pool = min(POOL, n - 1)
+    near = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
+    one_way = robust_prune(sims, _nearest_first(sims, near), DEGREE)
     a, slot = np.nonzero(one_way >= 0)
     b = one_way[a, slot]
     pairs = np.unique(np.concatenate([a * n + b, b * n + a]))
     a, b = pairs // n, pairs % n
-    sims = np.einsum("pd,pd->p", unit[a], unit[b])
-    by = np.lexsort((b, -sims, a))
-    a, b, sims = a[by], b[by], sims[by]
-    begin = np.searchsorted(a, np.arange(n))
-    place = np.arange(len(a)) - begin[a]
-    width = 4 * DEGREE
-    mutual, near = np.full((n, width), -1, dtype=np.int64), np.full((n, width), -2.0)
-    fits = place < width
-    mutual[a[fits], place[fits]], near[a[fits], place[fits]] = b[fits], sims[fits]
-    return np.concatenate([robust_prune(unit, mutual, near, 2 * DEGREE), far], axis=1)
+    by = np.lexsort((b, -sims[a, b], a))
+    a, b = a[by], b[by]
+    place = np.arange(len(a)) - np.searchsorted(a, rows)[a]
+    mutual, fits = np.full((n, POOL), -1, dtype=np.int64), place < POOL
+    mutual[a[fits], place[fits]] = b[fits]
+    some = np.random.default_rng(n).integers(0, n, size=(n, pool))
+    some[some == rows[:, None]] = -1
+    far = robust_prune(sims, _nearest_first(sims, some), FAR)
+    return np.concatenate([robust_prune(sims, mutual, 2 * DEGREE), far], axis=1)
 
 
 class Mutual:
@@ -200,22 +190,22 @@ def _centres(nodes: DataFrame) -> dict:
     total = sum(r["count"] for r in counts)
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / total))
     wanted = {(r["label"], r["d"]): r["count"] for r in counts}
-    rows = nodes.where(part).select("label", "d", "v").limit(2 * SAMPLE).collect()
+    rows = nodes.where(part).select("label", "d", "v").limit(2 * SAMPLE).toArrow()
     by: dict = {}
-    for r in rows:
-        if (key := (r["label"], r["d"])) in wanted:
-            by.setdefault(key, []).append(r["v"])
-    out, left = {}, CENTRES
-    for key, vectors in sorted(by.items(), key=lambda x: -wanted[x[0]]):
-        k = min(-(-wanted[key] // SHARD), max(2, len(vectors) // 8), left)
+    for i, key in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
+        if key in wanted:
+            by.setdefault(key, []).append(i)
+    out, left, vectors = {}, CENTRES, rows.column(2).combine_chunks()
+    for key, mine in sorted(by.items(), key=lambda x: -wanted[x[0]]):
+        k = min(-(-wanted[key] * OVERLAP // SHARD), max(2, len(mine) // 8), left)
         if k >= 2:
-            out[key] = kmeans(_units(np.array(vectors, dtype=np.float64)), k, 8, np.random.default_rng(11))
+            out[key] = kmeans(_units(matrix(vectors.take(pa.array(mine)))), k, 8, np.random.default_rng(11))
             left -= k
     return out
 
 
 def _deal(nodes: DataFrame) -> DataFrame:
-    """(label, d, shard, shards, node, v): a row for each shard of a vector; shards: all of them, in order."""
+    """(label, d, shard, shards, node, many, v): a row for each shard of a vector; shards: all of them, in order."""
     shared = nodes.sparkSession.sparkContext.broadcast(_centres(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,14 +217,14 @@ def _deal(nodes: DataFrame) -> DataFrame:
                 if centres is None:
                     continue
                 mine = np.array([i for i, k in enumerate(zip(labels, lengths, strict=True)) if k == key])
-                unit = _units(matrix(batch.column(3).take(pa.array(mine))))
+                unit = _units(matrix(batch.column(4).take(pa.array(mine))))
                 apart = unit @ centres.T - 0.5 * (centres * centres).sum(axis=1)
                 best = np.argsort(-apart, axis=1, kind="stable")[:, :OVERLAP]
                 for i, b in zip(mine.tolist(), np.sort(best, axis=1).tolist(), strict=True):
                     near[i] = b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
 
-    rows = nodes.select("label", "d", "node", "v").mapInArrow(run, StructType([*nodes.select("label", "d", "node", "v").schema.fields, StructField("shards", ArrayType(IntegerType()))]))
+    rows = nodes.mapInArrow(run, StructType([*nodes.schema.fields, StructField("shards", ArrayType(IntegerType()))]))
     return rows.withColumn("shard", F.explode("shards"))
 
 
@@ -326,7 +316,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dealt = cut(_deal(nodes))
     sizes = dealt.groupBy("label", "d", "shard").count()
     least = max(BLOCK, OVERLAP * nodes.count() // SPLIT_KEYS)
-    large = sizes.where(F.col("count") > least).select("label", "d", "shard", F.ceil(F.col("count") / SHARD).cast("int").alias("blocks"))
+    large = sizes.where(F.col("count") > least).select("label", "d", "shard", F.ceil(2 * F.col("count") / BLOCK).cast("int").alias("blocks"))
     dealt = dealt.join(F.broadcast(cut(large)), ["label", "d", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # A vector's blocks differ from shard to shard, so its united list reaches into other blocks than its own.
     block = F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int")
@@ -336,8 +326,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     lists = in_blocks.mapInArrow(_lists, f"label {label_type}, d int, node long, next array<long>")
     united = cut(lists.groupBy("label", "d", "node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next")))
     seen = (
-        dealt.join(nodes.select("label", "d", "node", "many"), ["label", "d", "node"])
-        .join(united, ["label", "d", "node"], "left")
+        dealt.join(united, ["label", "d", "node"], "left")
         .withColumn("own_block", block)
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(*keys, (F.col("own_block") == F.col("block")).alias("own"), "node", "many", "shards", "v", "next")
