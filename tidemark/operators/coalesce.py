@@ -36,30 +36,31 @@ def byte_limit(packet: int) -> int:
     return max(int(packet * PACKET_PART), LEAST_BYTES)
 
 
-def byte_capped(rows: DataFrame, cost: Column, limit: int, by: list[str], order: str = "lsn", cap: int = 0, overhead: int = 0) -> DataFrame:
+def byte_capped(rows: DataFrame, cost: Column, limit: int, by: list[str], order: str = "lsn", cap: int = 0, opening: Column | None = None) -> DataFrame:
     """rows with piece: filled greedily, a piece is closed when the next row would pass the limit (or the row cap).
+    opening: what the row that opens a piece costs besides.
 
     Greedy filling goes row by row, so it runs over sorted partitions in Arrow batches and keeps one sum, not the rows.
     """
-    rows = rows.withColumn("__cost", cost.cast("long")).repartition(*by).sortWithinPartitions(*by, order)
+    rows = rows.withColumn("__cost", cost.cast("long")).withColumn("__opening", (F.lit(0) if opening is None else opening).cast("long")).repartition(*by).sortWithinPartitions(*by, order)
     places = [rows.columns.index(c) for c in by]
-    where = rows.columns.index("__cost")
+    where, first = rows.columns.index("__cost"), rows.columns.index("__opening")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, piece, filled, held = None, 0, 0, 0
         for batch in batches:
             keys = list(zip(*[batch.column(i).to_pylist() for i in places], strict=True))
             out = []
-            for key, c in zip(keys, batch.column(where).to_pylist(), strict=True):
+            for key, c, o in zip(keys, batch.column(where).to_pylist(), batch.column(first).to_pylist(), strict=True):
                 if key != now:
-                    now, piece, filled, held = key, 0, overhead, 0
+                    now, piece, filled, held = key, 0, o, 0
                 elif held and (filled + c > limit or (cap and held >= cap)):
-                    piece, filled, held = piece + 1, overhead, 0
+                    piece, filled, held = piece + 1, o, 0
                 filled, held = filled + c, held + 1
                 out.append(piece)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "piece"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("piece", LongType())])).drop("__cost")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("piece", LongType())])).drop("__cost", "__opening")
 
 
 def bulk_eligible(rows: DataFrame, signature: Column, batch: list[str], threshold: int, op: str = "op") -> DataFrame:
@@ -83,8 +84,8 @@ def multi_row_insert(rows: DataFrame, by: list[str], prefix: Column, tuple_: Col
 def chunked_inserts(rows: DataFrame, by: list[str], prefix: Column, tuple_: Column, order: str = "lsn", max_bytes: int = 4 << 20, max_rows: int = 0) -> DataFrame:
     """(by..., piece, statement): INSERTs of at most max_bytes and max_rows each."""
     rows = rows.withColumn("__tuple", tuple_).withColumn("__prefix", F.concat(prefix, F.lit(" VALUES ")))
-    # A first row costs its length and the statement's ends; a further one two more for the comma.
-    rows = byte_capped(rows, F.octet_length("__tuple") + 2, max_bytes - 1, by, order, max_rows, overhead=0).withColumn("__prefix", F.col("__prefix"))
+    # A row costs its length and a comma; the first has the prefix and the semicolon instead.
+    rows = byte_capped(rows, F.octet_length("__tuple") + 2, max_bytes, by, order, max_rows, opening=F.octet_length("__prefix") - 1)
     return rows.groupBy(*by, "piece").agg(F.concat(F.first("__prefix"), F.array_join(_in_order(F.col("__tuple"), order), ", "), F.lit(";")).alias("statement"))
 
 

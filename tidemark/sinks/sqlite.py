@@ -23,7 +23,7 @@ class SqliteSink:
 
     def __init__(self, path: str, mappings: dict[str, str] | None = None):
         self.mappings = mappings or {}
-        self.db = sqlite3.connect(path, isolation_level=None)
+        self.db = sqlite3.connect(path, isolation_level=None, check_same_thread=False)  # Spark calls from threads of its own, one at a time
         self.db.execute("PRAGMA journal_mode = WAL")
         self.db.execute("PRAGMA foreign_keys = ON")
         self.db.execute(STATE)
@@ -52,7 +52,9 @@ class SqliteSink:
             self.db.execute("COMMIT")
         except BaseException as error:
             self.db.execute("ROLLBACK")
-            raise SinkError(str(error)) from error if isinstance(error, sqlite3.Error) else error
+            if isinstance(error, sqlite3.Error):
+                raise SinkError(str(error)) from error
+            raise
 
     def close(self) -> None:
         self.db.close()
