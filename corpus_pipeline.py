@@ -17,8 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id. Words are five to a shingle here."""
-    return simhash.keep_one_each(docs, shingle=5)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest id."""
+    return simhash.keep_one_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ MAX_REPEAT = 3
 SEED = "mix-1"
 #: Places in the order that make a bucket, on average.
 BUCKET = 2000
+#: Sources up to which their plan (some 100 bytes each) is broadcast, so that texts needn't move; beyond, Spark picks the join.
+BROADCAST_SOURCES = 100_000
 ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
@@ -133,6 +135,8 @@ def mix(
         .agg(F.min_by("place", F.struct(left, "place")).alias("turned"))
     )
     plan = cut(plan.join(turned, F.col("source_").eqNullSafe(F.col("s6")), "left").drop("s6", "gap"))
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
     out = replacing(docs, *ADDED)
     names = out.columns
     out = _placed(_drawn(out, id_col, text_col, source_col, weight_col), plan, max_repeat)

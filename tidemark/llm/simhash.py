@@ -9,6 +9,12 @@ searched by all of the shard in blocks. Trees travel to the tasks that need them
 the driver would gather fingerprints of all documents there. Each task gives a spanning forest of the links it found
 rather than all pairs, and components of those forests are the groups.
 
+Fingerprints that differ in few bits belong to texts that are almost equal. For groups by similarity of shingle sets
+(group_similar, which the pipeline uses: five words, 0.8 or more) the radius must be wide, and blocks of bits no longer
+part the fingerprints. There a shard is a text's smallest shingle hash under one of KEYS orders: texts of similarity s
+share each with probability s, so one of 0.8 is missed in 3 of 10,000 cases. The shard's BK-tree is searched within
+WIDE_RADIUS, and a pair links if their sketches (smallest hashes in BINS parts of the hash range) agree on the similarity.
+
 Defined cases: null or blank text has fingerprint zero and links like any other; text of fewer words than a shingle is
 one shingle; exact copies share a fingerprint and are compared once; a null doc_id has a fingerprint and gets its
 group's smallest id (null where the group has none); an empty table gives an empty result.
@@ -20,12 +26,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import cut, replacing
+from .common import cut, table
 from .components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
@@ -38,20 +45,24 @@ SPLIT_KEYS = 50_000
 
 
 # ---------------------------------------------------------------- fingerprints
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the whole text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of the whole text; of the whole if it has fewer words; none for no words."""
     import xxhash
 
     words = (text or "").encode().lower().split()  # of bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=len(words) - shingle + 1)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
@@ -60,6 +71,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the whole text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id_col, fp): fp is the fingerprint as a signed long."""
 
@@ -120,8 +136,9 @@ class BKForest:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _forest_links(values: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, smallest position's value of its group) that span the groups found in these shards."""
+def _forest_links(values: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, radius: int, agree=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (value, smallest position's value of its group) that span the groups found in these shards. agree: whether
+    pairs of positions within the radius link."""
     inside = np.flatnonzero(in_tree)
     trees = BKForest(values[inside], shard[inside])
     label = np.arange(len(values))
@@ -131,6 +148,9 @@ def _forest_links(values: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, ra
         q, node = trees.within(values[at : at + step], shard[at : at + step], radius)
         a, b = q + at, inside[node]
         a, b = a[a != b], b[a != b]
+        if agree is not None and len(a):
+            keep = agree(a, b)
+            a, b = a[keep], b[keep]
         while len(a):  # smaller label wins, until none changes
             low = np.minimum(label[a], label[b])
             same = (label[a] == low) & (label[b] == low)
@@ -172,45 +192,68 @@ def shard_keys(fp: Column, m: int, radius: int = RADIUS) -> Column:
     return F.array(*keys)
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (choice, bits, tree, own, fp) sorted by the first three -> links; a tree may run over several batches."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _by_shard(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by the first `keys` columns -> columns of whole shards, many at a time, with the shard's number first."""
+    held: list[list[np.ndarray]] = []
 
-    def solve(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        choice, bits, tree, own, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-        new = np.concatenate(([True], (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1]) | (tree[1:] != tree[:-1])))
+    def whole(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        new = np.ones(len(columns[0]), dtype=bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns[:keys]], axis=0)
         shard = np.cumsum(new) - 1
-        alone = np.bincount(shard) < 2
-        keep = ~alone[shard]
-        a, b = _forest_links(fp[keep].view(np.uint64), shard[keep], own[keep], radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        some = np.bincount(shard)[shard] > 1
+        return [shard[some], *[c[some] for c in columns[keys:]]]
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = tuple(np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(5))
-        choice, bits, tree = part[:3]
-        last = (choice == choice[-1]) & (bits == bits[-1]) & (tree == tree[-1])
-        start = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-        if start:
-            held.append(tuple(x[:start] for x in part))
-            yield solve(held)
-            held = [tuple(x[start:] for x in part)]
-        else:  # all one tree, perhaps the held one
-            if held and (held[-1][0][-1], held[-1][1][-1], held[-1][2][-1]) != (choice[0], bits[0], tree[0]):
-                yield solve(held)
-                held = []
-            held.append(part)
+        part = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(batch.num_columns)]
+        last = np.all([c == c[-1] for c in part[:keys]], axis=0)
+        start = 0 if last.all() else len(last) - int(np.argmin(last[::-1]))
+        follows = held and all(held[-1][i][-1] == part[i][0] for i in range(keys))
+        if start or not follows:
+            if start:
+                held.append([c[:start] for c in part])
+            if held:
+                yield whole(held)
+            held = []
+        held.append([c[start:] for c in part])
     if held:
-        yield solve(held)
+        yield whole(held)
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """distinct(fp), each once -> (a, b): links that span the groups of fingerprints within the radius."""
-    total = distinct.count()
-    m = blocks_for(total, radius)
-    rows = distinct.select("fp", F.explode(shard_keys(F.col("fp"), m, radius)).alias("k")).select("fp", "k.choice", "k.bits")
-    all_rows = total * len(list(combinations(range(m), m - radius)))
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+
+def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (choice, bits, tree, own, fp) sorted by the first three -> links; a tree may run over several batches."""
+    for shard, own, fp in _by_shard(batches, 3):
+        yield _pairs(*_forest_links(fp.view(np.uint64), shard, own, radius))
+
+
+def _search_similar(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (choice, bits, tree, own, fp, sketch) -> links of pairs whose sketches agree on the similarity."""
+    for shard, own, fp, sketch in _by_shard(batches, 3):
+        if not len(fp):
+            continue
+        table = np.frombuffer(b"".join(sketch.tolist()), dtype=np.uint8).reshape(len(fp), -1)
+
+        def agree(a: np.ndarray, b: np.ndarray, table=table) -> np.ndarray:
+            out = np.empty(len(a), dtype=bool)
+            for at in range(0, len(a), 8192):
+                x, y = table[a[at : at + 8192]], table[b[at : at + 8192]]
+                same, there = ((x == y) & (x > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1)
+                out[at : at + 8192] = same >= (similarity - TOLERANCE) * np.maximum(there, 1)
+            return out
+
+        yield _pairs(*_forest_links(fp.view(np.uint64), shard, own, radius, agree))
+
+
+def _dealt(rows: DataFrame, all_rows: int) -> DataFrame:
+    """rows(choice, bits, fp, ...) -> with tree and own: a shard's rows are dealt to trees, and each also comes, as a query,
+    to the trees before its own. Sorted by shard and tree within partitions."""
+    rest = [c for c in rows.columns if c not in ("choice", "bits")]
     least = max(TREE_SIZE, all_rows // SPLIT_KEYS)
     # At most SPLIT_KEYS keys can hold more than that part of all rows, which bounds what is broadcast.
     large = (
@@ -219,53 +262,120 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         .where(F.col("count") > least)
         .select("choice", "bits", F.ceil(F.col("count") / TREE_SIZE).cast("int").alias("trees"))
     )
+    own_tree = F.when(F.col("trees").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
     dealt = (
         rows.join(F.broadcast(cut(large)), ["choice", "bits"], "left")
-        .withColumn("own_tree", F.when(F.col("trees").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")))
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("own_tree"))))  # earlier trees and its own
-        .select("choice", "bits", "tree", (F.col("tree") == F.col("own_tree")).alias("own"), "fp")
+        .withColumn("own_tree", own_tree)
+        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("own_tree"))))
+        .select("choice", "bits", "tree", (F.col("tree") == F.col("own_tree")).alias("own"), *rest)
     )
-    dealt = dealt.repartition("choice", "bits", "tree").sortWithinPartitions("choice", "bits", "tree")
+    return dealt.repartition("choice", "bits", "tree").sortWithinPartitions("choice", "bits", "tree")
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """distinct(fp), each once -> (a, b): links that span the groups of fingerprints within the radius."""
+    total = distinct.count()
+    m = blocks_for(total, radius)
+    rows = distinct.select("fp", F.explode(shard_keys(F.col("fp"), m, radius)).alias("k")).select("fp", "k.choice", "k.bits")
+    dealt = _dealt(rows.select("choice", "bits", "fp"), total * len(list(combinations(range(m), m - radius))))
     return dealt.mapInArrow(lambda batches: _search(batches, radius), "a long, b long")
 
 
+# ---------------------------------------------------------------- similarity of shingle sets
+#: Odd numbers that put hashes in different orders. Fixed values.
+ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+KEYS, BINS, WIDE_RADIUS = len(ORDERS), 1024, 20
+#: A sketch tells similarity with an error of about 0.01; so much is forgiven, to miss hardly a pair that is similar enough.
+TOLERANCE = 0.015
+
+
+def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
+    """The smallest hash in each order (as signed longs), and the smallest in each bin: 8 bits of it, 0 for an empty bin."""
+    if not len(hashes):
+        return [0] * KEYS, bytes(BINS)
+    keys = [int((hashes * np.uint64(order)).min().view(np.int64)) for order in ORDERS]
+    mixed = hashes * np.uint64(ORDERS[0])
+    bins = (mixed >> np.uint64(64 - 10)).astype(np.int64)
+    least = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(least, bins, mixed)
+    return keys, np.where(least == np.iinfo(np.uint64).max, 0, 1 + (least >> np.uint64(8)) % np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id_col, fp, keys, sketch) of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys, sketches = [], [], []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                k, s = sketch(hashes)
+                fps.append(majority(hashes))
+                keys.append(k)
+                sketches.append(s)
+            columns = [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "keys", "sketch"])
+
+    kind = docs.schema[id_col].dataType
+    more = [StructField("fp", LongType()), StructField("keys", ArrayType(LongType())), StructField("sketch", BinaryType())]
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast(StringType()).alias("text"))
+    return picked.mapInArrow(run, StructType([StructField("id", kind), *more])).withColumnRenamed("id", id_col)
+
+
+def similar_links(distinct: DataFrame, similarity: float, radius: int = WIDE_RADIUS) -> DataFrame:
+    """distinct(fp, keys, sketch), each fp once -> (a, b): links that span the groups."""
+    keys = distinct.select("fp", F.posexplode("keys").alias("choice", "bits"))
+    shared = keys.groupBy("choice", "bits").count().where("count > 1").select(F.col("choice").alias("c2"), F.col("bits").alias("b2"))
+    met = cut(keys.join(shared, (F.col("choice") == F.col("c2")) & (F.col("bits") == F.col("b2")), "left_semi"))
+    rows = met.join(distinct.select(F.col("fp").alias("f2"), "sketch"), F.col("fp") == F.col("f2")).select("choice", "bits", "fp", "sketch")
+    return _dealt(rows, met.count()).mapInArrow(lambda batches: _search_similar(batches, radius, similarity), "a long, b long")
+
+
+def _grouped(fps: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """fps(id_col, fp) with component_id: the smallest id over the fingerprints that links join."""
+    reps = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
+    comps = connected_components(links)
+    named = reps.join(comps, reps["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return fps.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+def group_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, fp, component_id): groups of documents linked by the similarity of their shingle sets, as sketches tell it."""
+    found = cut(signatures(docs, id_col, text_col, shingle))
+    # Equal fingerprints are one; the smallest keys and sketch stand for them.
+    distinct = cut(found.groupBy("fp").agg(F.min(F.struct("keys", "sketch")).alias("s")).select("fp", "s.keys", "s.sketch"))
+    return _grouped(found.select(id_col, "fp"), similar_links(distinct, similarity), id_col)
+
+
 def group_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
     """(id_col, fp long, component_id): one row per document; component_id is the smallest id of its group."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    reps = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
-    comps = connected_components(fingerprint_links(cut(reps).select("fp"), radius))
-    named = (
-        reps.join(comps, reps["fp"] == comps["node"], "left")
-        .select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    )
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_fp = named.join(smallest, "root").select("fp", "component_id")
-    return fps.join(per_fp, "fp").select(id_col, "fp", "component_id")
+    return _grouped(fps, fingerprint_links(cut(fps.select("fp").distinct()), radius), id_col)
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of docs that stand for their group: the one with the group's smallest id.
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that stand for their group of similar documents: the one with the group's smallest id.
 
     Rows that repeat one id stay once, as the row with the smallest text. Rows without an id stay if their group has no
     id at all, once for each fingerprint.
     """
-    groups = cut(group_near_duplicates(docs, id_col, text_col, **settings))
+    groups = cut(group_similar(docs, id_col, text_col, shingle, similarity))
     chosen = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
     with_id = docs.where(F.col(id_col).isNotNull()).join(chosen, F.col(id_col) == F.col("__kept"), "left_semi")
     row = F.struct(*[F.col(c) for c in (text_col, *[c for c in docs.columns if c != text_col])])
     with_id = with_id.groupBy(id_col).agg(F.min(row).alias("__row")).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
-    bare = replacing(docs, "fp", "__id").where(F.col(id_col).isNull())
+    bare = docs.where(F.col(id_col).isNull())
     if bare.isEmpty():
         return with_id
-    nameless = groups.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("__fp"), F.lit(1).alias("__n"))
-    numbered = fingerprint_column(docs.where(F.col(id_col).isNull()), text_col, settings.get("shingle", SHINGLE))
-    kept = numbered.join(nameless.distinct(), "__fp", "left_semi").dropDuplicates(["__fp"])
+    nameless = groups.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("__fp")).distinct()
+    kept = fingerprint_column(bare, text_col, shingle).join(nameless, "__fp", "left_semi").dropDuplicates(["__fp"])
     return with_id.unionByName(kept.select(*docs.columns))
 
 
@@ -273,9 +383,7 @@ def fingerprint_column(docs: DataFrame, text_col: str, shingle: int) -> DataFram
     """docs with its fingerprint in __fp."""
 
     @F.pandas_udf("long")
-    def fp(texts):
-        import pandas as pd
-
+    def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
     return docs.withColumn("__fp", fp(F.col(text_col)))
@@ -283,7 +391,5 @@ def fingerprint_column(docs: DataFrame, text_col: str, shingle: int) -> DataFram
 
 # ---------------------------------------------------------------- query
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     groups = group_near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
