@@ -1,7 +1,8 @@
 """Transactions from a stream of the log, and their application batch by batch.
 
-Rows wait in Spark's state store until their transaction commits; the store spills and is checkpointed, so a restart goes
-on where it stopped. Rows of one transaction form one group, so transactions are assembled in parallel.
+Rows wait in Spark's state store, as a list for each transaction, until it commits. The store keeps lists on disk and adds to
+their ends, and they are read back row by row, so a transaction of any size needs little memory. The store is checkpointed:
+a restart goes on where it stopped. Rows of one transaction form one group, so transactions are assembled in parallel.
 """
 
 from __future__ import annotations
@@ -9,47 +10,77 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..schema import CHANGELOG, CONTROL, DML
 from ..sinks.registry import Sink, for_each_batch
 
-STATE = "rows array<string>, dropped array<bigint>"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ENDS = ("commit", "stream_commit")
+#: Rows that are handed on at a time.
+ROWS = 10_000
+OUT = "row string, at bigint, ts timestamp"
 
 
-def _assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one transaction: held as JSON until its commit, given out with the commit's position and time."""
-    rows, dropped = state.get if state.exists else ([], [])
-    rows, dropped, done, aborted = list(rows), list(dropped), None, False
-    for frame in frames:
-        for r in frame.sort_values(["lsn", "seq"]).itertuples(index=False):
-            if r.event in DML:
-                rows.append(r.row)
-            elif r.event == "begin":
-                rows, dropped = [], []  # a second begin replaces the first
-            elif r.event == "stream_abort":
-                if r.sub_xid is None or pd.isna(r.sub_xid):
-                    aborted = True
-                else:
-                    dropped.append(int(r.sub_xid))
-            elif r.event in ENDS:
-                done = r
-    if aborted:
-        if state.exists:
-            state.remove()
-        return
-    if done is None:
-        state.update((rows, dropped))
-        return
-    if state.exists:
-        state.remove()
-    if rows:
-        n = len(rows)
-        yield pd.DataFrame({"row": rows, "dropped": [dropped] * n, "at": [int(done.lsn)] * n, "ts": [done.commit_ts] * n})
+class Assembler(StatefulProcessor):
+    """Holds a transaction's changes as JSON; gives them out, with the commit's position and time, once it commits.
+
+    Nothing depends on the order in which a batch's rows come: a begin drops what lies before it, an abort of a
+    sub-transaction drops its rows, an abort of the whole drops all.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", "lsn bigint, sub_xid bigint, row string")
+        self.dropped = handle.getListState("dropped", "sub_xid bigint")
+        self.begun = handle.getValueState("begun", "lsn bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        end, aborted = None, False
+        for frame in rows:
+            number = lambda x: None if x is None or pd.isna(x) else int(x)
+            changes = frame[frame["event"].isin(DML)]
+            if len(changes):
+                self.rows.appendList([(int(n), number(s), r) for n, s, r in zip(changes["lsn"], changes["sub_xid"], changes["row"], strict=True)])
+            for r in frame[~frame["event"].isin(DML)].itertuples(index=False):
+                if r.event == "begin":
+                    last = self.begun.get()[0] if self.begun.exists() else -1
+                    self.begun.update((max(last, int(r.lsn)),))
+                elif r.event == "stream_abort":
+                    if (sub := number(r.sub_xid)) is None:
+                        aborted = True
+                    else:
+                        self.dropped.appendValue((sub,))
+                elif r.event in ENDS:
+                    end = r
+        if end is not None and not aborted:
+            yield from self._out(int(end.lsn), end.commit_ts)
+        if end is not None or aborted:
+            for state in (self.rows, self.dropped, self.begun):
+                state.clear()
+
+    def _out(self, at: int, ts) -> Iterator[pd.DataFrame]:
+        since = self.begun.get()[0] if self.begun.exists() else -1
+        dropped = {d[0] for d in self.dropped.get()} if self.dropped.exists() else set()
+        held: list[str] = []
+        frame = lambda: pd.DataFrame({"row": held, "at": [at] * len(held), "ts": [ts] * len(held)})
+        for lsn, sub, row in self.rows.get() if self.rows.exists() else ():
+            if lsn >= since and (sub is None or sub not in dropped):
+                held.append(row)
+            if len(held) >= ROWS:
+                yield frame()
+                held = []
+        if held:
+            yield frame()
+
+    def close(self) -> None:
+        pass
+
+
+def use_disk_state(spark: SparkSession) -> None:
+    """Lists in the state store need the store that keeps them on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
 def committed(log: DataFrame) -> DataFrame:
@@ -57,13 +88,11 @@ def committed(log: DataFrame) -> DataFrame:
 
     log: rows that carry their transaction's tx_id (controls too).
     """
+    use_disk_state(log.sparkSession)
     known = log.where(F.col("event").isin(*DML, *CONTROL) & F.col("tx_id").isNotNull())
-    packed = known.select("tx_id", "lsn", F.coalesce("seq", F.lit(0)).alias("seq"), "event", "sub_xid", "commit_ts", F.to_json(F.struct(*log.columns)).alias("row"))
-    out = packed.groupBy("tx_id").applyInPandasWithState(
-        _assemble, "row string, dropped array<bigint>, at bigint, ts timestamp", STATE, "append", GroupStateTimeout.NoTimeout
-    )
-    rows = out.select(F.from_json("row", CHANGELOG).alias("r"), "dropped", "at", "ts")
-    rows = rows.where(F.col("r.sub_xid").isNull() | ~F.array_contains("dropped", F.col("r.sub_xid")))
+    packed = known.select("tx_id", "lsn", "event", "sub_xid", "commit_ts", F.to_json(F.struct(*log.columns)).alias("row"))
+    out = packed.groupBy("tx_id").transformWithStateInPandas(Assembler(), OUT, "Append", "None")
+    rows = out.select(F.from_json("row", CHANGELOG).alias("r"), "at", "ts")
     return rows.select(*[F.col("at").alias(c) if c == "commit_lsn" else F.col("ts").alias(c) if c == "commit_ts" else F.col(f"r.{c}") for c in CHANGELOG.names])
 
 
