@@ -212,3 +212,42 @@ def test_metrics_endpoint():
     with pytest.raises(urllib.error.HTTPError):
         urllib.request.urlopen(f"{at}/other")
     server.shutdown()
+
+
+def test_retries(spark):
+    from tidemark.errors import ConfigError, ConnectionLost
+    from tidemark.streaming.retry import run as again
+
+    waits, tries = [], []
+
+    class Query:
+        def awaitTermination(self):
+            tries.append(1)
+            if len(tries) < 4:
+                raise ConnectionLost("gone")
+
+    again(Query, wait=waits.append)
+    assert waits == [1, 2, 4]
+    with pytest.raises(ConfigError):
+        again(lambda: (_ for _ in ()).throw(ConfigError("no")), wait=waits.append)
+
+
+def test_open_transactions_in_the_order_of_their_files(spark, tmp_path):
+    import os
+
+    for n, at in ((5, 300), (6, 100)):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"tx_id": n}))
+        os.utime(tmp_path / f"{n}.json", (at, at))
+    assert [r.tx_id for r in spool.read_open(spark, str(tmp_path)).collect()] == [6, 5]
+
+
+def test_a_large_transaction(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    n = 25_000
+    rows = spark.range(2, n + 2).select(F.col("id").alias("lsn"), F.lit(0).alias("seq"), F.lit(1).cast("long").alias("tx_id"), F.lit("c").alias("event"))
+    rows.union(spark.createDataFrame([(1, 0, 1, "begin"), (n + 2, 0, 1, "commit")], rows.schema)).write.json(str(folder / "big"))
+    log = spark.readStream.schema(CHANGELOG).json(str(folder / "big"))
+    query = committed(log).writeStream.format("memory").queryName("big").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("big").where(f"commit_lsn = {n + 2}").count() == n

@@ -6,6 +6,9 @@ shuffle of the log and, with a base table, one join. An update never makes a row
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +80,17 @@ def truncations(log: DataFrame) -> DataFrame:
 
     spec = table_spec(F.col("t"))
     return log.where(F.col("event") == "t").select(F.explode("tables").alias("t"), "lsn").groupBy(spec["schema"].alias("schema"), spec["table"].alias("table")).agg(F.max("lsn").alias("lsn"))
+
+
+def split_key_changes(log: DataFrame, keys: list[str], old: str = "old_") -> DataFrame:
+    """log(op, keys, old_<key>...) with every update that changes its key as a deletion of the old and a creation of the new.
+
+    part orders the two at one position. It holds where the old row is alive and the image is full, as it is when keys change
+    under default identity; a row that isn't alive must not be updated in the first place.
+    """
+    differs = [F.col(f"{old}{k}").isNotNull() & ~F.col(f"{old}{k}").eqNullSafe(F.col(k)) for k in keys]
+    moved = (F.col("op") == "u") & reduce(or_, differs)
+    both = F.array(F.struct(F.lit("d").alias("o"), F.lit(0).alias("p")), F.struct(F.lit("c").alias("o"), F.lit(1).alias("p")))
+    rows = log.withColumn("__x", F.explode(F.when(moved, both).otherwise(F.array(F.struct(F.col("op").alias("o"), F.lit(0).alias("p"))))))
+    named = {k: F.when((F.col("__x.o") == "d") & moved, F.col(f"{old}{k}")).otherwise(F.col(k)) for k in keys}
+    return rows.withColumns(named | {"op": F.col("__x.o"), "part": F.col("__x.p")}).drop("__x", *[f"{old}{k}" for k in keys])

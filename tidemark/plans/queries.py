@@ -115,6 +115,20 @@ def replay_partial_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.replay_onto(base, log, ["k"], ["lsn"], ["value", "event_type"], present=there)
 
 
+@query(
+    "replay_key_change",
+    f"""WITH e AS (SELECT *, CASE WHEN op = 'u' AND lsn % 50 = 0 THEN 1 ELSE 0 END AS moved FROM (WITH {CL} SELECT * FROM cl)),
+cl AS (SELECT lsn * 2 AS lsn, k, CASE WHEN moved = 1 THEN 'd' ELSE op END AS op, value FROM e UNION ALL SELECT lsn * 2 + 1, k + 100000, 'c', value FROM e WHERE moved = 1), {LIFE}
+SELECT cl.k, arg_max(cl.value, cl.lsn) AS value FROM cl JOIN c ON cl.k = c.k WHERE cl.lsn >= c.c AND cl.op IN ('c', 'u') GROUP BY cl.k""",
+)
+def replay_key_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth position's update gives its row another key."""
+    moved = (F.col("op") == "u") & (F.col("lsn") % 50 == 0)
+    log = changes(spark, sf_dir).withColumn("old_k", F.when(F.col("op") == "u", F.col("k"))).withColumn("k", F.when(moved, F.col("k") + 100000).otherwise(F.col("k")))
+    log = apply.split_key_changes(log, ["k"]).select("k", "lsn", "part", "op", F.struct("value").alias("after"))
+    return apply.replay(log, ["k"], ["lsn", "part"], ["value"]).select("k", "value")
+
+
 @query(
     "join_update",
     f"""WITH {CL}, n AS (SELECT k, arg_max(value, lsn) AS v FROM cl WHERE op = 'u' GROUP BY k)
@@ -244,6 +258,26 @@ def as_of_sync_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resume.as_of(events.select("event_id"), points, "event_id", "sync_id", ["sync_id", "sync_value"], assemble.SPAN)
 
 
+@query("resume_skip", f"WITH {CL}, n AS (SELECT tx_id, lsn, row_number() OVER (PARTITION BY tx_id ORDER BY lsn) - 1 AS pos FROM cl) SELECT tx_id, lsn FROM n WHERE pos >= 4")
+def resume_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transaction goes on behind its fourth statement."""
+    rows = resume.batches(changes(spark, sf_dir).select("tx_id", "lsn"), "tx_id", "lsn", 1)
+    return resume.skip_applied(rows, 4, "batch_index").select("tx_id", "lsn")
+
+
+@query(
+    "slot_fields",
+    """SELECT o_orderkey, o_orderkey * 65536 AS restart_lsn, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS confirmed_flush_lsn, o_orderkey % 4 IN (0, 1, 2) AS active FROM orders""",
+)
+def slot_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.wal import slot_fields as fields
+
+    n = F.col("o_orderkey") % 4
+    active = F.when(n == 0, "t").when(n == 1, "true").when(n == 2, "1").otherwise("f")
+    restart, confirmed = format_lsn(F.col("o_orderkey") * 65536), F.when(n == 0, None).otherwise(format_lsn(F.col("o_custkey")))
+    return read(spark, sf_dir, "orders").select("o_orderkey", fields(restart, confirmed, active).alias("s")).select("o_orderkey", "s.*")
+
+
 @query("retry_backoff", "SELECT o_orderkey, least(pow(2, o_orderkey % 8), 30.0) AS seconds FROM orders")
 def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", F.least(F.pow(F.lit(2.0), F.col("o_orderkey") % 8), F.lit(30.0)).alias("seconds"))
@@ -506,6 +540,21 @@ for _name, _d, _a, _b in (("ansi", ANSI, '"', '"'), ("mysql", MYSQL, "`", "`"),
     _dml(_name, _d, _a, _b)
 
 
+@query(
+    "row_json",
+    """SELECT o_orderkey, '{"id":"' || o_orderkey || '","status":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderstatus || '"' END || ',"raw":"' || to_base64(encode(o_orderpriority)) || '"}' AS json,
+  'app.main.orders.Key' AS key_name FROM orders""",
+)
+def row_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..schema import IMAGE_DDL, value
+
+    row = F.array(
+        value("id", F.col("o_orderkey")), value("status", F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.col("o_orderstatus"))), value("raw", F.col("o_orderpriority"), "binary")
+    ).cast(IMAGE_DDL)
+    name = envelope.topic("app", mapping.map_schema(F.lit("public"), {"public": "main"}), F.lit("orders"), "Key")
+    return read(spark, sf_dir, "orders").select("o_orderkey", envelope.row_json(row).alias("json"), name.alias("key_name"))
+
+
 @query("key_predicate_default", "SELECT o_orderkey, '\"id\" = ''' || o_orderkey || ''' AND \"status\" = ''' || o_orderstatus || '''' AS predicate FROM orders")
 def key_predicate_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = image(id=F.col("o_orderkey"), status=F.col("o_orderstatus"))

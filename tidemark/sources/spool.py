@@ -35,6 +35,12 @@ def read_pending(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(kind).json(path).orderBy(*commit_order())
 
 
+def read_open(spark: SparkSession, path: str) -> DataFrame:
+    """Transactions that haven't committed, in the order their files were made: (tx_id, file, made)."""
+    rows = spark.read.schema("tx_id long").json(path)
+    return rows.select("tx_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("made")).orderBy("made", "tx_id")
+
+
 def sync_point(points: DataFrame, targets: DataFrame, span: int = 100_000) -> DataFrame:
     """targets(target) with the largest (statement_index, byte_offset) at or before each; index 0 where there is none."""
     from ..operators.resume import as_of

@@ -10,10 +10,12 @@ import importlib
 from collections.abc import Iterable, Iterator
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..functions.lsn import parse_lsn
 from ..schema import CHANGELOG
 
 FORMAT = "changelog"
@@ -78,6 +80,13 @@ def read_log(spark: SparkSession, transport: str, **options: str) -> DataFrame:
     return spark.readStream.format(FORMAT).options(transport=transport, **options).load()
 
 
+def slot_fields(restart: Column, confirmed: Column, active: Column) -> Column:
+    """A slot's texts as struct<restart_lsn, confirmed_flush_lsn, active>."""
+    return F.struct(
+        parse_lsn(restart).alias("restart_lsn"), parse_lsn(confirmed).alias("confirmed_flush_lsn"), F.coalesce(active.isin("t", "true", "1"), F.lit(False)).alias("active")
+    )
+
+
 def slot_status(spark: SparkSession, url: str, slot: str, **options: str) -> DataFrame:
     """(restart_lsn, confirmed_flush_lsn, active) of a slot, over JDBC."""
     from ..config import valid_slot_name
