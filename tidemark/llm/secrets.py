@@ -51,10 +51,11 @@ def _matches(text: Column, pattern: str, group: int, rank: int) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All base spans of a text, by start, then kind."""
-    parts = []
-    for rank, (pattern, group, least) in enumerate(KINDS.values()):
-        parts.append(F.filter(_matches(text, pattern, group, rank), lambda x, n=least: F.length(x["v"]) >= n))
-    return F.array_sort(F.concat(*parts))
+
+    def kept(rank: int, pattern: str, group: int, least: int) -> Column:
+        return F.filter(_matches(text, pattern, group, rank), lambda x: F.length(x["v"]) >= least)
+
+    return F.array_sort(F.concat(*[kept(rank, *kind) for rank, kind in enumerate(KINDS.values())]))
 
 
 def bare_tokens(text: Column) -> Column:
