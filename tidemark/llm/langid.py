@@ -34,6 +34,8 @@ DOCUMENT_SIZE = 300
 MAX_LANGUAGES = 10_000
 UNKNOWN = "und"
 BLANK, STEP = 32, 21  # a blank's code point; bits for a code point
+#: Rows that a worker takes up at a time.
+ROWS = 500
 
 
 @cache
@@ -135,7 +137,7 @@ class Profiles:
         return self.languages[best], float(1 - apart[best] / (self.size * len(listed)))
 
 
-def _blocks(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str]]:
+def _blocks(texts: list[str | None], most: int = 1_000_000) -> Iterator[list[str]]:
     """Lists of texts of bounded total length (a longer text is alone)."""
     held, length = [], 0
     for t in texts:
@@ -148,12 +150,18 @@ def _blocks(texts: list[str | None], most: int = 4_000_000) -> Iterator[list[str
         yield held
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = PROFILE_SIZE) -> Profiles:
     """Profiles from all rows of docs that have a language and a text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, dict[int, int]] = {}
-        for batch in batches:
+        for batch in _slices(batches):
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for name in set(names):
                 mine = totals.setdefault(name, {})
@@ -198,7 +206,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text", size:
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = []
             for block in _blocks(batch.column(where).to_pylist()):
                 grams = Grams(block)
