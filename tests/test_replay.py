@@ -65,3 +65,23 @@ def test_null_keys_match_only_in_full_identity(spark):
 def test_truncations(spark):
     log = spark.createDataFrame([(1, "t", ["public.a", "b"]), (5, "t", ["public.a"]), (6, "u", None)], "lsn long, event string, tables array<string>")
     assert sorted(tuple(r) for r in apply.truncations(log).collect()) == [("public", "a", 5), ("public", "b", 1)]
+
+
+def test_rows_without_a_key(spark):
+    moves = [("c", "a", "x", None, None), ("c", "a", "x", None, None), ("u", "a", "y", "a", "x"), ("c", "b", None, None, None), ("u", "b", "z", "b", None), ("d", None, None, "a", "y"), ("c", "a", "q", None, None), ("d", None, None, "b", "none such")]
+    base = [("b", None), ("c", "k"), ("c", "k")]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE t (g TEXT, v TEXT)")
+    db.executemany("INSERT INTO t VALUES (?, ?)", base)
+    for op, g, v, old_g, old_v in moves:
+        if op == "c":
+            db.execute("INSERT INTO t VALUES (?, ?)", (g, v))
+        elif op == "u":
+            db.execute("UPDATE t SET g = ?, v = ? WHERE g IS ? AND v IS ?", (g, v, old_g, old_v))
+        else:
+            db.execute("DELETE FROM t WHERE g IS ? AND v IS ?", (old_g, old_v))
+    want = sorted(db.execute("SELECT * FROM t").fetchall(), key=repr)
+    log = spark.createDataFrame([(m[0], i, *m[1:]) for i, m in enumerate(moves)], "op string, lsn long, g string, v string, old_g string, old_v string")
+    for by in (["g"], []):
+        out = apply.replay_rows(spark.createDataFrame(base, "g string, v string"), log, ["g", "v"], ["lsn"], by)
+        assert sorted((tuple(r) for r in out.collect()), key=repr) == want

@@ -94,3 +94,35 @@ def split_key_changes(log: DataFrame, keys: list[str], old: str = "old_") -> Dat
     rows = log.withColumn("__x", F.explode(F.when(moved, both).otherwise(F.array(F.struct(F.col("op").alias("o"), F.lit(0).alias("p"))))))
     named = {k: F.when((F.col("__x.o") == "d") & moved, F.col(f"{old}{k}")).otherwise(F.col(k)) for k in keys}
     return rows.withColumns(named | {"op": F.col("__x.o"), "part": F.col("__x.p")}).drop("__x", *[f"{old}{k}" for k in keys])
+
+
+def replay_rows(base: DataFrame, log: DataFrame, columns: list[str], order: list[str], by: list[str]) -> DataFrame:
+    """The base after the log for a table without a key, where whole rows identify and equal rows stand together.
+
+    log(op, order, columns, old_<column>...): a create adds a row, an update turns every row equal to its old image into the
+    new one, a deletion takes every equal row. Such changes depend on each other through their values, so they run one after
+    the other inside each group of `by`: columns of the table that no update changes (a tenant, a day). Groups must be small
+    enough for a task; with by=[] the whole table is one group.
+    """
+    held = base.groupBy(*columns).count().select(*columns, F.col("count").alias("__n"))
+    rows = log.select("op", *order, *columns, *[f"old_{c}" for c in columns])
+    both = rows.unionByName(held, allowMissingColumns=True)
+    group = [F.coalesce(F.col(c), F.col(f"old_{c}")).alias(f"__g{i}") for i, c in enumerate(by)] or [F.lit(0).alias("__g0")]
+    schema = base.select(*columns).schema
+
+    def run(frame):
+        import pandas as pd
+
+        plain = lambda values: tuple(None if v is None or v != v else v for v in values)
+        start, counts = frame["__n"].notna(), {}
+        for r in frame[start][[*columns, "__n"]].itertuples(index=False):
+            counts[plain(r[:-1])] = int(r[-1])
+        for r in frame[~start].sort_values(order)[["op", *columns, *[f"old_{c}" for c in columns]]].itertuples(index=False):
+            new, old = plain(r[1 : 1 + len(columns)]), plain(r[1 + len(columns) :])
+            if r[0] == "c":
+                counts[new] = counts.get(new, 0) + 1
+            elif (n := counts.pop(old, 0)) and r[0] == "u":
+                counts[new] = counts.get(new, 0) + n
+        return pd.DataFrame([row for row, n in counts.items() for _ in range(n)], columns=columns)
+
+    return both.groupBy(*group).applyInPandas(run, schema)
