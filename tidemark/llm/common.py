@@ -33,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there, so a lost executor costs no recomputation of what came before."""
     ensure_shared_dir(df.sparkSession)
