@@ -39,7 +39,7 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Mean fingerprints of a shard, beyond which one more block is used.
 MEAN_SHARD = 128
 #: Fingerprints of one tree, beyond which a shard is split.
-TREE_SIZE = 4096
+TREE_SIZE = 2048
 #: A shard is split only if it also holds more than this part of all rows; so there are at most that many to broadcast.
 SPLIT_KEYS = 50_000
 
