@@ -32,8 +32,8 @@ from .common import replacing, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks that a worker remembers, and rows that it hands on at a time.
-REMEMBERED, ROWS = 300_000, 256
+#: Chunks that a worker remembers (some 250 bytes each), and rows that it hands on at a time.
+REMEMBERED, ROWS = 800_000, 256
 #: Texts up to this length have their agenda as a list, longer ones as a heap.
 SHORT, NEVER = 40, float("inf")
 
@@ -144,8 +144,7 @@ class Vocabulary:
                 if key == "" and self.chunks[key] == (self.ids[SPACE],):
                     continue  # one blank alone: the library gives an empty text no ids
                 raise ValueError(f"the library encodes another way: {key!r}")
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
+        self.chunks.age()
 
     def decode(self, ids: list[int]) -> str:
         try:
@@ -156,13 +155,25 @@ class Vocabulary:
 
 
 class _Chunks(dict):
-    """Ids by chunk. Keys are texts without the blank that stands in front, except those that begin with a line end."""
+    """Ids by chunk. Keys are texts without the blank that stands in front, except those that begin with a line end.
+
+    Once half of REMEMBERED are there, they become the old half; a chunk found there is young again, the rest is forgotten
+    when the next half is full. So frequent chunks stay.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.new = vocabulary, []
+        self.vocabulary, self.new, self.old = vocabulary, [], {}
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED // 2:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, key: str) -> tuple[int, ...]:
+        if (out := self.old.get(key)) is not None:
+            self[key] = out
+            return out
         self.new.append(key)
         out = self[key] = tuple(self.vocabulary.agenda(key if key[:1] == "\n" else SPACE + key.replace(" ", SPACE)))
         return out
