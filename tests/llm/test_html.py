@@ -55,6 +55,19 @@ def test_content_without_an_article():
     assert text_of(pages[1], *[p for p in pages if p != pages[1]]) == ["Title 1", "Body text 1 that is long enough.", "More 1."]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<body><div id='header'>Site</div><div class='post-content'><h1>T</h1><p>Body of the text</p></div><div class='sidebarLeft'>s</div><div id=footer>f</div></body>", ["T", "Body of the text"]),
+    ("<body><main><p>crumbs</p><article><header><h1>T</h1></header><p>B</p><footer>tags</footer></article><aside>x</aside></main></body>", ["T", "B"]),
+    ("<body><main><h1>T</h1><p>B</p><div class='share-buttons'>s</div></main><div>other</div></body>", ["T", "B"]),
+    ("<body><article><h1>T</h1><p>B</p><section id=comments><h3>2 comments</h3><article><p>c</p></article></section></article></body>", ["T", "B"]),
+    ("<body><div role='main'><p>B</p></div><div role=complementary><p>c</p></div></body>", ["B"]),
+    ("<body class='has-sidebar'><article class='with-ads'><p>B</p><ins class='adsbygoogle'></ins></article></body>", ["B"]),
+    ("<body><article><table><tr><td>a</td><td>b &lt; c</td></tr></table><pre>x\n  y</pre><dl><dt>k<dd>v</dl></article></body>", ["a", "b < c", "x y", "k", "v"]),
+])
+def test_kinds_of_pages(page, want):
+    assert text_of(page) == want
+
+
 def test_comment_article_is_left_out():
     page = "<body><article><p>main</p><article class='comment'><p>c</p></article></article></body>"
     assert text_of(page) == ["main"]

@@ -64,8 +64,13 @@ NOT_CONTENT_WORDS = frozenset(
     notification overlay pager pagination popup promo promoted promotion promotions related replies reply respond share sharing sidebar sidebars
     signup social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets""".split()
 )
+COMMENT_WORDS = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
+#: What an article element isn't the article by; it may carry other words of the list, like with-ads.
+NOT_THE_ARTICLE_WORDS = COMMENT_WORDS | frozenset("advert advertisement promo related sponsored teaser".split())
 #: Children of one element, beyond which a row is written as one loop.
 LONGEST_ROW = 48
+#: Characters of all wrappers up to which they are broadcast, so that pages needn't move; beyond, pages are joined by host.
+BROADCAST_BYTES = 32 << 20
 
 
 class Node:
@@ -321,7 +326,24 @@ def _is_left_out(n: Node) -> bool:
     name, _, role = n.sig.partition("@")
     if role in NOT_CONTENT_ROLES:
         return True
-    return n.tag not in ("html", "body", "main", "#root") and not NOT_CONTENT_WORDS.isdisjoint(name.split(".")[1:])
+    words = NOT_THE_ARTICLE_WORDS if n.tag == "article" else NOT_CONTENT_WORDS
+    return n.tag not in ("html", "body", "main", "#root") and not words.isdisjoint(_words(name))
+
+
+def _words(name: str) -> list[str]:
+    return name.split(".")[1:]
+
+
+def _goes(n: Node, state: int) -> bool:
+    """Left out where it stands: a part of an article or of comments always, else unless it holds the article itself."""
+    inner = state == 3 or not COMMENT_WORDS.isdisjoint(_words(n.sig.partition("@")[0]))
+    return _is_left_out(n) and (inner or not _has_article(n))
+
+
+def _is_page_header(n: Node) -> bool:
+    """A header that isn't an article's own."""
+    words = _words(n.sig.partition("@")[0])
+    return (n.tag == "header" or "header" in words) and not {"article", "post", "entry", "story", "content"} & set(words) and not _has_article(n)
 
 
 def _has_article(n: Node) -> bool:
@@ -329,18 +351,20 @@ def _has_article(n: Node) -> bool:
 
 
 def mark(root: Node) -> list[int]:
-    """For each element of a wrapper, in order of its text: 0 not content, 1 content, 2 article or main."""
+    """For each element of a wrapper, in order of its text: 0 not content, 1 content, 2 inside main (or, without main or
+    article, in the densest element), 3 inside an article."""
     order: list[Node] = []
     marks: dict[int, int] = {}
     template = root.pages >= 3 and _varies(root)
 
     def walk(n: Node, state: int) -> None:
         order.append(n)
-        inside = state == 2
-        if state and ((_is_left_out(n) and not _has_article(n)) or (n.tag == "header" and not inside)):
+        if state and (_goes(n, state) or (state == 1 and _is_page_header(n))):
             state = 0
-        elif state and (n.tag in ("article", "main") or n.sig.endswith("@main")):
-            state = 2
+        elif state and n.tag == "article":
+            state = 3
+        elif state and (n.tag == "main" or n.sig.endswith("@main")):
+            state = max(state, 2)
         own = state
         if own == 1 and template and n.same > 0 and not n.many and n.pages >= 3:
             own = 0  # says the same on every page, outside of any article
@@ -349,7 +373,7 @@ def mark(root: Node) -> list[int]:
             walk(k, state)
 
     walk(root, 1)
-    if 2 not in marks.values():
+    if max(marks.values()) < 2:
         best = _densest(root, marks)
         if best is not None:
             inner = set()
@@ -453,7 +477,7 @@ class Extractor:
             while node.up is not None:
                 node = node.up
             marked.append((found[index[id(node)]], text))
-        wanted = 2 if any(m == 2 for m, _ in marked) else 1
+        wanted = max((m for m, _ in marked), default=0) or 1
         return [t for m, t in marked if m == wanted]
 
 
@@ -522,6 +546,8 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """pages, without the html, with text (blocks joined by a line end) and n_chars."""
     wrappers = cut(infer_wrappers(pages, url_col, html_col)).select(F.col("host").alias("__host_w"), F.col("wrapper").alias("__wrapper"))
+    if (wrappers.agg(F.sum(F.length("__wrapper") + F.length("__host_w"))).first()[0] or 0) <= BROADCAST_BYTES:
+        wrappers = F.broadcast(wrappers)
     pages = replacing(pages, "text", "n_chars")
     kept = [c for c in pages.columns if c != html_col]
     rows = pages.withColumn("__host", _host(url_col)).withColumn("__html", F.coalesce(F.col(html_col), F.lit("")))
