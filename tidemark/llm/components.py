@@ -2,7 +2,8 @@
 
 Each round hooks every node to its smallest neighbour, shortens the pointers of that forest until they reach the roots,
 and replaces the ends of the remaining links by their roots. Links inside a component vanish, so rounds shrink quickly.
-Nothing but counts comes to the driver. Every round is cut by a checkpoint in the shared folder.
+Every round is cut by a checkpoint in the shared folder. Pointers are broadcast while a count shows that they are few (at most
+BROADCAST_ROWS pairs of numbers); larger ones are joined by a shuffle. Otherwise nothing but counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -13,15 +14,22 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+BROADCAST_ROWS = 200_000
+
+
+def _sized(pointers: DataFrame, count: int) -> DataFrame:
+    return F.broadcast(pointers) if count <= BROADCAST_ROWS else pointers
+
+
 def _ordered(edges: DataFrame) -> DataFrame:
     """Each link once, larger end first, without loops or nulls."""
     return edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
 
 
-def _to_roots(forest: DataFrame) -> DataFrame:
+def _to_roots(forest: DataFrame, count: int) -> DataFrame:
     """forest(node, parent), parent < node: the same with every parent replaced by the root above it."""
     while True:
-        up = forest.select(F.col("node").alias("n2"), F.col("parent").alias("p2"))
+        up = _sized(forest.select(F.col("node").alias("n2"), F.col("parent").alias("p2")), count)
         step = forest.join(up, F.col("parent") == F.col("n2"), "left").select(
             "node", F.coalesce("p2", "parent").alias("parent"), F.col("p2").isNotNull().alias("moved")
         )
@@ -37,17 +45,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     links = cut(_ordered(edges))
     labels = None
     while not links.isEmpty():
-        roots = _to_roots(cut(links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent"))))
+        pointers = cut(links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent")))
+        count = pointers.count()
+        roots = _to_roots(pointers, count)
         if labels is None:
             nodes = links.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
             labels = nodes.withColumn("component", F.col("node"))
-        above = roots.select(F.col("node").alias("r_node"), F.col("parent").alias("r_parent"))
+        above = _sized(roots.select(F.col("node").alias("r_node"), F.col("parent").alias("r_parent")), count)
         labels = cut(
             labels.join(above, F.col("component") == F.col("r_node"), "left").select(
                 "node", F.coalesce("r_parent", "component").alias("component")
             )
         )
-        up_a, up_b = above.toDF("an", "ap"), above.toDF("bn", "bp")
+        up_a, up_b = (_sized(roots.toDF(*names), count) for names in (("an", "ap"), ("bn", "bp")))
         links = cut(
             _ordered(
                 links.join(up_a, F.col("hi") == F.col("an"), "left")
