@@ -2,7 +2,6 @@
 
 import json
 
-import duckdb  # noqa: F401
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat as C

@@ -2,8 +2,6 @@
 
 from collections import Counter
 
-from pyspark.sql import functions as F
-
 from tidemark.llm import langid as L
 from tidemark.llm.common import table
 
@@ -85,4 +83,4 @@ def test_learning_ignores_held_out_rows(spark):
     ids = [r.id for r in spark.range(40).where(L.held_out("id")).collect()]
     docs = spark.createDataFrame([(i, "hidden words", "secret") if i in ids else (i, "open words", "known") for i in range(40)], "doc_id long, text string, lang string")
     assert L.learn(docs.where(~L.held_out())).languages == ["known"]
-    assert ids and F is not None
+    assert ids
