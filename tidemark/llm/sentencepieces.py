@@ -33,7 +33,7 @@ from .common import replacing, table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks that a worker remembers (some 250 bytes each), and rows that it hands on at a time.
-REMEMBERED, ROWS = 800_000, 256
+REMEMBERED, ROWS = 400_000, 256
 #: Texts up to this length have their agenda as a list, longer ones as a heap.
 SHORT, NEVER = 40, float("inf")
 
