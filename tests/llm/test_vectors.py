@@ -100,6 +100,29 @@ def test_links_against_brute_force(spark, monkeypatch, shard, block):
         assert {r.vec_id: (r.n_links, r.component_id) for r in out if r.vec_id in want} == want
 
 
+@pytest.mark.parametrize("block", [2048, 80])
+def test_every_link_of_a_group_larger_than_a_shard(spark, monkeypatch, block):
+    monkeypatch.setattr(G, "SHARD", 32)
+    monkeypatch.setattr(G, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    tight = rng.normal(size=16) + 0.2 * rng.normal(size=(300, 16))  # mean cosine about 0.96, some pairs below 0.93
+    x = np.vstack([tight, rng.normal(size=(600, 16))]).astype(np.float32)
+    unit = G._units(x.astype(float))
+    near = unit @ unit.T >= G.COSINE
+    np.fill_diagonal(near, False)
+    assert near[:300].sum() > 30_000
+    got = {r.vec_id: r.n_links for r in G.link_vectors(table_of(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])).collect()}
+    assert [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
+
+
+def test_shards_that_can_hold_a_link_are_visited():
+    rng = np.random.default_rng(9)
+    unit = G._units(np.vstack([rng.normal(size=8) + 0.3 * rng.normal(size=(200, 8)), rng.normal(size=(400, 8))]))
+    home, guest_in = G.shards_of(unit, G.kmeans(unit, 20, 8, rng), G.COSINE)
+    for a, b in zip(*np.nonzero(unit @ unit.T >= G.COSINE), strict=True):
+        assert home[a] == home[b] or home[b] in guest_in[a]
+
+
 def test_audit_and_empty(spark):
     x = clustered(np.random.default_rng(6), 200)
     frame = table_of(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])

@@ -1,18 +1,23 @@
 """Embedding near-duplicates (operator 4): links found on a robust-pruned flat graph.
 
-Vectors of one label are dealt to clusters, each vector to its OVERLAP nearest, so shards overlap. In each shard a flat
-graph is built: every vector's nearest candidates are pruned robustly (a candidate goes if a kept one is ALPHA times
-nearer to it than the vector itself), links are made mutual and pruned again. The adjacency lists that a vector got in
-its shards are united. Then each shard is searched for every vector in it, on the united lists: greedily with a beam,
-from the shard's medoids and from the vector's own place and list, and from there the search widens over every vector within the
-radius until none is new. A pair counts as linked only once its cosine is verified in double precision. audit() compares
-with brute force.
-
-A pair may meet in several shards; it counts in the first they share, which both know, so links are counted where they
-are found and never written out. Each shard gives a spanning forest of its links; components of the forests are the
-groups. Exact copies are one vertex with a count. A shard with too many vectors is split into blocks, each with a graph
-of its own, searched by all of the shard. Cluster centres come from a bounded sample of SAMPLE vectors and are at most
-CENTRES, which bounds the broadcast.
+Vectors of one label are dealt to shards by their nearest cluster centre. A vector also visits, as a guest, every shard
+that may hold a vector within the radius of it: u lies on its own centre's side of the plane between two centres, so v
+can be within the radius r of u only if |v-c(u)|^2 - |v-c(v)|^2 <= 2 r |c(u)-c(v)|. No linked pair is ruled out, whatever the
+size of a group. Where nothing can be ruled out, as in a large group of near copies or among vectors without clusters, a
+vector visits many shards, and work grows with the square of what can't be told apart.
+
+In each shard a flat graph is built: every vector's nearest candidates are pruned robustly (a candidate goes if a kept one is
+ALPHA times nearer to it than the vector itself), links are made mutual and pruned again. The shard's own vectors are
+searched on the graph: greedily with a beam, from the shard's medoids and from the vector's own place and list, and from
+there the search widens over every vector within the radius until none is new. Guests have no place in the graph; they
+are measured against every vector of the shard. A pair counts as linked only once its cosine is verified in double
+precision. audit() compares with brute force.
+
+A link of v to u counts in the shard of u, where v is at home or a guest, so links are counted where they are found and
+never written out. Each shard gives a spanning forest of its links; components of the forests are the groups. Exact copies
+are one vertex with a count. A shard with too many vectors is split into blocks, each with a graph of its own; those of the
+other blocks are its guests. Guests stream through a task, which holds one block. Cluster centres come from a bounded
+sample of SAMPLE vectors and are at most CENTRES, which bounds the broadcast.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and those without a label, link with
 nothing; vectors of other lengths are never compared; rows that repeat an id and a vector are one; rows that repeat an id
@@ -28,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import cut, replacing, table
@@ -35,9 +41,11 @@ from .components import connected_components
 from .vectors import kmeans, matrix, usable
 
 COSINE = 0.93
-#: Vectors that a shard is meant to hold, and beyond which it is split into blocks of half as many.
-SHARD, BLOCK = 256, 2048
-OVERLAP, SAMPLE, CENTRES = 3, 131_072, 16_384
+#: Vectors that are meant to be at home in a shard, and beyond which it is split into blocks of half as many.
+SHARD, BLOCK = 1024, 2048
+SAMPLE, CENTRES = 131_072, 16_384
+#: Guests that are measured at once.
+GUESTS = 1024
 #: A shard is split only if it also holds more than this part of all rows; so there are at most that many to broadcast.
 SPLIT_KEYS = 50_000
 #: Near and far neighbours of a vector in one graph, candidates for them, pruning factor, width of the search, entries.
@@ -197,113 +205,132 @@ def _centres(nodes: DataFrame) -> dict:
             by.setdefault(key, []).append(i)
     out, left, vectors = {}, CENTRES, rows.column(2).combine_chunks()
     for key, mine in sorted(by.items(), key=lambda x: -wanted[x[0]]):
-        k = min(-(-wanted[key] * OVERLAP // SHARD), max(2, len(mine) // 8), left)
+        k = min(-(-wanted[key] // SHARD), max(2, len(mine) // 8), left)
         if k >= 2:
             out[key] = kmeans(_units(matrix(vectors.take(pa.array(mine)))), k, 8, np.random.default_rng(11))
             left -= k
     return out
 
 
-def _deal(nodes: DataFrame) -> DataFrame:
-    """(label, d, shard, shards, node, many, v): a row for each shard of a vector; shards: all of them, in order."""
+def shards_of(unit: np.ndarray, centres: np.ndarray, cosine: float) -> tuple[np.ndarray, list[list[int]]]:
+    """Each vector's own shard, and the other shards in which a vector can be that has this cosine with it."""
+    radius, square = np.sqrt(2 - 2 * cosine), (centres * centres).sum(axis=1)
+    homes, guests = [], []
+    step = max(1, 4_000_000 // len(centres))
+    for at in range(0, len(unit), step):
+        away = square - 2 * (unit[at : at + step] @ centres.T)  # squared distances, less the same for all of a row
+        home = np.argmin(away, axis=1)
+        rows = np.arange(len(home))
+        apart = np.sqrt(np.maximum(square + square[home][:, None] - 2 * (centres[home] @ centres.T), 0))
+        near = away - away[rows, home][:, None] <= 2 * radius * apart + 1e-6  # far more than rounding
+        near[rows, home] = False
+        homes.append(home)
+        guests += [np.flatnonzero(x).tolist() for x in near]
+    return np.concatenate(homes), guests
+
+
+def _deal(nodes: DataFrame, cosine: float) -> DataFrame:
+    """nodes with home, their own shard, and guest_in, the other shards they visit."""
     shared = nodes.sparkSession.sparkContext.broadcast(_centres(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            near: list[list[int]] = [[0]] * len(labels)
-            for key in set(zip(labels, lengths, strict=True)):
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            home, visits = [0] * len(keys), [[]] * len(keys)
+            for key in set(keys):
                 centres = shared.value.get(key)
                 if centres is None:
                     continue
-                mine = np.array([i for i, k in enumerate(zip(labels, lengths, strict=True)) if k == key])
-                unit = _units(matrix(batch.column(4).take(pa.array(mine))))
-                apart = unit @ centres.T - 0.5 * (centres * centres).sum(axis=1)
-                best = np.argsort(-apart, axis=1, kind="stable")[:, :OVERLAP]
-                for i, b in zip(mine.tolist(), np.sort(best, axis=1).tolist(), strict=True):
-                    near[i] = b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
-
-    rows = nodes.mapInArrow(run, StructType([*nodes.schema.fields, StructField("shards", ArrayType(IntegerType()))]))
-    return rows.withColumn("shard", F.explode("shards"))
-
-
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Rows with equal values in the first `keys` columns, side by side, as one table for each."""
-    held: list[pa.RecordBatch] = []
-    now = None
+                mine = [i for i, k in enumerate(keys) if k == key]
+                own, others = shards_of(_units(matrix(batch.column(4).take(pa.array(mine)))), centres, cosine)
+                for i, h, o in zip(mine, own.tolist(), others, strict=True):
+                    home[i], visits[i] = h, o
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], names=[*batch.schema.names, "home", "guest_in"])
+
+    return nodes.mapInArrow(run, StructType([*nodes.schema.fields, StructField("home", IntegerType()), StructField("guest_in", ArrayType(IntegerType()))]))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Pieces of the batches whose first `keys` columns are equal, with their values."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
         names = list(zip(*[batch.column(i).to_pylist() for i in range(keys)], strict=True))
         start = 0
         for i in range(1, len(names) + 1):
             if i == len(names) or names[i] != names[start]:
-                if held and names[start] != now:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                now = names[start]
-                held.append(batch.slice(start, i - start))
+                yield names[start], batch.slice(start, i - start)
                 start = i
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, each place's smaller place of its group, once the groups of a and b are one."""
+    while len(a) and (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        for ends in (root[a], root[b], a, b):
+            np.minimum.at(root, ends, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+class Block:
+    """The vectors at home in a block of a shard: the links of each, and of the guests that come by."""
+
+    def __init__(self, node: np.ndarray, many: np.ndarray, unit: np.ndarray, cosine: float):
+        self.node, self.many, self.unit, self.cosine = node, many.astype(np.float64), unit, cosine
+        self.root, self.links = np.arange(len(node)), np.zeros(len(node), dtype=np.int64)
+        if len(node) > 1:
+            graph = build_graph(unit)
+            begin, slot = np.nonzero(graph >= 0)
+            known = begin, graph[begin, slot]
+            q, v = range_search(unit, Mutual(len(unit), *known), unit, self.root.copy(), known, cosine)
+            self.links = np.bincount(q, weights=self.many[v], minlength=len(node)).astype(np.int64)
+            self.root = _join(self.root, q, v)
+
+    def guests(self, node: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, links, one that it links to) of the guests that link; their links join the groups of the block."""
+        near = unit @ self.unit.T >= self.cosine
+        first = np.argmax(near, axis=1)
+        q, v = np.nonzero(near)
+        n = len(self.node)
+        pairs = np.unique(v * n + first[q])
+        self.root = _join(self.root, pairs // n, pairs % n)
+        some = near.any(axis=1)
+        return node[some], (near[some] @ self.many).astype(np.int64), self.node[first[some]]
+
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some = (self.links > 0) | (self.root != np.arange(len(self.node)))
+        return self.node[some], self.links[some], self.node[self.root[some]]
+
+
+def _links(batches: Iterator[pa.RecordBatch], cosine: float, label_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Rows (label, d, shard, block, own, node, many, v), a block's own before its guests -> (label, d, node, links, root)."""
+    now, held, block = None, [], None
+
+    def out(key: tuple, rows: tuple) -> pa.RecordBatch:
+        n = len(rows[0])
+        columns = [pa.array([key[0]] * n, label_type), pa.array([key[1]] * n, pa.int32()), *[pa.array(x) for x in rows]]
+        return pa.RecordBatch.from_arrays(columns, names=["label", "d", "node", "links", "root"])
+
+    def made() -> Block:
+        rows = pa.Table.from_batches(held)
+        return Block(rows.column(5).to_numpy(), rows.column(6).to_numpy(), _units(matrix(rows.column(7).combine_chunks())), cosine)
+
+    for key, rows in _runs(batches, 4):
+        if key != now:
+            if held:
+                yield out(now, (block or made()).own())
+            now, held, block = key, [], None
+        own = rows.num_rows if rows.column(4)[-1].as_py() else rows.column(4).to_pylist().index(False)
+        if own:
+            held.append(rows.slice(0, own))
+        if not held:
+            continue  # nothing is at home in the block
+        for at in range(own, rows.num_rows, GUESTS):
+            block = block or made()
+            part = rows.slice(at, GUESTS)
+            yield out(key, block.guests(part.column(5).to_numpy(), _units(matrix(part.column(7)))))
     if held:
-        yield pa.Table.from_batches(held)
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (label, d, shard, block, node, v) -> (label, d, node, next): each vector's neighbours in this graph."""
-    for group in _groups(batches, 4):
-        if len(group) < 2:
-            continue
-        nodes = group.column(4).to_numpy()
-        graph = build_graph(_units(matrix(group.column(5).combine_chunks())))
-        next_to = [nodes[row[row >= 0]] for row in graph]
-        columns = [group.column(0).combine_chunks(), group.column(1).combine_chunks(), group.column(4).combine_chunks(), pa.array(next_to, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["label", "d", "node", "next"])
-
-
-def _links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Rows (label, d, shard, tree, own, node, many, shards, v, next) -> (label, d, node, links, root)."""
-    for group in _groups(batches, 4):
-        if len(group) < 2:
-            continue
-        own, node, many = group.column(4).to_numpy(), group.column(5).to_numpy(), group.column(6).to_numpy()
-        shards, shard = group.column(7).to_pylist(), group.column(2)[0].as_py()
-        unit = _units(matrix(group.column(8).combine_chunks()))
-        inside = np.flatnonzero(own)
-        if not len(inside):
-            continue
-        place = {int(node[i]): k for k, i in enumerate(inside)}
-        lists = [[place[x] for x in row or [] if x in place] for row in group.column(9).to_pylist()]
-        begin = np.repeat(np.arange(len(node)), [len(x) for x in lists])
-        end = np.array([x for row in lists for x in row], dtype=np.int64)
-        at = np.full(len(node), -1, dtype=np.int64)
-        at[inside] = np.arange(len(inside))
-        mutual = at[begin] >= 0
-        q, v = range_search(unit[inside], Mutual(len(inside), at[begin[mutual]], end[mutual]), unit, at, (begin, end), cosine)
-        v = inside[v]
-        # Count a pair in the first shard that both are in.
-        seats = np.full((len(node), OVERLAP), -1, dtype=np.int64)
-        for i, s in enumerate(shards):
-            seats[i, : len(s)] = s
-        first = np.full(len(q), np.iinfo(np.int64).max)
-        for i in range(OVERLAP):
-            for j in range(OVERLAP):
-                same = (seats[q, i] == seats[v, j]) & (seats[q, i] >= 0)
-                first[same] = np.minimum(first[same], seats[q, i][same])
-        here = first == shard
-        links = np.bincount(q[here], weights=many[v[here]].astype(np.float64), minlength=len(node)).astype(np.int64)
-        root = np.arange(len(node))
-        while len(q):
-            low = np.minimum(root[q], root[v])
-            if (root[q] == root[v]).all():
-                break
-            for ends in (root[q], root[v], q, v):
-                np.minimum.at(root, ends, low)
-            while (root[root] != root).any():
-                root = root[root]
-        some = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
-        columns = [group.column(0).combine_chunks().take(pa.array(some)), group.column(1).combine_chunks().take(pa.array(some))]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(node[some]), pa.array(links[some]), pa.array(node[root[some]])], names=["label", "d", "node", "links", "root"])
+        yield out(now, (block or made()).own())
 
 
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -313,26 +340,20 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     good = vectors.where(takes_part).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     nodes = good.distinct().groupBy("label", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("many")).withColumn("d", F.size("v"))
     nodes = cut(nodes.select("label", "d", "node", "many", "v"))
-    dealt = cut(_deal(nodes))
-    sizes = dealt.groupBy("label", "d", "shard").count()
-    least = max(BLOCK, OVERLAP * nodes.count() // SPLIT_KEYS)
+    dealt = cut(_deal(nodes, cosine))
+    sizes = dealt.groupBy("label", "d", F.col("home").alias("shard")).count()
+    least = max(BLOCK, nodes.count() // SPLIT_KEYS)
     large = sizes.where(F.col("count") > least).select("label", "d", "shard", F.ceil(2 * F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.join(F.broadcast(cut(large)), ["label", "d", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    # A vector's blocks differ from shard to shard, so its united list reaches into other blocks than its own.
-    block = F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int")
+    visits = dealt.withColumn("shard", F.explode(F.concat(F.array("home"), "guest_in")))
+    visits = visits.join(F.broadcast(cut(large)), ["label", "d", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own_block = F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int")
+    own = (F.col("home") == F.col("shard")) & (own_block == F.col("block"))
     keys = ["label", "d", "shard", "block"]
-    in_blocks = dealt.withColumn("block", block).select(*keys, "node", "v").repartition(*keys).sortWithinPartitions(*keys, "node")
-    label_type = nodes.schema["label"].dataType.simpleString()
-    lists = in_blocks.mapInArrow(_lists, f"label {label_type}, d int, node long, next array<long>")
-    united = cut(lists.groupBy("label", "d", "node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next")))
-    seen = (
-        dealt.join(united, ["label", "d", "node"], "left")
-        .withColumn("own_block", block)
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(*keys, (F.col("own_block") == F.col("block")).alias("own"), "node", "many", "shards", "v", "next")
-    )
-    seen = seen.repartition(*keys).sortWithinPartitions(*keys, "node")
-    found = cut(seen.mapInArrow(lambda it: _links(it, cosine), f"label {label_type}, d int, node long, links long, root long"))
+    seen = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, own.alias("own"), "node", "many", "v")
+    seen = seen.repartition(*keys).sortWithinPartitions(*keys, F.desc("own"), "node")
+    label_type = nodes.schema["label"].dataType
+    arrow_type = to_arrow_type(label_type)
+    found = cut(seen.mapInArrow(lambda it: _links(it, cosine, arrow_type), f"label {label_type.simpleString()}, d int, node long, links long, root long"))
     counts = found.groupBy("label", "d", "node").agg(F.sum("links").alias("links"))
     per_node = nodes.join(counts, ["label", "d", "node"], "left").select(
         "label", "v", "node", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links_")
