@@ -144,3 +144,16 @@ def test_similar_groups_against_jaccard(spark):
     for i in range(len(texts)):
         mates = [j for j in range(len(texts)) if j != i and got[j] == got[i]]
         assert not mates or max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in mates) >= 0.75
+
+
+def test_texts_that_share_a_repeated_line_only_stay(spark):
+    line = " ".join(f"line{i}" for i in range(21)) + " "
+    own = [" ".join(f"own{d}x{i}" for i in range(500)) for d in range(3)]
+    texts = [line * 150 + t for t in own] + [own[0], own[1]]
+    near = own[0].replace("own0x250 ", "other ")
+    texts += [line * 150 + near, line * 3 + own[2]]
+    assert S.fingerprint(texts[0], 5) == S.fingerprint(texts[1], 5)  # which counts repeats
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.group_similar(docs).collect()}
+    assert got == {0: 0, 3: 0, 5: 0, 1: 1, 4: 1, 2: 2, 6: 2}
+    assert sorted(r.doc_id for r in S.keep_one_each(docs).collect()) == [0, 1, 2]

@@ -14,6 +14,8 @@ Fingerprints that differ in few bits belong to texts that are almost equal. For
 part the fingerprints. There a shard is a text's smallest shingle hash under one of KEYS orders: texts of similarity s
 share each with probability s, so one of 0.8 is missed in 3 of 10,000 cases. The shard's BK-tree is searched within
 WIDE_RADIUS, and a pair links if their sketches (smallest hashes in BINS parts of the hash range) agree on the similarity.
+All of it is of sets: the fingerprint counts each different shingle once, and what is compared once, however many documents
+have it, is a set of shingles (by a hash of it). Different sets with one fingerprint are compared like any others.
 
 Defined cases: null or blank text has fingerprint zero and links like any other; text of fewer words than a shingle is
 one shingle; exact copies share a fingerprint and are compared once; a null doc_id has a fingerprint and gets its
@@ -136,9 +138,9 @@ class BKForest:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _forest_links(values: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, radius: int, agree=None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (value, smallest position's value of its group) that span the groups found in these shards. agree: whether
-    pairs of positions within the radius link."""
+def _forest_links(values: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, radius: int, agree=None, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (name, smallest position's name of its group) that span the groups found in these shards; values are their own
+    names if there are no others. agree: whether pairs of positions within the radius link."""
     inside = np.flatnonzero(in_tree)
     trees = BKForest(values[inside], shard[inside])
     label = np.arange(len(values))
@@ -166,7 +168,8 @@ def _forest_links(values: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, ra
                     break
                 label = up
     moved = np.flatnonzero(label != np.arange(len(values)))
-    return values[moved], values[label[moved]]
+    names = values if names is None else names
+    return names[moved], names[label[moved]]
 
 
 def blocks_for(count: int, radius: int = RADIUS) -> int:
@@ -233,8 +236,8 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 
 
 def _search_similar(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (choice, bits, tree, own, fp, sketch) -> links of pairs whose sketches agree on the similarity."""
-    for shard, own, fp, sketch in _by_shard(batches, 3):
+    """Rows (choice, bits, tree, own, unit, fp, sketch) -> links of units whose sketches agree on the similarity."""
+    for shard, own, unit, fp, sketch in _by_shard(batches, 3):
         if not len(fp):
             continue
         table = np.frombuffer(b"".join(sketch.tolist()), dtype=np.uint8).reshape(len(fp), -1)
@@ -247,12 +250,12 @@ def _search_similar(batches: Iterator[pa.RecordBatch], radius: int, similarity:
                 out[at : at + 8192] = same >= (similarity - TOLERANCE) * np.maximum(there, 1)
             return out
 
-        yield _pairs(*_forest_links(fp.view(np.uint64), shard, own, radius, agree))
+        yield _pairs(*_forest_links(fp.view(np.uint64), shard, own, radius, agree, unit))
 
 
 def _dealt(rows: DataFrame, all_rows: int) -> DataFrame:
-    """rows(choice, bits, fp, ...) -> with tree and own: a shard's rows are dealt to trees, and each also comes, as a query,
-    to the trees before its own. Sorted by shard and tree within partitions."""
+    """rows(choice, bits, name, ...) -> with tree and own: a shard's rows are dealt to trees by name, and each also comes, as a
+    query, to the trees before its own. Sorted by shard and tree within partitions."""
     rest = [c for c in rows.columns if c not in ("choice", "bits")]
     least = max(TREE_SIZE, all_rows // SPLIT_KEYS)
     # At most SPLIT_KEYS keys can hold more than that part of all rows, which bounds what is broadcast.
@@ -262,7 +265,7 @@ def _dealt(rows: DataFrame, all_rows: int) -> DataFrame:
         .where(F.col("count") > least)
         .select("choice", "bits", F.ceil(F.col("count") / TREE_SIZE).cast("int").alias("trees"))
     )
-    own_tree = F.when(F.col("trees").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
+    own_tree = F.when(F.col("trees").isNull(), 0).otherwise(F.pmod(F.xxhash64(rest[0]), F.col("trees")).cast("int"))
     dealt = (
         rows.join(F.broadcast(cut(large)), ["choice", "bits"], "left")
         .withColumn("own_tree", own_tree)
@@ -301,51 +304,59 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
     return keys, np.where(least == np.iinfo(np.uint64).max, 0, 1 + (least >> np.uint64(8)) % np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def shingle_set(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
+    """A hash of the text's set of shingles (as a signed long), and the set as sorted hashes."""
+    import xxhash
+
+    hashes = np.unique(shingle_hashes(text, shingle))
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64)), hashes
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id_col, fp, keys, sketch) of each document."""
+    """(id_col, unit, fp, keys, sketch) of each document's set of shingles; unit is the set's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, sketches = [], [], []
+            units, fps, keys, sketches = [], [], [], []
             for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), shingle)
+                unit, hashes = shingle_set(text.as_py(), shingle)
                 k, s = sketch(hashes)
+                units.append(unit)
                 fps.append(majority(hashes))
                 keys.append(k)
                 sketches.append(s)
-            columns = [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "keys", "sketch"])
+            columns = [batch.column(0), pa.array(units, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "unit", "fp", "keys", "sketch"])
 
     kind = docs.schema[id_col].dataType
-    more = [StructField("fp", LongType()), StructField("keys", ArrayType(LongType())), StructField("sketch", BinaryType())]
+    more = [StructField("unit", LongType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType())), StructField("sketch", BinaryType())]
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast(StringType()).alias("text"))
     return picked.mapInArrow(run, StructType([StructField("id", kind), *more])).withColumnRenamed("id", id_col)
 
 
 def similar_links(distinct: DataFrame, similarity: float, radius: int = WIDE_RADIUS) -> DataFrame:
-    """distinct(fp, keys, sketch), each fp once -> (a, b): links that span the groups."""
-    keys = distinct.select("fp", F.posexplode("keys").alias("choice", "bits"))
+    """distinct(unit, fp, keys, sketch), each unit once -> (a, b): links of units that span the groups."""
+    keys = distinct.select("unit", F.posexplode("keys").alias("choice", "bits"))
     shared = keys.groupBy("choice", "bits").count().where("count > 1").select(F.col("choice").alias("c2"), F.col("bits").alias("b2"))
     met = cut(keys.join(shared, (F.col("choice") == F.col("c2")) & (F.col("bits") == F.col("b2")), "left_semi"))
-    rows = met.join(distinct.select(F.col("fp").alias("f2"), "sketch"), F.col("fp") == F.col("f2")).select("choice", "bits", "fp", "sketch")
+    rows = met.join(distinct.select(F.col("unit").alias("u2"), "fp", "sketch"), F.col("unit") == F.col("u2")).select("choice", "bits", "unit", "fp", "sketch")
     return _dealt(rows, met.count()).mapInArrow(lambda batches: _search_similar(batches, radius, similarity), "a long, b long")
 
 
-def _grouped(fps: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
-    """fps(id_col, fp) with component_id: the smallest id over the fingerprints that links join."""
-    reps = fps.groupBy("fp").agg(F.min(id_col).alias("rep"))
+def _grouped(docs: DataFrame, links: DataFrame, id_col: str, unit: str = "fp") -> DataFrame:
+    """docs(id_col, unit) with component_id: the smallest id over the units that links join."""
+    reps = docs.groupBy(unit).agg(F.min(id_col).alias("rep"))
     comps = connected_components(links)
-    named = reps.join(comps, reps["fp"] == comps["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    named = reps.join(comps, reps[unit] == comps["node"], "left").select(unit, "rep", F.coalesce("component", unit).alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return fps.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    return docs.join(named.join(smallest, "root").select(unit, "component_id"), unit).select(id_col, unit, "component_id")
 
 
 def group_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, fp, component_id): groups of documents linked by the similarity of their shingle sets, as sketches tell it."""
+    """(id_col, unit, component_id): groups of documents linked by the similarity of their shingle sets, as sketches tell it."""
     found = cut(signatures(docs, id_col, text_col, shingle))
-    # Equal fingerprints are one; the smallest keys and sketch stand for them.
-    distinct = cut(found.groupBy("fp").agg(F.min(F.struct("keys", "sketch")).alias("s")).select("fp", "s.keys", "s.sketch"))
-    return _grouped(found.select(id_col, "fp"), similar_links(distinct, similarity), id_col)
+    distinct = cut(found.groupBy("unit").agg(F.min(F.struct("fp", "keys", "sketch")).alias("s")).select("unit", "s.fp", "s.keys", "s.sketch"))
+    return _grouped(found.select(id_col, "unit"), similar_links(distinct, similarity), id_col, "unit")
 
 
 def group_near_duplicates(
@@ -364,7 +375,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of docs that stand for their group of similar documents: the one with the group's smallest id.
 
     Rows that repeat one id stay once, as the row with the smallest text. Rows without an id stay if their group has no
-    id at all, once for each fingerprint.
+    id at all, once for each set of shingles.
     """
     groups = cut(group_similar(docs, id_col, text_col, shingle, similarity))
     chosen = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
@@ -374,19 +385,19 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bare = docs.where(F.col(id_col).isNull())
     if bare.isEmpty():
         return with_id
-    nameless = groups.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("fp").alias("__fp")).distinct()
-    kept = fingerprint_column(bare, text_col, shingle).join(nameless, "__fp", "left_semi").dropDuplicates(["__fp"])
+    nameless = groups.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("unit").alias("__unit")).distinct()
+    kept = unit_column(bare, text_col, shingle).join(nameless, "__unit", "left_semi").dropDuplicates(["__unit"])
     return with_id.unionByName(kept.select(*docs.columns))
 
 
-def fingerprint_column(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """docs with its fingerprint in __fp."""
+def unit_column(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """docs with the hash of its set of shingles in __unit."""
 
     @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+    def unit(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle)[0] for t in texts], dtype="int64")
 
-    return docs.withColumn("__fp", fp(F.col(text_col)))
+    return docs.withColumn("__unit", unit(F.col(text_col)))
 
 
 # ---------------------------------------------------------------- query
