@@ -68,6 +68,13 @@ def test_kinds_of_pages(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize("word", ["sidebar", "share", "social", "sponsored", "subscribe", "related", "reply", "promo", "newsletter", "widget"])
+def test_words_late_in_a_long_class_list_count(word):
+    classes = f"border col flex gap grid lg md order rounded shadow {word}"
+    assert text_of(f"<body><article><p>B</p><div class='{classes}'><p>x</p></div></article></body>") == ["B"]
+    assert text_of("<body><article><p>B</p><div class='border col flex gap grid lg md order rounded shadow'><p>x</p></div></article></body>") == ["B", "x"]
+
+
 def test_comment_article_is_left_out():
     page = "<body><article><p>main</p><article class='comment'><p>c</p></article></article></body>"
     assert text_of(page) == ["main"]

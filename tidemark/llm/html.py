@@ -67,6 +67,12 @@ NOT_CONTENT_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment commentlist comments discussion disqus replies reply respond".split())
 #: What an article element isn't the article by; it may carry other words of the list, like with-ads.
 NOT_THE_ARTICLE_WORDS = COMMENT_WORDS | frozenset("advert advertisement promo related sponsored teaser".split())
+#: What tells a header of an article or of a page.
+HEADER_WORDS, ARTICLE_WORDS = frozenset(["header"]), frozenset("article post entry story content".split())
+#: Words by which an element is judged; a signature names them all.
+TELLING_WORDS = NOT_CONTENT_WORDS | COMMENT_WORDS | NOT_THE_ARTICLE_WORDS | HEADER_WORDS | ARTICLE_WORDS
+#: Other words that a signature names; it has a hash of the rest, which only tells elements apart.
+OTHER_WORDS = 8
 #: Children of one element, beyond which a row is written as one loop.
 LONGEST_ROW = 48
 #: Characters of all wrappers up to which they are broadcast, so that pages needn't move; beyond, pages are joined by host.
@@ -125,7 +131,10 @@ def signature(tag: str, attributes: str) -> str:
         else:
             value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)
             words += [w for w in re.split(r"[^a-z]+", value.lower()) if w]
-    return tag + "".join("." + w for w in sorted(set(words))[:8]) + role
+    telling, others = sorted(TELLING_WORDS.intersection(words)), sorted(set(words) - TELLING_WORDS)
+    if rest := others[OTHER_WORDS:]:
+        others[OTHER_WORDS:] = [f"{zlib.crc32(' '.join(rest).encode()):08x}"]
+    return tag + "".join("." + w for w in sorted(telling + others)) + role
 
 
 def read(page: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -343,7 +352,7 @@ def _goes(n: Node, state: int) -> bool:
 def _is_page_header(n: Node) -> bool:
     """A header that isn't an article's own."""
     words = _words(n.sig.partition("@")[0])
-    return (n.tag == "header" or "header" in words) and not {"article", "post", "entry", "story", "content"} & set(words) and not _has_article(n)
+    return (n.tag == "header" or not HEADER_WORDS.isdisjoint(words)) and ARTICLE_WORDS.isdisjoint(words) and not _has_article(n)
 
 
 def _has_article(n: Node) -> bool:
