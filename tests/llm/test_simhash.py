@@ -57,10 +57,20 @@ def test_bk_search_finds_all_and_only_near():
     assert set(zip(q.tolist(), node.tolist(), strict=True)) == want and len(q) == len(want)
 
 
-@pytest.mark.parametrize("tree_size", [10, 4096])
-def test_links_over_shards_and_split_trees(spark, monkeypatch, tree_size):
+def test_long_texts_are_read_in_slices(monkeypatch):
+    text = " ".join(f"w{i * i % 101}" for i in range(500)) + " \n" + "x" * 300 + "  end"
+    whole = [S.shingle_hashes(text, n).tolist() for n in (1, 4, 600)]
+    monkeypatch.setattr(S, "SLICE", 64)
+    assert [S.shingle_hashes(text, n).tolist() for n in (1, 4, 600)] == whole
+    assert S.fingerprint(text, 4) == slow_fingerprint(text, 4)
+
+
+@pytest.mark.parametrize(("tree_size", "leaders", "most"), [(10, 4, 1 << 24), (10, 1, 200), (40, 64, 1 << 24), (4096, 64, 1 << 24)])
+def test_links_over_shards_and_split_trees(spark, monkeypatch, tree_size, leaders, most):
     monkeypatch.setattr(S, "TREE_SIZE", tree_size)
-    values = near_values(np.random.default_rng(3), 400, 25)
+    monkeypatch.setattr(S, "LEADERS", leaders)
+    monkeypatch.setattr(S, "BROADCAST_BYTES", most)
+    values = np.unique(np.concatenate([near_values(np.random.default_rng(3), 400, 25), near_values(np.random.default_rng(4), 300, 1)]))
     frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
     links = [(r.a, r.b) for r in S.fingerprint_links(frame).collect()]
     place = {int(v): i for i, v in enumerate(values.view(np.int64))}
@@ -114,6 +124,27 @@ def test_groups(spark):
     assert S.group_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_query_against_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    prints = {r.doc_id: slow_fingerprint(r.text, 4) for r in rows}
+    ids = sorted(prints)
+    label = groups_of(np.array([prints[i] for i in ids], dtype=np.uint64), 4)
+    want = {i: (f"{prints[i]:016x}", ids[k]) for i, k in zip(ids, label, strict=True)}
+    out = S.op6_simhash_near_dedup(spark, sf_dir).collect()
+    assert len(out) == len(rows) and {r.doc_id: (r.fingerprint, r.component_id) for r in out} == want
+
+
+def test_texts_under_one_id_are_apart(spark):
+    rows = [(1, "one text about the sea and ships", {"a": 1}, "x"), (1, "another that speaks of hills and goats", {"a": 2}, "y"), (1, "ONE text  about the sea and ships", {"b": 3}, "z"),
+            (2, "another that speaks of hills and goats", None, "w"), (3, "a third", {}, None), (None, "a third", {}, "n"), (None, "only here", None, "n"), (None, "only here", None, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, `odd.name` string")
+    kept = S.keep_one_each(docs)
+    assert kept.columns == docs.columns and kept.schema["m"].dataType == docs.schema["m"].dataType
+    got = sorted(((r.doc_id or 0), r.text, r["odd.name"]) for r in kept.collect())
+    assert got == [(0, "only here", "m"), (1, "ONE text  about the sea and ships", "z"), (1, "another that speaks of hills and goats", "y"), (3, "a third", None)]
+
+
 def test_keeping_one_of_each(spark):
     docs = spark.createDataFrame([(d, t, "l", "s", 1) for d, t, _ in DOCS], "doc_id long, text string, lang string, fp string, n_chars long")
     kept = S.keep_one_each(docs)
@@ -126,24 +157,26 @@ def changed(words, share, rng):
     return " ".join(f"new{rng.integers(10**9)}" if rng.random() < share else w for w in words)
 
 
-def test_similar_groups_against_jaccard(spark):
+@pytest.mark.parametrize("tree_size", [8, 1024])
+def test_similar_groups_against_jaccard(spark, monkeypatch, tree_size):
+    monkeypatch.setattr(S, "TREE_SIZE", tree_size)
     rng = np.random.default_rng(5)
     texts = []
-    for g in range(30):
+    for g in range(40):
         words = [f"w{g}x{i}" for i in range(int(rng.integers(20, 400)))]
-        texts += [changed(words, s, rng) for s in (0, 0, 0.005, 0.01, 0.02, 0.3)]
+        texts += [changed(words, s, rng) for s in (0, 0, 0.005, 0.01, 0.02, 0.02, 0.025, 0.3)]
+    words = [f"hot{i}" for i in range(200)]
+    texts += [changed(words, 0.01, rng) for _ in range(120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in S.group_similar(docs).collect()}
     sets = [set(S.shingle_hashes(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-            if s >= 0.83:
-                assert got[i] == got[j], (i, j, s)
-    # What groups is linked: each document is similar to another of its group, unless it is alone.
-    for i in range(len(texts)):
-        mates = [j for j in range(len(texts)) if j != i and got[j] == got[i]]
-        assert not mates or max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in mates) >= 0.75
+            if len(both := sets[i] & sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(both)):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert got == dict(enumerate(label))
 
 
 def test_texts_that_share_a_repeated_line_only_stay(spark):

@@ -45,9 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def named(column: str) -> Column:
+    """The column of that name, whatever signs the name holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def plain_text(column: str | Column) -> Column:
     """The text, or the empty text for null."""
-    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+    return F.coalesce(named(column) if isinstance(column, str) else column, F.lit(""))
 
 
 def replacing(df: DataFrame, *names: str) -> DataFrame:

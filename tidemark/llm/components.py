@@ -2,8 +2,9 @@
 
 Each round hooks every node to its smallest neighbour, shortens the pointers of that forest until they reach the roots,
 and replaces the ends of the remaining links by their roots. Links inside a component vanish, so rounds shrink quickly.
-Every round is cut by a checkpoint in the shared folder. Pointers are broadcast while a count shows that they are few (at most
-BROADCAST_ROWS pairs of numbers); larger ones are joined by a shuffle. Otherwise nothing but counts comes to the driver.
+Every round is cut by a checkpoint in the shared folder. Pointers are broadcast while a count shows that they are few; larger
+ones are joined by a shuffle, but for the nodes that very many rows point to (grouping.join_unique). Otherwise nothing but
+counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -12,13 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-
-
-BROADCAST_ROWS = 200_000
-
-
-def _sized(pointers: DataFrame, count: int) -> DataFrame:
-    return F.broadcast(pointers) if count <= BROADCAST_ROWS else pointers
+from .grouping import join_unique
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
@@ -29,8 +24,8 @@ def _ordered(edges: DataFrame) -> DataFrame:
 def _to_roots(forest: DataFrame, count: int) -> DataFrame:
     """forest(node, parent), parent < node: the same with every parent replaced by the root above it."""
     while True:
-        up = _sized(forest.select(F.col("node").alias("n2"), F.col("parent").alias("p2")), count)
-        step = forest.join(up, F.col("parent") == F.col("n2"), "left").select(
+        up = forest.select(F.col("node").alias("n2"), F.col("parent").alias("p2"))
+        step = join_unique(forest, "parent", up, "n2", count, count).select(
             "node", F.coalesce("p2", "parent").alias("parent"), F.col("p2").isNotNull().alias("moved")
         )
         forest = cut(step)
@@ -51,20 +46,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if labels is None:
             nodes = links.select(F.explode(F.array("hi", "lo")).alias("node")).distinct()
             labels = nodes.withColumn("component", F.col("node"))
-        above = _sized(roots.select(F.col("node").alias("r_node"), F.col("parent").alias("r_parent")), count)
-        labels = cut(
-            labels.join(above, F.col("component") == F.col("r_node"), "left").select(
-                "node", F.coalesce("r_parent", "component").alias("component")
-            )
-        )
-        up_a, up_b = (_sized(roots.toDF(*names), count) for names in (("an", "ap"), ("bn", "bp")))
-        links = cut(
-            _ordered(
-                links.join(up_a, F.col("hi") == F.col("an"), "left")
-                .join(up_b, F.col("lo") == F.col("bn"), "left")
-                .select(F.coalesce("ap", "hi").alias("a"), F.coalesce("bp", "lo").alias("b"))
-            )
-        )
+        above = roots.toDF("r_node", "r_parent")
+        labels = cut(join_unique(labels, "component", above, "r_node", count).select("node", F.coalesce("r_parent", "component").alias("component")))
+        ends = join_unique(join_unique(links, "hi", roots.toDF("an", "ap"), "an", count), "lo", roots.toDF("bn", "bp"), "bn", count)
+        links = cut(_ordered(ends.select(F.coalesce("ap", "hi").alias("a"), F.coalesce("bp", "lo").alias("b"))))
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     return labels

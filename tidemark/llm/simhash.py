@@ -4,27 +4,35 @@ Fingerprints of 64 bits within `radius` differing bits agree on at least m - rad
 is dealt to one shard for every choice of m - radius blocks, by the bits in them; two that link meet in some shard. m
 grows with the number of fingerprints, which keeps shards small at any size without losing a link. Each shard is a
 BK-tree: a child hangs below its parent under the integer Hamming distance between the two, and a search follows only
-edges within the radius of the distance it sees. A shard with too many fingerprints is split into several trees, each
-searched by all of the shard in blocks. Trees travel to the tasks that need them through a shuffle; a broadcast through
-the driver would gather fingerprints of all documents there. Each task gives a spanning forest of the links it found
-rather than all pairs, and components of those forests are the groups.
+edges within the radius of the distance it sees. Each task gives a spanning forest of the links it found rather than all
+pairs, and components of those forests are the groups.
+
+A shard of up to TREE_SIZE rows is one tree in one task. Larger ones, as a large group of near copies makes, are never in one
+task. First, trees of about LEADERS of each one's rows are broadcast, in rounds of at most BROADCAST_BYTES, and its rows are
+searched in them where they stand. The rows that one group of leaders holds need no search among themselves; every other row goes into a tree (of at
+most TREE_SIZE rows, as many trees as that takes), and all rows of the shard, in slices, visit each of those. So every
+link has been looked at, or both its ends are known to be in one group. Trees of the small shards travel through a
+shuffle: a broadcast would take fingerprints of all documents through the driver.
 
 Fingerprints that differ in few bits belong to texts that are almost equal. For groups by similarity of shingle sets
 (group_similar, which the pipeline uses: five words, 0.8 or more) the radius must be wide, and blocks of bits no longer
 part the fingerprints. There a shard is a text's smallest shingle hash under one of KEYS orders: texts of similarity s
 share each with probability s, so one of 0.8 is missed in 3 of 10,000 cases. The shard's BK-tree is searched within
-WIDE_RADIUS, and a pair links if their sketches (smallest hashes in BINS parts of the hash range) agree on the similarity.
-All of it is of sets: the fingerprint counts each different shingle once, and what is compared once, however many documents
-have it, is a set of shingles (by a hash of it). Different sets with one fingerprint are compared like any others.
-
-Defined cases: null or blank text has fingerprint zero and links like any other; text of fewer words than a shingle is
-one shingle; exact copies share a fingerprint and are compared once; a null doc_id has a fingerprint and gets its
-group's smallest id (null where the group has none); an empty table gives an empty result.
+WIDE_RADIUS, sketches (smallest hashes in BINS parts of the hash range) pass over pairs that are clearly less similar, and
+a pair links only if the two sets themselves are that similar. All of it is of sets: the fingerprint counts each
+different shingle once, and what is compared once, however many documents have it, is a set of shingles (by a hash of
+it). Different sets with one fingerprint are compared like any others.
+
+Defined cases: null or blank text has fingerprint zero (the empty set) and links like any other; text of fewer words than a
+shingle is one shingle; texts of any length are read whole, in slices; repeated rows and exact copies have one fingerprint, are compared once and have
+a row each in the result; a null doc_id has a fingerprint and gets its group's smallest id (null where the group has
+none); groups don't depend on ties; only the two named columns are read, so others may have any name and type; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,35 +40,53 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import cut, table
+from .common import cut, named, table
 from .components import connected_components
+from .grouping import join_groups, join_unique, join_verified, runs, sized
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Mean fingerprints of a shard, beyond which one more block is used.
 MEAN_SHARD = 128
-#: Fingerprints of one tree, beyond which a shard is split.
-TREE_SIZE = 2048
-#: A shard is split only if it also holds more than this part of all rows; so there are at most that many to broadcast.
-SPLIT_KEYS = 50_000
+#: Rows, and bytes of shingle sets, of one tree; a shard with more is searched in parts.
+TREE_SIZE, TREE_BYTES = 1024, 16 << 20
+#: Rows of a large shard that its broadcast tree holds, about; bytes of one broadcast.
+LEADERS, BROADCAST_BYTES = 64, 16 << 20
+#: Bytes of a text that are split into words at a time.
+SLICE = 4 << 20
+SPACES = b"\t\n\x0b\x0c\r "
 
 
 # ---------------------------------------------------------------- fingerprints
+def _words(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a slice at a time."""
+    at = 0
+    while at < len(data):
+        end = at + SLICE
+        if end < len(data):
+            end = min((i for c in SPACES if (i := data.find(c, end, end + SLICE)) >= 0), default=len(data))
+        yield data[at:end].split()  # of bytes: ASCII white space only
+        at = end
+
+
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     """XXH64 of each shingle of the whole text; of the whole if it has fewer words; none for no words."""
     import xxhash
 
-    words = (text or "").encode().lower().split()  # of bytes: ASCII letters and ASCII white space only
-    if not words:
-        return np.empty(0, dtype="<u8")
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(joined, SEED)], dtype="<u8")
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    return np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=len(words) - shingle + 1)
+    digest, out, words = xxhash.xxh64_intdigest, [], []
+    for some in _words((text or "").encode().lower()):  # of bytes: ASCII letters only
+        words += some
+        if len(words) >= shingle:
+            joined, count = b" ".join(words), len(words) - shingle + 1
+            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            starts = np.concatenate(([0], ends[:-1] + 1))
+            spans = zip(starts[:count].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+            out.append(np.fromiter((digest(joined[s:e], SEED) for s, e in spans), dtype="<u8", count=count))
+            words = words[count:]
+    if not out:
+        return np.array([digest(b" ".join(words), SEED)] if words else [], dtype="<u8")
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -88,7 +114,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType
     schema = StructType([StructField("id", kind), StructField("fp", LongType(), False)])
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast(StringType()).alias("text"))
+    picked = docs.select(named(id_col).alias("id"), named(text_col).cast(StringType()).alias("text"))
     return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -138,38 +164,45 @@ class BKForest:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _forest_links(values: np.ndarray, shard: np.ndarray, in_tree: np.ndarray, radius: int, agree=None, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (name, smallest position's name of its group) that span the groups found in these shards; values are their own
-    names if there are no others. agree: whether pairs of positions within the radius link."""
-    inside = np.flatnonzero(in_tree)
-    trees = BKForest(values[inside], shard[inside])
-    label = np.arange(len(values))
-    _, counts = np.unique(shard[inside], return_counts=True)
-    step = max(64, int(1_000_000 // max(1, counts.max(initial=1))))
-    for at in range(0, len(values), step):
-        q, node = trees.within(values[at : at + step], shard[at : at + step], radius)
-        a, b = q + at, inside[node]
+Same = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+class Trees:
+    """The trees of some shards, searched by rows that may link with what is in them; groups by position, a row of a tree
+    before any other. sets: the rows' shingle sets, if pairs must also be similar."""
+
+    def __init__(self, values: np.ndarray, shard: np.ndarray, radius: int, sets: Sets | None = None):
+        self.trees, self.radius, self.sets, self.n = BKForest(values, shard), radius, sets, len(values)
+        self.root = np.arange(self.n)
+        _, counts = np.unique(shard, return_counts=True)
+        self.step = max(64, int(1_000_000 // max(1, counts.max(initial=1))))
+        for at in range(0, self.n, self.step):
+            a, b = self.trees.within(values[at : at + self.step], shard[at : at + self.step], radius)
+            self.root = self._joined(self.root, a + at, b, self.sets)
+
+    def _joined(self, root: np.ndarray, a: np.ndarray, b: np.ndarray, sets: Sets | None) -> np.ndarray:
         a, b = a[a != b], b[a != b]
-        if agree is not None and len(a):
-            keep = agree(a, b)
-            a, b = a[keep], b[keep]
-        while len(a):  # smaller label wins, until none changes
-            low = np.minimum(label[a], label[b])
-            same = (label[a] == low) & (label[b] == low)
-            if same.all():
-                break
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            np.minimum.at(label, a, low)
-            np.minimum.at(label, b, low)
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
-    moved = np.flatnonzero(label != np.arange(len(values)))
-    names = values if names is None else names
-    return names[moved], names[label[moved]]
+        if sets is None:
+            return join_groups(root, a, b)
+        near = sets.may_be_similar(a, b)
+        return join_verified(root, a[near], b[near], sets.similar)
+
+    def visit(self, values: np.ndarray, shard: np.ndarray, sets: Sets | None = None) -> np.ndarray:
+        """For each row the position, in the trees, of a group that it links with, or -1; groups that it links with become one."""
+        out = np.full(len(values), -1, dtype=np.int64)
+        for at in range(0, len(values), self.step):
+            part = values[at : at + self.step]
+            q, node = self.trees.within(part, shard[at : at + self.step], self.radius)
+            both = None if self.sets is None else self.sets.beside(sets, at, at + len(part))
+            root = self._joined(np.concatenate([self.root, self.n + np.arange(len(part))]), q + self.n, node, both)
+            self.root, mine = root[: self.n], root[self.n :]
+            out[at : at + len(part)] = np.where(mine < self.n, mine, -1)
+        return out
+
+    def moved(self) -> tuple[np.ndarray, np.ndarray]:
+        """(position, root) of the rows in the trees that aren't their group's first."""
+        some = np.flatnonzero(self.root != np.arange(self.n))
+        return some, self.root[some]
 
 
 def blocks_for(count: int, radius: int = RADIUS) -> int:
@@ -207,101 +240,223 @@ def _by_shard(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.
         some = np.bincount(shard)[shard] > 1
         return [shard[some], *[c[some] for c in columns[keys:]]]
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(batch.num_columns)]
-        last = np.all([c == c[-1] for c in part[:keys]], axis=0)
-        start = 0 if last.all() else len(last) - int(np.argmin(last[::-1]))
-        follows = held and all(held[-1][i][-1] == part[i][0] for i in range(keys))
-        if start or not follows:
-            if start:
-                held.append([c[:start] for c in part])
-            if held:
-                yield whole(held)
-            held = []
-        held.append([c[start:] for c in part])
+    for whole_batch in batches:
+        for at in range(0, whole_batch.num_rows, 2 * TREE_SIZE):
+            batch = whole_batch.slice(at, 2 * TREE_SIZE)
+            part = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(batch.num_columns)]
+            last = np.all([c == c[-1] for c in part[:keys]], axis=0)
+            start = 0 if last.all() else len(last) - int(np.argmin(last[::-1]))
+            follows = held and all(held[-1][i][-1] == part[i][0] for i in range(keys))
+            if start or not follows:
+                if start:
+                    held.append([c[:start] for c in part])
+                if held:
+                    yield whole(held)
+                held = []
+            held.append([c[start:] for c in part])
     if held:
         yield whole(held)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-
-def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (choice, bits, tree, own, fp) sorted by the first three -> links; a tree may run over several batches."""
-    for shard, own, fp in _by_shard(batches, 3):
-        yield _pairs(*_forest_links(fp.view(np.uint64), shard, own, radius))
-
-
-def _search_similar(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (choice, bits, tree, own, unit, fp, sketch) -> links of units whose sketches agree on the similarity."""
-    for shard, own, unit, fp, sketch in _by_shard(batches, 3):
-        if not len(fp):
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _sets(column: np.ndarray | None, similarity: float | None) -> Sets | None:
+    return None if similarity is None else Sets([np.frombuffer(x, dtype="<u8") for x in column], similarity)
+
+
+def _whole_shards(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
+    """Rows (choice, bits, unit, fp, hashes?) of small shards sorted by the first two -> links of units."""
+    for shard, unit, fp, *hashes in _by_shard(batches, 2):
+        if len(fp):
+            a, b = Trees(fp.view(np.uint64), shard, radius, _sets(*hashes or [None], similarity)).moved()
+            yield _pairs(unit[a], unit[b])
+
+
+class _Leaders:
+    """The broadcast trees of some large shards."""
+
+    def __init__(self, rows: pa.Table, radius: int, similarity: float | None):
+        columns = [c.to_numpy() for c in rows.columns]
+        self.keys = {k: i for i, k in enumerate(sorted(set(self._shards(columns))))}
+        self.choice, self.bits, self.unit, self.similarity = *columns[:3], similarity
+        self.trees = Trees(columns[3].view(np.uint64), self._numbers(columns), radius, _sets(*columns[4:] or [None], similarity))
+        self.own = self.trees.root
+
+    @staticmethod
+    def _shards(columns: list[np.ndarray]) -> list[tuple[int, int]]:
+        return list(zip(columns[0].tolist(), columns[1].tolist(), strict=True))
+
+    def _numbers(self, columns: list[np.ndarray]) -> np.ndarray:
+        return np.array([self.keys[k] for k in self._shards(columns)], dtype=np.int64)
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (choice, bits, unit, fp, hashes?) -> (choice, bits, unit, root): a leader of the group that the row joins, or
+        null; and a row more for each leader whose group a row made one with another."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, TREE_SIZE):
+                columns = [np.asarray(c.to_numpy(zero_copy_only=False)) for c in whole.slice(at, TREE_SIZE).columns]
+                self.trees.root = self.own
+                found = self.trees.visit(columns[3].view(np.uint64), self._numbers(columns), _sets(*columns[4:] or [None], self.similarity))
+                made = np.flatnonzero(self.trees.root != self.own)
+                roots = np.concatenate([found, self.trees.root[made]])
+                names = pa.array(self.unit[np.maximum(roots, 0)], pa.int64(), mask=roots < 0)
+                rows = [pa.array(np.concatenate([x, y[made]])) for x, y in zip(columns, (self.choice, self.bits, self.unit), strict=False)]
+                yield pa.RecordBatch.from_arrays([*rows, names], names=["choice", "bits", "unit", "root"])
+
+
+def _by_leaders(hot: DataFrame, radius: int, similarity: float | None) -> DataFrame:
+    """(choice, bits, unit, root) of the rows of large shards, hot(choice, bits, n, unit, fp, hashes?); see _Leaders."""
+    keys, picked = ["choice", "bits"], [c for c in hot.columns if c != "n"]
+    part = F.pmod(F.xxhash64("unit", F.lit(7)), F.lit(1 << 30))
+    leaders = cut(hot.where(part < F.lit(LEADERS * 2.0**30) / F.col("n")).select(*picked))
+    size = leaders.agg(F.sum(F.lit(64) + (F.length("hashes") if "hashes" in picked else F.lit(0)))).first()[0] or 0
+    rounds = int(size // BROADCAST_BYTES) + 1
+    here = F.pmod(F.xxhash64(*keys), F.lit(rounds))
+    out = []
+    for k in range(rounds):
+        trees = _Leaders(leaders.where(here == k).toArrow(), radius, similarity)
+        shared = hot.sparkSession.sparkContext.broadcast((sorted(trees.keys), trees))
+        known = hot.sparkSession.createDataFrame(sorted(trees.keys), "choice int, bits long") if trees.keys else None
+        rows = hot.where(here == k).select(*picked)
+        if known is None:  # by chance, no row of these shards leads
+            out.append(rows.select(*keys, "unit", F.lit(None).cast("long").alias("root")))
             continue
-        table = np.frombuffer(b"".join(sketch.tolist()), dtype=np.uint8).reshape(len(fp), -1)
-
-        def agree(a: np.ndarray, b: np.ndarray, table=table) -> np.ndarray:
-            out = np.empty(len(a), dtype=bool)
-            for at in range(0, len(a), 8192):
-                x, y = table[a[at : at + 8192]], table[b[at : at + 8192]]
-                same, there = ((x == y) & (x > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1)
-                out[at : at + 8192] = same >= (similarity - TOLERANCE) * np.maximum(there, 1)
-            return out
-
-        yield _pairs(*_forest_links(fp.view(np.uint64), shard, own, radius, agree, unit))
-
-
-def _dealt(rows: DataFrame, all_rows: int) -> DataFrame:
-    """rows(choice, bits, name, ...) -> with tree and own: a shard's rows are dealt to trees by name, and each also comes, as a
-    query, to the trees before its own. Sorted by shard and tree within partitions."""
-    rest = [c for c in rows.columns if c not in ("choice", "bits")]
-    least = max(TREE_SIZE, all_rows // SPLIT_KEYS)
-    # At most SPLIT_KEYS keys can hold more than that part of all rows, which bounds what is broadcast.
-    large = (
-        rows.groupBy("choice", "bits")
-        .count()
-        .where(F.col("count") > least)
-        .select("choice", "bits", F.ceil(F.col("count") / TREE_SIZE).cast("int").alias("trees"))
+        led = rows.join(F.broadcast(known), keys, "left_semi")
+        out.append(led.mapInArrow(lambda it, s=shared: s.value[1].run(it), "choice int, bits long, unit long, root long"))
+        out.append(rows.join(F.broadcast(known), keys, "left_anti").select(*keys, "unit", F.lit(None).cast("long").alias("root")))
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return cut(found)
+
+
+def _visits(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
+    """Rows (choice, bits, tree, slice, own, unit, fp, hashes?), a tree's own rows before a slice of its visitors -> links."""
+    now, held, trees, names = None, [], None, None
+
+    def columns(rows: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+        return [np.asarray(rows.column(i).to_numpy()) if isinstance(rows, pa.Table) else np.asarray(rows.column(i).to_numpy(zero_copy_only=False)) for i in range(5, rows.num_columns)]
+
+    def planted() -> tuple[Trees, np.ndarray]:
+        unit, fp, *hashes = columns(pa.Table.from_batches(held))
+        return Trees(fp.view(np.uint64), np.zeros(len(fp), np.int64), radius, _sets(*hashes or [None], similarity)), unit
+
+    def ends() -> Iterator[pa.RecordBatch]:
+        if trees is not None:
+            a, b = trees.moved()
+            yield _pairs(names[a], names[b])
+
+    for key, rows in runs(batches, 4):
+        if key != now:
+            yield from ends()
+            now, held, trees = key, [], None
+        own = rows.column(4).to_pylist()
+        first = own.index(False) if not own[-1] else len(own)
+        if first:
+            held.append(rows.slice(0, first))
+        for at in range(first, rows.num_rows, TREE_SIZE):
+            if trees is None:
+                trees, names = planted()
+            unit, fp, *hashes = columns(rows.slice(at, TREE_SIZE))
+            root = trees.visit(fp.view(np.uint64), np.zeros(len(fp), np.int64), _sets(*hashes or [None], similarity))
+            some = np.flatnonzero(root >= 0)
+            yield _pairs(unit[some], names[root[some]])
+    yield from ends()
+
+
+def shard_links(rows: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """rows(choice, bits, unit, fp, hashes?) -> (a, b): links of units that span the groups found in all shards."""
+    keys, payload = ["choice", "bits"], [c for c in rows.columns if c not in ("choice", "bits")]
+    size = F.sum(F.length("hashes")) if similarity is not None else F.lit(0)
+    trees = lambda n, b: F.greatest(F.ceil(n / TREE_SIZE), F.ceil(b / TREE_BYTES), F.lit(1)).cast("int")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), size.cast("long").alias("bytes"))
+    large = cut(sizes.where((F.col("n") > TREE_SIZE) | (F.col("bytes") > TREE_BYTES)))
+    count = large.count()
+    kinds = "a long, b long"
+    small = rows if not count else rows.join(sized(large, count), keys, "left_anti")
+    small = small.select(*keys, *payload).repartition(*keys).sortWithinPartitions(*keys)
+    links = small.mapInArrow(lambda it: _whole_shards(it, radius, similarity), kinds)
+    if not count:
+        return links
+    hot = cut(rows.join(sized(large, count), keys).select(*keys, "n", *payload))
+    found = _by_leaders(hot, radius, similarity)
+    links = links.unionByName(found.where("root is not null").select(F.col("unit").alias("a"), F.col("root").alias("b")))
+    # The largest group of each shard; all other rows go into trees.
+    groups = found.where("root is not null").groupBy(*keys, "root").count()
+    main = groups.groupBy(*keys).agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    inside = found.join(sized(main, count), keys).where("root = main").select(*keys, "unit").distinct()
+    others = cut(hot.join(inside, [*keys, "unit"], "left_anti").withColumn("slices", F.ceil(F.col("n") / TREE_SIZE)))
+    sums = others.groupBy(*keys).agg(trees(F.count(F.lit(1)), size).alias("trees"))
+    spread = lambda n, salt: F.pmod(F.xxhash64("unit", F.lit(salt)), n).cast("int")
+    own = others.join(sized(sums, count), keys).select(
+        *keys, spread(F.col("trees"), 1).alias("tree"), F.explode(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int"))).alias("slice"), F.lit(True).alias("own"), *payload
     )
-    own_tree = F.when(F.col("trees").isNull(), 0).otherwise(F.pmod(F.xxhash64(rest[0]), F.col("trees")).cast("int"))
-    dealt = (
-        rows.join(F.broadcast(cut(large)), ["choice", "bits"], "left")
-        .withColumn("own_tree", own_tree)
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("own_tree"))))
-        .select("choice", "bits", "tree", (F.col("tree") == F.col("own_tree")).alias("own"), *rest)
+    guests = hot.join(sized(sums, count), keys).select(
+        *keys, F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"), spread(F.ceil(F.col("n") / TREE_SIZE), 2).alias("slice"), F.lit(False).alias("own"), *payload
     )
-    return dealt.repartition("choice", "bits", "tree").sortWithinPartitions("choice", "bits", "tree")
+    at = [*keys, "tree", "slice"]
+    dealt = own.unionByName(guests).repartition(*at).sortWithinPartitions(*at, F.desc("own"))
+    return links.unionByName(dealt.mapInArrow(lambda it: _visits(it, radius, similarity), kinds)).where("a <> b")
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """distinct(fp), each once -> (a, b): links that span the groups of fingerprints within the radius."""
-    total = distinct.count()
-    m = blocks_for(total, radius)
-    rows = distinct.select("fp", F.explode(shard_keys(F.col("fp"), m, radius)).alias("k")).select("fp", "k.choice", "k.bits")
-    dealt = _dealt(rows.select("choice", "bits", "fp"), total * len(list(combinations(range(m), m - radius))))
-    return dealt.mapInArrow(lambda batches: _search(batches, radius), "a long, b long")
+    m = blocks_for(distinct.count(), radius)
+    rows = distinct.select("fp", F.explode(shard_keys(F.col("fp"), m, radius)).alias("k"))
+    return shard_links(rows.select("k.choice", "k.bits", F.col("fp").alias("unit"), "fp"), radius)
 
 
 # ---------------------------------------------------------------- similarity of shingle sets
 #: Odd numbers that put hashes in different orders. Fixed values.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-KEYS, BINS, WIDE_RADIUS = len(ORDERS), 1024, 20
-#: A sketch tells similarity with an error of about 0.01; so much is forgiven, to miss hardly a pair that is similar enough.
-TOLERANCE = 0.015
+KEYS, BINS, WIDE_RADIUS = len(ORDERS), 1024, 24
+#: A sketch tells similarity with an error of about 0.0125; pairs that seem less similar by this much aren't looked at.
+CLEARLY = 0.08
+
+
+def smallest(hashes: np.ndarray) -> list[int]:
+    """The smallest hash in each order, as signed longs."""
+    return [int((hashes * np.uint64(order)).min().view(np.int64)) for order in ORDERS] if len(hashes) else [0] * KEYS
+
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hash in each bin: 8 bits of it, 0 for an empty bin."""
+    mixed = np.sort(hashes * np.uint64(ORDERS[0]))
+    bins, first = np.unique((mixed >> np.uint64(64 - 10)).astype(np.int64), return_index=True)
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[bins] = 1 + (mixed[first] >> np.uint64(8)) % np.uint64(255)
+    return out
 
-def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
-    """The smallest hash in each order (as signed longs), and the smallest in each bin: 8 bits of it, 0 for an empty bin."""
-    if not len(hashes):
-        return [0] * KEYS, bytes(BINS)
-    keys = [int((hashes * np.uint64(order)).min().view(np.int64)) for order in ORDERS]
-    mixed = hashes * np.uint64(ORDERS[0])
-    bins = (mixed >> np.uint64(64 - 10)).astype(np.int64)
-    least = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(least, bins, mixed)
-    return keys, np.where(least == np.iinfo(np.uint64).max, 0, 1 + (least >> np.uint64(8)) % np.uint64(255)).astype(np.uint8).tobytes()
+
+class Sets:
+    """Shingle sets, each as sorted hashes, by position."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float, table: np.ndarray | None = None):
+        self.sets, self.similarity = sets, similarity
+        self.table = np.stack([sketch(x) for x in sets]) if table is None and sets else table
+
+    def beside(self, other: Sets, start: int, stop: int) -> Sets:
+        """These and, behind them, some of another's."""
+        return Sets([*self.sets, *other.sets[start:stop]], self.similarity, np.concatenate([self.table, other.table[start:stop]]))
+
+    def may_be_similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a), dtype=bool)
+        for at in range(0, len(a), 8192):
+            x, y = self.table[a[at : at + 8192]], self.table[b[at : at + 8192]]
+            same, there = ((x == y) & (x > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1)
+            out[at : at + 8192] = same >= (self.similarity - CLEARLY) * np.maximum(there, 1)
+        return out
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the sets themselves are that similar."""
+        out = np.empty(len(a), dtype=bool)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = self.sets[i], self.sets[j]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out[k] = both >= self.similarity * (len(x) + len(y) - both) - 1e-9
+        return out
 
 
 def shingle_set(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
@@ -313,50 +468,76 @@ def shingle_set(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id_col, unit, fp, keys, sketch) of each document's set of shingles; unit is the set's hash."""
+    """(id_col, unit, fp, keys) of each document's set of shingles; unit is the set's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, fps, keys, sketches = [], [], [], []
+            units, fps, keys = [], [], []
             for text in batch.column(1):
                 unit, hashes = shingle_set(text.as_py(), shingle)
-                k, s = sketch(hashes)
                 units.append(unit)
                 fps.append(majority(hashes))
-                keys.append(k)
-                sketches.append(s)
-            columns = [batch.column(0), pa.array(units, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "unit", "fp", "keys", "sketch"])
+                keys.append(smallest(hashes))
+            columns = [batch.column(0), pa.array(units, pa.int64()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "unit", "fp", "keys"])
 
     kind = docs.schema[id_col].dataType
-    more = [StructField("unit", LongType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType())), StructField("sketch", BinaryType())]
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast(StringType()).alias("text"))
+    more = [StructField("unit", LongType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType()))]
+    picked = docs.select(named(id_col).alias("id"), named(text_col).cast(StringType()).alias("text"))
     return picked.mapInArrow(run, StructType([StructField("id", kind), *more])).withColumnRenamed("id", id_col)
 
 
-def similar_links(distinct: DataFrame, similarity: float, radius: int = WIDE_RADIUS) -> DataFrame:
-    """distinct(unit, fp, keys, sketch), each unit once -> (a, b): links of units that span the groups."""
-    keys = distinct.select("unit", F.posexplode("keys").alias("choice", "bits"))
+def sets_of(docs: DataFrame, units: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(unit, hashes) of the sets that are among units(unit): the sorted hashes as bytes, each set once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = dict(shingle_set(text.as_py(), shingle) for text in batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array([h.tobytes() for h in found.values()], pa.binary())], names=["unit", "hashes"])
+
+    known = docs.select(named(text_col).cast(StringType()).alias("text")).mapInArrow(run, "unit long, hashes binary")
+    return known.join(sized(units, units.count()), "unit", "left_semi").dropDuplicates(["unit"])
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, similarity: float, text_col: str, shingle: int, radius: int = WIDE_RADIUS) -> DataFrame:
+    """distinct(unit, fp, keys), each set of docs once -> (a, b): links of units that span the groups."""
+    keys = distinct.select("unit", "fp", F.posexplode("keys").alias("choice", "bits"))
     shared = keys.groupBy("choice", "bits").count().where("count > 1").select(F.col("choice").alias("c2"), F.col("bits").alias("b2"))
     met = cut(keys.join(shared, (F.col("choice") == F.col("c2")) & (F.col("bits") == F.col("b2")), "left_semi"))
-    rows = met.join(distinct.select(F.col("unit").alias("u2"), "fp", "sketch"), F.col("unit") == F.col("u2")).select("choice", "bits", "unit", "fp", "sketch")
-    return _dealt(rows, met.count()).mapInArrow(lambda batches: _search_similar(batches, radius, similarity), "a long, b long")
+    sets = cut(sets_of(docs, cut(met.select("unit").distinct()), text_col, shingle)).withColumnRenamed("unit", "u2")
+    rows = met.join(sets, F.col("unit") == F.col("u2")).select("choice", "bits", "unit", "fp", "hashes")
+    return shard_links(rows, radius, similarity)
+
+
+def _units(docs: DataFrame, links: DataFrame, unit: str) -> DataFrame:
+    """docs(id_col, unit) -> (unit, root), each unit once: the group that links put it into, by its smallest unit."""
+    comps = cut(connected_components(links))
+    units = docs.select(unit).distinct()
+    return join_unique(units, unit, comps, "node", comps.count()).select(unit, F.coalesce("component", unit).alias("root"))
 
 
 def _grouped(docs: DataFrame, links: DataFrame, id_col: str, unit: str = "fp") -> DataFrame:
     """docs(id_col, unit) with component_id: the smallest id over the units that links join."""
-    reps = docs.groupBy(unit).agg(F.min(id_col).alias("rep"))
-    comps = connected_components(links)
-    named = reps.join(comps, reps[unit] == comps["node"], "left").select(unit, "rep", F.coalesce("component", unit).alias("root"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return docs.join(named.join(smallest, "root").select(unit, "component_id"), unit).select(id_col, unit, "component_id")
+    id_ = named(id_col)
+    roots = cut(_units(docs, links, unit))
+    reps = docs.groupBy(F.col(unit).alias("u2")).agg(F.min(id_).alias("rep"))
+    roots = cut(roots.join(reps, F.col(unit) == F.col("u2")).select(unit, "root", "rep"))
+    least = roots.groupBy(F.col("root").alias("r2")).agg(F.min("rep").alias("component_id"))
+    count = roots.count()
+    by_unit = cut(join_unique(roots, "root", least, "r2", count, count).select(F.col(unit).alias("u3"), "component_id"))
+    return join_unique(docs, unit, by_unit, "u3", count).select(id_, unit, "component_id")
 
 
 def group_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, unit, component_id): groups of documents linked by the similarity of their shingle sets, as sketches tell it."""
+    """(id_col, unit, component_id): groups of documents linked by the similarity of their shingle sets."""
+    found, links = _similar(docs, id_col, text_col, shingle, similarity)
+    return _grouped(found.select(named(id_col), "unit"), links, id_col, "unit")
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     found = cut(signatures(docs, id_col, text_col, shingle))
-    distinct = cut(found.groupBy("unit").agg(F.min(F.struct("fp", "keys", "sketch")).alias("s")).select("unit", "s.fp", "s.keys", "s.sketch"))
-    return _grouped(found.select(id_col, "unit"), similar_links(distinct, similarity), id_col, "unit")
+    distinct = cut(found.groupBy("unit").agg(F.min(F.struct("fp", "keys")).alias("s")).select("unit", "s.fp", "s.keys"))
+    return found.select(named(id_col), "unit"), cut(similar_links(docs, distinct, similarity, text_col, shingle))
 
 
 def group_near_duplicates(
@@ -372,22 +553,39 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that stand for their group of similar documents: the one with the group's smallest id.
+    """The rows of docs that stand for their group of similar documents, one for each group: the one with the smallest id
+    (none last), then the smallest hash of its set of shingles.
 
-    Rows that repeat one id stay once, as the row with the smallest text. Rows without an id stay if their group has no
-    id at all, once for each set of shingles.
+    Rows that share an id but not a group are apart. Rows that repeat both an id and a set of shingles stay once, as the one with
+    the smallest text (null first), then the smallest row as JSON. Other columns may have any name and type. Decisions are made on ids and hashes;
+    whole rows move only if more ids go than are broadcast, or where an id is missing or repeated.
     """
-    groups = cut(group_similar(docs, id_col, text_col, shingle, similarity))
-    chosen = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(chosen, F.col(id_col) == F.col("__kept"), "left_semi")
-    row = F.struct(*[F.col(c) for c in (text_col, *[c for c in docs.columns if c != text_col])])
-    with_id = with_id.groupBy(id_col).agg(F.min(row).alias("__row")).select(*[F.col("__row")[c].alias(c) for c in docs.columns])
-    bare = docs.where(F.col(id_col).isNull())
-    if bare.isEmpty():
-        return with_id
-    nameless = groups.where(F.col(id_col).isNull() & F.col("component_id").isNull()).select(F.col("unit").alias("__unit")).distinct()
-    kept = unit_column(bare, text_col, shingle).join(nameless, "__unit", "left_semi").dropDuplicates(["__unit"])
-    return with_id.unionByName(kept.select(*docs.columns))
+    id_ = named(id_col)
+    found, links = _similar(docs, id_col, text_col, shingle, similarity)
+    found = found.select(id_.alias("__id"), "unit")
+    roots = cut(_units(found, links, "unit").select(F.col("unit").alias("u2"), "root"))
+    placed = join_unique(found, "unit", roots, "u2", roots.count())
+    first = F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("unit").alias("unit")))
+    chosen = cut(placed.groupBy("root").agg(first.alias("r")).select(F.col("r.id").alias("__id"), F.col("r.unit").alias("__unit")))
+    # Ids that one row has: those of the rows that go, taken away.
+    counts = found.where("__id is not null").groupBy("__id").count()
+    single = counts.where("count = 1").select("__id")
+    gone = cut(single.join(chosen.where("__id is not null"), "__id", "left_anti").withColumnRenamed("__id", "__gone"))
+    twice = cut(counts.where("count > 1").select(F.col("__id").alias("__twice")))
+    n_twice, some_null = twice.count(), not found.where("__id is null").isEmpty()
+    kept = docs.join(sized(gone, gone.count()), id_ == F.col("__gone"), "left_anti")
+    if not n_twice and not some_null:
+        return kept
+    plain = kept.where(id_.isNotNull()).join(sized(twice, n_twice), id_ == F.col("__twice"), "left_anti")
+    odd = docs.where(id_.isNull()).unionByName(docs.join(sized(twice, n_twice), id_ == F.col("__twice"), "left_semi"))
+    odd = unit_column(odd, text_col, shingle)
+    repeated = chosen.join(sized(twice, n_twice), F.col("__id") == F.col("__twice"), "left_semi")
+    keys = repeated.unionByName(chosen.where("__id is null")).withColumnRenamed("__unit", "__u2")
+    some = odd.join(keys, id_.eqNullSafe(F.col("__id")) & (F.col("__unit") == F.col("__u2")), "left_semi")
+    whole = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    once = some.select(id_.alias("__id"), "__unit", whole.alias("__row"), named(text_col).cast(StringType()).alias("__text"))
+    once = once.groupBy("__id", "__unit").agg(F.min_by("__row", F.struct("__text", F.to_json("__row"))).alias("__row"))
+    return plain.unionByName(once.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns)]))
 
 
 def unit_column(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
@@ -397,7 +595,7 @@ def unit_column(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     def unit(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, shingle)[0] for t in texts], dtype="int64")
 
-    return docs.withColumn("__unit", unit(F.col(text_col)))
+    return docs.withColumn("__unit", unit(named(text_col).cast(StringType())))
 
 
 # ---------------------------------------------------------------- query
