@@ -1,5 +1,7 @@
 """HTML extraction: reading, inference, and what is content."""
 
+import re
+
 import pytest
 
 from tidemark.llm.html import Extractor, absorb, extract, fold, infer_wrappers, load, merge, read
@@ -75,6 +77,67 @@ def test_words_late_in_a_long_class_list_count(word):
     assert text_of("<body><article><p>B</p><div class='border col flex gap grid lg md order rounded shadow'><p>x</p></div></article></body>") == ["B", "x"]
 
 
+@pytest.mark.parametrize(("inner", "want"), [
+    ("<p class='notice-text'>x</p>", ["x"]), ("<div class='social-history'><p>x</p></div>", ["x"]), ("<p class='ad-hoc'>x</p>", ["x"]), ("<section class='menu-of-the-day'><p>x</p></section>", ["x"]),
+    ("<p class=notice>x</p>", []), ("<div class='notice-text'><p>x</p></div>", []), ("<div class='ad-slot'>x</div>", []), ("<div id='comments-list'><p>x</p></div>", []), ("<aside><p>x</p></aside>", []),
+    ("<p>f <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p>", ["f x=1"]), ("<object data=a><p>in place</p></object>", ["in place"]), ("<button>go</button>", []),
+])
+def test_names_inside_an_article(inner, want):
+    assert text_of(f"<body><article><h1>T</h1><p>B</p>{inner}</article></body>") == ["T", "B", *want]
+
+
+def test_a_teaser_does_not_hide_the_story():
+    page = "<body><article><p>teaser</p></article><div><h1>Story</h1><p>" + "long text " * 30 + "</p><p>" + "and more " * 20 + "</p></div></body>"
+    assert [b.split()[0] for b in text_of(page)] == ["Story", "long", "and"]
+
+
+SOUP = """<body><div class=c1><div><a href=/>Start</a> <a href=/n>News</a> <a href=/s>{menu}</a></div></div><div class=c2>The paper of the town since 1901</div>
+<div class=c3><div class=c4><h2>{title}</h2><div>Share this story with your friends</div><p>{first}</p><p>{second}</p><div class=c5>{third}</div></div>
+<div class=c6>Read also what others read, every day, in our morning letter with all that matters to you and yours.</div></div>
+<div class=c7>Printed by the town press, all rights kept. Imprint and data protection, terms and conditions of use.</div></body>"""
+
+
+def soup(i):
+    return SOUP.format(menu=f"Part {i}", title=f"Title {i}", first=f"First text number {i} here", second=f"Second {i * i} text", third=f"Third {i + 7} part")
+
+
+def test_the_wrapper_tells_template_from_content_without_names():
+    pages = [soup(i) for i in range(6)]
+    for i, page in enumerate(pages):
+        others = [p for p in pages if p is not page]
+        assert text_of(page, *others) == [f"Title {i}", f"First text number {i} here", f"Second {i * i} text", f"Third {i + 7} part"]
+        assert "Share this story with your friends" in text_of(page)  # which the page alone can't tell
+
+
+def test_the_wrapper_finds_a_short_story_under_any_name():
+    page = "<body><div class=widget><h1>T {0}</h1><p>Story {0} is short.</p></div><div class=x>" + "Always the same long words of the house. " * 20 + "</div></body>"
+    pages = [page.format(i) for i in range(4)]
+    assert text_of(pages[2], *pages[:2], pages[3]) == ["T 2", "Story 2 is short."]
+
+
+def test_copies_make_no_template():
+    odd = "<body><div><h2>Once</h2><section><p>Only here, but copied</p></section></div></body>"
+    assert text_of(odd, *[odd] * 9, *[soup(i) for i in range(5)]) == ["Once", "Only here, but copied"]
+
+
+def test_deep_pages():
+    for tag in ("div", "section", "article", "ul"):
+        page = f"<{tag}>" * 10_000 + "<p>deep text</p><p>b</p>" + f"</{tag}>" * 10_000
+        assert text_of(page, page.replace("deep", "low"), page + "<p>x</p>") == ["deep text", "b"]
+        w = wrapper_of(page, page)
+        assert load(w.dump()).pattern() == w.pattern()
+    assert text_of("<article>" + "".join(f"<div class='k{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}'>d{i}</div>" for i in range(3000)) + "</article>") == [f"d{i}" for i in range(3000)]
+
+
+def test_long_rows_align():
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqrst"]
+    row = lambda keep, x: "<article>" + "".join(f"<div class={n}>{n} {x}</div>" for n in names if keep(n)) + "</article>"
+    w = wrapper_of(row(lambda n: n[1] != "k", 1), row(lambda n: n[0] != "b", 2), row(lambda n: True, 3))
+    article = w.kids[0]
+    assert [k.sig for k in article.kids] == [f"div.{n}" for n in names] and not article.loop
+    assert {k.sig[4:] for k in article.kids if k.opt} == {n for n in names if n[1] == "k" or n[0] == "b"}
+
+
 def test_comment_article_is_left_out():
     page = "<body><article><p>main</p><article class='comment'><p>c</p></article></article></body>"
     assert text_of(page) == ["main"]
@@ -90,6 +153,36 @@ def test_long_page_is_read_whole():
     assert len(text_of(page)) == 40_000
 
 
+def slow_text(page):
+    """The tables' pages by cutting out their article with plain patterns; they have no other text in it than headings and blocks."""
+    import html
+
+    page = re.sub(r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>", "", page or "")
+    inside = re.search(r"(?s)<article>(.*?)(?:</article>|<footer>|\Z)", page)
+    if not inside:
+        return None
+    parts = re.split(r"</?(?:h1|p)>", re.sub(r"<br>", " ", inside[1]))
+    texts = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in parts]
+    return "\n".join(t for t in texts if t)
+
+
+def test_query_against_plain_patterns(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    from tidemark.llm.html import op3_html_extraction
+
+    out = op3_html_extraction(spark, sf_dir).collect()
+    assert len(out) == len(pages)
+    for r in out:
+        assert r.text == slow_text(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_odd_columns(spark):
+    pages = spark.createDataFrame([("http://a.x/1", PLAIN.format(1), {"a": 1}, 5)], "`the.url` string, html string, m map<string,int>, N_chars int")
+    out = extract(pages, url_col="the.url")
+    assert out.columns == ["the.url", "m", "text", "n_chars"] and out.first().text == "T1\nOne 1\nTwo"
+
+
 def test_frames(spark):
     rows = [(1, "http://a.x/1", PLAIN.format(1), "z"), (2, "http://A.x/2", PLAIN.format(2), None), (3, None, None, "z"), (None, "nohost", "", "z"), (1, "http://a.x/1", PLAIN.format(1), "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a maximal run of characters other than these (space and \x09-\x0D).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -59,3 +62,17 @@ def replacing(df: DataFrame, *names: str) -> DataFrame:
     """df without columns whose names the caller is about to add (names compare without case, as Spark does)."""
     taken = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def with_arrays(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]], added: list[StructField], keep: int | None = None) -> DataFrame:
+    """The first `keep` columns of df (all by default) and those that run adds to each batch. Columns go by place, so their names may
+    hold any signs."""
+    count = len(df.columns) if keep is None else keep
+    inner = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate([*df.schema.fields[:count], *added])])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, more in run(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:count], *more], names=inner.names)
+
+    out = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(whole, inner)
+    return out.toDF(*df.columns[:count], *[f.name for f in added])
