@@ -42,8 +42,23 @@ def test_rules_are_checked():
     assert U.UrlTrie([], default="block").judge("a", "/") == (None, "block")
 
 
+def test_building_takes_time_in_proportion(monkeypatch):
+    import time
+
+    rules = [("block", f"one.example/{'a' * (i % 50)}{i}") for i in range(60_000)]
+    began = time.perf_counter()
+    trie = U.UrlTrie(rules)
+    assert time.perf_counter() - began < 10  # minutes, where every rule sorts those before it again
+    assert trie.judge("one.example", f"/{'a' * 7}59957x") == (f"one.example/{'a' * 7}59957", "block")
+    monkeypatch.setattr(U, "MAX_CHARACTERS", 1000)
+    with pytest.raises(ValueError):
+        U.UrlTrie(rules)
+
+
 def test_frame(spark):
     rows = [(1, "http://www.example.com/en/7", "h"), (None, None, None), (1, "http://www.example.com/en/7", "h"), (2, "http://z.example.net/de/81", "h")]
+    dotted = U.judge_urls(spark.createDataFrame([("a://b/c", {"k": 1})], "`the.url` string, m map<string,int>"), U.RULES, url_col="the.url")
+    assert dotted.columns == ["the.url", "m", "host", "path", "rule", "verdict"] and dotted.first().host == "b"
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
     out = U.judge_urls(pages, U.RULES)
     assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"]

@@ -5,7 +5,8 @@ last label of its host to the first. Each node on the way may hold a trie of pat
 unfinished, segment is compared as a prefix. The longest rule wins: more host labels first, then the longer path; a block
 and an allow entry for one host and path give block. Without a rule the verdict is the default.
 
-The trie is broadcast; it is built on the driver from a list of rules that MAX_RULES bounds (larger lists are refused).
+The trie is broadcast; it is built on the driver, in time that grows with the rules, from a list that MAX_RULES and
+MAX_CHARACTERS bound (larger lists are refused).
 
 Defined cases: a null url, or one without "://", has an empty host and path and gets the default verdict; a rule with an
 empty host fits only such urls' empty host and is refused; hosts compare as they stand after A-Z are lower-cased, ports
@@ -21,12 +22,12 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField
 
-from .common import replacing, table
+from .common import replacing, table, with_arrays
 
 ALLOW, BLOCK = "allow", "block"
-MAX_RULES = 2_000_000
+MAX_RULES, MAX_CHARACTERS = 2_000_000, 100_000_000
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -34,20 +35,29 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class PathNode:
     below: dict[str, PathNode] = field(default_factory=dict)
     ends: dict[str, tuple[str, str]] = field(default_factory=dict)  # beginning of the next segment -> (rule, verdict)
-    lengths: list[int] = field(default_factory=list)  # of those beginnings, longest first
+    lengths: dict[int, int] = field(default_factory=dict)  # of those beginnings -> how many
+    _longest_first: list[int] | None = None
 
     def add(self, segments: list[str], rule: str, verdict: str) -> None:
         node = self
         for s in segments[:-1]:
             node = node.below.setdefault(s, PathNode())
-        if segments[-1] not in node.ends or verdict == BLOCK:
-            node.ends[segments[-1]] = (rule, verdict)
-        node.lengths = sorted({len(e) for e in node.ends}, reverse=True)
+        last = segments[-1]
+        if last not in node.ends:
+            node.lengths[len(last)] = node.lengths.get(len(last), 0) + 1
+            node._longest_first = None
+        if last not in node.ends or verdict == BLOCK:
+            node.ends[last] = (rule, verdict)
+
+    def longest_first(self) -> list[int]:
+        if self._longest_first is None:
+            self._longest_first = sorted(self.lengths, reverse=True)
+        return self._longest_first
 
     def longest(self, segments: list[str]) -> tuple[str, str] | None:
         found, node = None, self
         for s in segments:
-            for n in node.lengths:
+            for n in node.longest_first():
                 if (hit := node.ends.get(s[:n])) is not None and n <= len(s):
                     found = hit
                     break
@@ -77,13 +87,14 @@ def split_url(url: str | None) -> tuple[str, str]:
 class UrlTrie:
     def __init__(self, rules: Iterable[tuple[str, str]], default: str = ALLOW):
         """rules: (verdict, host/path), like ("block", "com/en/")."""
-        self.root, self.default, count = HostNode(), default, 0
+        self.root, self.default, count, characters = HostNode(), default, 0, 0
         for verdict, rule in rules:
             host, slash, path = rule.partition("/")
             if verdict not in (ALLOW, BLOCK) or not host:
                 raise ValueError(f"not a rule: {verdict} {rule}")
-            if (count := count + 1) > MAX_RULES:
-                raise ValueError(f"more than {MAX_RULES} rules")
+            count, characters = count + 1, characters + len(rule)
+            if count > MAX_RULES or characters > MAX_CHARACTERS:
+                raise ValueError(f"more than {MAX_RULES} rules or {MAX_CHARACTERS} characters")
             node = self.root
             for label in reversed(host.translate(LOWER).split(".")):
                 node = node.below.setdefault(label, HostNode())
@@ -104,17 +115,17 @@ class UrlTrie:
 def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], url_col: str = "url", default: str = ALLOW) -> DataFrame:
     """pages with host, path, rule and verdict."""
     trie = pages.sparkSession.sparkContext.broadcast(UrlTrie(rules, default))
-    pages = replacing(pages, "host", "path", "rule", "verdict")
-    where, added = pages.columns.index(url_col), ["host", "path", "rule", "verdict"]
+    added = ("host", "path", "rule", "verdict")
+    pages = replacing(pages, *added)
+    where = pages.columns.index(url_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
             parts = [split_url(u) for u in batch.column(where).to_pylist()]
             found = [trie.value.judge(*p) for p in parts]
-            new = [pa.array([x[k] for x in rows], pa.string()) for rows in (parts, found) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+            yield batch, [pa.array([x[k] for x in rows], pa.string()) for rows in (parts, found) for k in (0, 1)]
 
-    return pages.mapInArrow(run, StructType([*pages.schema.fields, *[StructField(c, StringType()) for c in added]]))
+    return with_arrays(pages, run, [StructField(c, StringType()) for c in added])
 
 
 # ---------------------------------------------------------------- query
