@@ -31,6 +31,49 @@ def test_grams_against_counting():
         assert [L.ranked(grams.of(k), grams, size).tolist() for k in range(len(TEXTS))] == [slow_ranked(t, size) for t in TEXTS]
 
 
+def test_windows_count_the_same(monkeypatch):
+    text = "Ab ab  AB! été d'été 12 straße İx 日本 語 " * 7 + "xyz" * 40 + " ΑΣ ... q"
+    monkeypatch.setattr(L, "WINDOW", 10**6)
+    whole = L.Grams([text])
+    want = L.ranked(whole.of(0), whole, 10**6).tolist()
+    for window in (1, 2, 3, 7, 50, 10**6):
+        monkeypatch.setattr(L, "WINDOW", window)
+        assert L.top(*L.counted_in_windows(text), 10**6).tolist() == want, window
+    assert L.counted_in_windows("")[0].tolist() == L.counted_in_windows(" .. ")[0].tolist() == []
+
+
+def slow_nearest(rows, listed, size):
+    """Distance to each profile, place by place."""
+    profiles = {}
+    for name, gram, rank in rows:
+        profiles.setdefault(name, {})[gram] = rank
+    found = [(sum(abs(p[g] - i) if g in p else size for i, g in enumerate(listed)), name) for name, p in profiles.items()]
+    return min(found)[1], 1 - min(found)[0] / (size * len(listed))
+
+
+def test_nearest_against_place_by_place():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(f"l{k:02}", int(g), r) for k in range(30) for r, g in enumerate(rng.permutation(500)[:60])]
+    p = L.Profiles(rows, size=60)
+    for _ in range(40):
+        listed = rng.permutation(700)[: rng.integers(1, 80)]
+        name, score = p.nearest(listed)
+        want = slow_nearest(rows, listed.tolist(), 60)
+        assert name == want[0] and abs(score - want[1]) < 1e-12
+
+
+def test_many_languages_are_refused_not_dropped(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"ab{i}", f"l{i}") for i in range(5)], "text string, lang string")
+    assert len(L.learn(docs).languages) == 5
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 4)
+    import pytest
+
+    with pytest.raises(ValueError, match="5 languages"):
+        L.learn(docs)
+
+
 def test_out_of_place():
     p = L.Profiles([("aa", 10, 0), ("aa", 20, 1), ("bb", 20, 0), ("bb", 30, 1)], size=4)
     import numpy as np
@@ -55,7 +98,7 @@ def test_profiles_against_counting(spark):
     p = L.learn(docs, size=5)
     assert p.languages == ["x", "y"]
     want = slow_ranked("abc abc abd", 5)
-    x = {int(g): int(r) for g, r in zip(p.grams, p.ranks[0], strict=True) if r >= 0}
+    x = {int(g): int(r) for i, g in enumerate(p.grams) for l, r in zip(p.language[p.begin[i] : p.begin[i + 1]], p.rank[p.begin[i] : p.begin[i + 1]], strict=True) if l == 0}
     assert sorted(x, key=x.get) == want
 
 
