@@ -44,12 +44,24 @@ def test_long_text(words):
 
 def test_a_difference_is_an_error(words):
     words.encode("brandnewchunk")
-    words.chunks["brandnewchunk"] = (1, 2, 3)
+    words.chunks.new["brandnewchunk"][0] += 1
     with pytest.raises(ValueError, match="another way"):
         words.check()
     words.chunks.clear()
 
 
+def test_memory_is_bounded_by_bytes(words, monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 100_000)
+    text = "\n".join("".join(chr(0x4E00 + (i * 7 + j * j) % 9000) for j in range(1000)) for i in range(60))  # lines without blanks
+    for piece in (text, " ".join(f"w{i}x" for i in range(3000))):
+        assert words.encode(piece) == words.library.encode(piece)
+        words.check()
+        chunks = words.chunks
+        assert sum(P.ENTRY + 4 * (len(k) + len(v)) for part in (chunks, chunks.old) for k, v in part.items()) < 1_500_000
+        assert all(len(k) <= P.LONGEST for k in chunks) and not chunks.new
+    words.chunks.clear()
+
+
 def test_vocabularies_without_boundaries_are_read_whole(words, monkeypatch):
     monkeypatch.setattr(words, "chunked", False)
     assert words.encode("two  words\nhere") == words.library.encode("two  words\nhere") and words.encode("") == []

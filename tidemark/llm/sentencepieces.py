@@ -6,18 +6,20 @@ its new neighbours enter the agenda, pairs that lost a part are passed over. Cha
 written as bytes. Decoding joins the pieces back and drops the first blank.
 
 No piece has U+2581 behind another character and none holds a line end, which is checked when a vocabulary is loaded; so
-symbols never join across such places, and a text is encoded chunk by chunk. Chunks recur, so each worker keeps a
-bounded table of them. Every chunk that enters the table is checked against the sentencepiece library, in one call for
-all new chunks of an Arrow batch; a difference is an error, never a wrong row. A vocabulary without that property is
+symbols never join across such places, and a text is encoded chunk by chunk. Chunks recur, so each worker keeps a table of
+the short ones, bounded by its bytes. Every chunk that is encoded is checked against the sentencepiece library, in one call for
+all new chunks of some texts; a difference is an error, never a wrong row. A vocabulary without that property is
 encoded text by text and checked text by text.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; a text may be of any length; U+2581 in a
-text reads as a blank, as in the library; columns named like an added one are replaced; empty tables give empty results.
+text reads as a blank, as in the library; repeated rows are encoded each; columns named like an added one are replaced, others may have any
+name and type; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -26,14 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
-from .common import replacing, table
+from .common import replacing, table, with_arrays
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks that a worker remembers (some 250 bytes each), and rows that it hands on at a time.
-REMEMBERED, ROWS = 400_000, 256
+#: Bytes of chunks that a worker remembers, about; characters of the longest that is remembered; characters of new chunks that
+#: are checked at once; rows that are handed on at a time.
+REMEMBERED, LONGEST, CHECKED, ROWS = 64 << 20, 64, 1 << 20, 256
+#: What a remembered chunk takes besides its characters and ids: two objects and a place in a table.
+ENTRY = 250
 #: Texts up to this length have their agenda as a list, longer ones as a heap.
 SHORT, NEVER = 40, float("inf")
 
@@ -133,15 +138,18 @@ class Vocabulary:
         parts = text.replace("\n", " \n").split(" ")  # a part that begins with a line end has no blank of its own
         if "" in parts:
             parts = _joined_blanks(parts)
-        return list(chain.from_iterable(map(self.chunks.__getitem__, parts)))
+        out = list(chain.from_iterable(map(self.chunks.__getitem__, parts)))
+        if self.chunks.waiting > CHECKED:
+            self.check()
+        return out
 
     def check(self) -> None:
-        """Hold the chunks that are new since the last call against the library."""
-        new, self.chunks.new = self.chunks.new, []
+        """Hold the chunks that were encoded since the last call against the library."""
+        new = self.chunks.taken()
         # The library puts a blank in front: the chunk's own, or one before the line end that is then passed over.
-        for key, ids in zip(new, self.library.encode(new, num_threads=1), strict=True):
-            if tuple(ids[1:] if key[0:1] == "\n" else ids) != self.chunks[key]:
-                if key == "" and self.chunks[key] == (self.ids[SPACE],):
+        for (key, mine), ids in zip(new.items(), self.library.encode(list(new), num_threads=1), strict=True):
+            if (ids[1:] if key[0:1] == "\n" else ids) != mine.tolist():
+                if key == "" and mine.tolist() == [self.ids[SPACE]]:
                     continue  # one blank alone: the library gives an empty text no ids
                 raise ValueError(f"the library encodes another way: {key!r}")
         self.chunks.age()
@@ -157,26 +165,43 @@ class Vocabulary:
 class _Chunks(dict):
     """Ids by chunk. Keys are texts without the blank that stands in front, except those that begin with a line end.
 
-    Once half of REMEMBERED are there, they become the old half; a chunk found there is young again, the rest is forgotten
-    when the next half is full. So frequent chunks stay.
+    Once what is here takes half of REMEMBERED, it becomes the old half; a chunk found there is young again, the rest is
+    forgotten when the next half is full. So frequent chunks stay. Long chunks, like lines of a script without blanks, wait for
+    their check and are then forgotten.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.new, self.old = vocabulary, [], {}
+        self.vocabulary, self.new, self.old = vocabulary, {}, {}
+        self.bytes = self.waiting = 0
+
+    def taken(self) -> dict[str, array]:
+        """What waits for its check; long chunks go."""
+        new, self.new, self.waiting = self.new, {}, 0
+        for key in new:
+            if len(key) > LONGEST:
+                del self[key]
+        return new
+
+    def keep(self, key: str, ids: array) -> array:
+        if len(key) <= LONGEST:
+            self.bytes += ENTRY + 4 * (len(key) + len(ids))
+        self[key] = ids
+        return ids
 
     def age(self) -> None:
-        if len(self) > REMEMBERED // 2:
+        if self.bytes > REMEMBERED // 2:
             self.old = dict(self)
             self.clear()
+            self.bytes = 0
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> array:
         if (out := self.old.get(key)) is not None:
-            self[key] = out
-            return out
-        self.new.append(key)
-        out = self[key] = tuple(self.vocabulary.agenda(key if key[:1] == "\n" else SPACE + key.replace(" ", SPACE)))
-        return out
+            return self.keep(key, out)
+        out = array("i", self.vocabulary.agenda(key if key[:1] == "\n" else SPACE + key.replace(" ", SPACE)))
+        self.new[key] = out
+        self.waiting += len(key) + 16
+        return self.keep(key, out)
 
 
 def _joined_blanks(parts: list[str]) -> list[str]:
@@ -209,7 +234,7 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, text_col: str
     docs = replacing(docs, "ids", "decoded")
     where = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         words = vocabulary(path)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
@@ -222,11 +247,9 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, text_col: str
                     decoded.append(words.decode(found))
                 words.check()
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
-                columns = [*batch.columns, lists, pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "ids", "decoded"])
+                yield batch, [lists, pa.array(decoded, pa.string())]
 
-    more = [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
+    return with_arrays(docs, run, [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
 
 
 # ---------------------------------------------------------------- query
