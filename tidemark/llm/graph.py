@@ -11,18 +11,21 @@ ALPHA times nearer to it than the vector itself), links are made mutual and prun
 searched on the graph: greedily with a beam, from the shard's medoids and from the vector's own place and list, and from
 there the search widens over every vector within the radius until none is new. Guests have no place in the graph; they
 are measured against every vector of the shard. A pair counts as linked only once its cosine is verified in double
-precision. audit() compares with brute force.
+precision. Each block's recall is audited: AUDITED of its vectors are measured against the whole block, and a block in which the search
+has missed a link is searched by brute force. audit() compares a result with brute force over the table.
 
 A link of v to u counts in the shard of u, where v is at home or a guest, so links are counted where they are found and
 never written out. Each shard gives a spanning forest of its links; components of the forests are the groups. Exact copies
-are one vertex with a count. A shard with too many vectors is split into blocks, each with a graph of its own; those of the
-other blocks are its guests. Guests stream through a task, which holds one block. Cluster centres come from a bounded
-sample of SAMPLE vectors and are at most CENTRES, which bounds the broadcast.
+are one vertex with a count. A shard with more than BLOCK vectors is split into blocks, each with a graph of its own; those of the
+other blocks are its guests. Guests stream through a task, which holds one block. Cluster centres come from a sample of at
+most SAMPLE vectors and SAMPLE_BYTES, and are at most CENTRES, which bounds the broadcast; beyond some CENTRES * SHARD
+vectors shards have more blocks, and a vector visits more of them.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and those without a label, link with
 nothing; vectors of other lengths are never compared; rows that repeat an id and a vector are one; rows that repeat an id
 with different vectors share one vertex, and each counts its own links; a null id has no links and no component and isn't
-kept; ties don't matter to links; empty tables give empty results; a column named like an added one is replaced.
+kept; ties don't matter to links; empty tables give empty results; columns named like an added one are replaced, others may have
+any name and type.
 """
 
 from __future__ import annotations
@@ -36,18 +39,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from .common import cut, replacing, table
+from .common import cut, named, replacing, table
 from .components import connected_components
+from .grouping import join_groups, join_unique, runs, sized
 from .vectors import kmeans, matrix, usable
 
 COSINE = 0.93
 #: Vectors that are meant to be at home in a shard, and beyond which it is split into blocks of half as many.
 SHARD, BLOCK = 1024, 2048
 SAMPLE, CENTRES = 131_072, 16_384
-#: Guests that are measured at once.
-GUESTS = 1024
-#: A shard is split only if it also holds more than this part of all rows; so there are at most that many to broadcast.
-SPLIT_KEYS = 50_000
+#: Bytes of the sample, and of the centres, in double precision.
+SAMPLE_BYTES, CENTRE_BYTES = 128 << 20, 32 << 20
+#: Guests that are measured at once; vectors of a block whose links are audited.
+GUESTS, AUDITED = 1024, 64
 #: Near and far neighbours of a vector in one graph, candidates for them, pruning factor, width of the search, entries.
 DEGREE, FAR, POOL, ALPHA, BEAM, MEDOIDS = 16, 4, 48, 1.2, 32, 16
 
@@ -195,15 +199,16 @@ def _centres(nodes: DataFrame) -> dict:
     counts = nodes.groupBy("label", "d").count().where(F.col("count") > SHARD).orderBy(F.desc("count"), "label").limit(CENTRES).collect()
     if not counts:
         return {}
-    total = sum(r["count"] for r in counts)
-    part = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / total))
+    total, widest = sum(r["count"] for r in counts), max(r["d"] for r in counts)
+    sample, most = min(SAMPLE, SAMPLE_BYTES // (8 * widest)), max(2, min(CENTRES, CENTRE_BYTES // (8 * widest)))
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total))
     wanted = {(r["label"], r["d"]): r["count"] for r in counts}
-    rows = nodes.where(part).select("label", "d", "v").limit(2 * SAMPLE).toArrow()
+    rows = nodes.where(part).select("label", "d", "v").limit(2 * sample).toArrow()
     by: dict = {}
     for i, key in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
         if key in wanted:
             by.setdefault(key, []).append(i)
-    out, left, vectors = {}, CENTRES, rows.column(2).combine_chunks()
+    out, left, vectors = {}, most, rows.column(2).combine_chunks()
     for key, mine in sorted(by.items(), key=lambda x: -wanted[x[0]]):
         k = min(-(-wanted[key] // SHARD), max(2, len(mine) // 8), left)
         if k >= 2:
@@ -250,28 +255,6 @@ def _deal(nodes: DataFrame, cosine: float) -> DataFrame:
     return nodes.mapInArrow(run, StructType([*nodes.schema.fields, StructField("home", IntegerType()), StructField("guest_in", ArrayType(IntegerType()))]))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Pieces of the batches whose first `keys` columns are equal, with their values."""
-    for batch in batches:
-        names = list(zip(*[batch.column(i).to_pylist() for i in range(keys)], strict=True))
-        start = 0
-        for i in range(1, len(names) + 1):
-            if i == len(names) or names[i] != names[start]:
-                yield names[start], batch.slice(start, i - start)
-                start = i
-
-
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """root, each place's smaller place of its group, once the groups of a and b are one."""
-    while len(a) and (root[a] != root[b]).any():
-        low = np.minimum(root[a], root[b])
-        for ends in (root[a], root[b], a, b):
-            np.minimum.at(root, ends, low)
-        while (root[root] != root).any():
-            root = root[root]
-    return root
-
-
 class Block:
     """The vectors at home in a block of a shard: the links of each, and of the guests that come by."""
 
@@ -283,8 +266,22 @@ class Block:
             begin, slot = np.nonzero(graph >= 0)
             known = begin, graph[begin, slot]
             q, v = range_search(unit, Mutual(len(unit), *known), unit, self.root.copy(), known, cosine)
+            if not self.complete(q):
+                q, v = self.every_link()
             self.links = np.bincount(q, weights=self.many[v], minlength=len(node)).astype(np.int64)
-            self.root = _join(self.root, q, v)
+            self.root = join_groups(self.root, q, v)
+
+    def complete(self, q: np.ndarray) -> bool:
+        """Whether as many links were found of the audited vectors, spread over the block, as there are."""
+        n = len(self.unit)
+        asked = np.unique(np.linspace(0, n - 1, min(n, AUDITED)).astype(np.int64))
+        there = (self.unit[asked] @ self.unit.T >= self.cosine).sum(axis=1) - 1
+        return bool((np.bincount(q, minlength=n)[asked] >= there).all())
+
+    def every_link(self) -> tuple[np.ndarray, np.ndarray]:
+        near = self.unit @ self.unit.T >= self.cosine
+        np.fill_diagonal(near, False)
+        return np.nonzero(near)
 
     def guests(self, node: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(node, links, one that it links to) of the guests that link; their links join the groups of the block."""
@@ -293,7 +290,7 @@ class Block:
         q, v = np.nonzero(near)
         n = len(self.node)
         pairs = np.unique(v * n + first[q])
-        self.root = _join(self.root, pairs // n, pairs % n)
+        self.root = join_groups(self.root, pairs // n, pairs % n)
         some = near.any(axis=1)
         return node[some], (near[some] @ self.many).astype(np.int64), self.node[first[some]]
 
@@ -315,7 +312,7 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float, label_type: pa.Data
         rows = pa.Table.from_batches(held)
         return Block(rows.column(5).to_numpy(), rows.column(6).to_numpy(), _units(matrix(rows.column(7).combine_chunks())), cosine)
 
-    for key, rows in _runs(batches, 4):
+    for key, rows in runs(batches, 4):
         if key != now:
             if held:
                 yield out(now, (block or made()).own())
@@ -336,38 +333,40 @@ def _links(batches: Iterator[pa.RecordBatch], cosine: float, label_type: pa.Data
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """vectors, without the vector and label, with n_links, component_id and kept."""
     vectors = replacing(vectors, "n_links", "component_id", "kept")
-    takes_part = usable(vector_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
-    good = vectors.where(takes_part).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
-    nodes = good.distinct().groupBy("label", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("many")).withColumn("d", F.size("v"))
-    nodes = cut(nodes.select("label", "d", "node", "many", "v"))
-    dealt = cut(_deal(nodes, cosine))
+    id_, label, vector = named(id_col), named(label_col), named(vector_col)
+    takes_part = usable(vector) & label.isNotNull() & id_.isNotNull()
+    # What tells one vector of a label from others; rows find their vertex by it.
+    which = F.concat_ws(":", F.xxhash64(label, vector), F.xxhash64(F.lit(1), vector, label))
+    good = vectors.where(takes_part).select(id_.cast("long").alias("id"), label.alias("label"), vector.alias("v"), which.alias("which"))
+    nodes = good.distinct().groupBy("label", "v", "which").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("many")).withColumn("d", F.size("v"))
+    nodes = cut(nodes.select("label", "d", "node", "many", "v", "which"))
+    dealt = cut(_deal(nodes.drop("which"), cosine))
+    keys = ["label", "d", "shard", "block"]
     sizes = dealt.groupBy("label", "d", F.col("home").alias("shard")).count()
-    least = max(BLOCK, nodes.count() // SPLIT_KEYS)
-    large = sizes.where(F.col("count") > least).select("label", "d", "shard", F.ceil(2 * F.col("count") / BLOCK).cast("int").alias("blocks"))
+    large = cut(sizes.where(F.col("count") > BLOCK).select("label", "d", "shard", F.ceil(2 * F.col("count") / BLOCK).cast("int").alias("blocks")))
     visits = dealt.withColumn("shard", F.explode(F.concat(F.array("home"), "guest_in")))
-    visits = visits.join(F.broadcast(cut(large)), ["label", "d", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    visits = visits.join(sized(large, large.count()), keys[:3], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own_block = F.pmod(F.xxhash64("node", "shard"), F.col("blocks")).cast("int")
     own = (F.col("home") == F.col("shard")) & (own_block == F.col("block"))
-    keys = ["label", "d", "shard", "block"]
     seen = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, own.alias("own"), "node", "many", "v")
     seen = seen.repartition(*keys).sortWithinPartitions(*keys, F.desc("own"), "node")
     label_type = nodes.schema["label"].dataType
     arrow_type = to_arrow_type(label_type)
     found = cut(seen.mapInArrow(lambda it: _links(it, cosine, arrow_type), f"label {label_type.simpleString()}, d int, node long, links long, root long"))
     counts = found.groupBy("label", "d", "node").agg(F.sum("links").alias("links"))
-    per_node = nodes.join(counts, ["label", "d", "node"], "left").select(
-        "label", "v", "node", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links_")
-    )
-    comps = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    per_node = per_node.join(comps.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left")
-    per_node = per_node.select(F.col("label").alias("l_"), F.col("v").alias("v_"), "links_", F.coalesce("component", "node").alias("component_"))
+    per_node = nodes.select("label", "d", "node", "many", "which").join(counts, ["label", "d", "node"], "left")
+    per_node = per_node.select(F.col("which").alias("which_"), "node", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links_"))
+    comps = cut(connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))).withColumnRenamed("node", "n2")
+    per_node = join_unique(per_node, "node", comps, "n2", comps.count())
+    per_node = cut(per_node.select("which_", "links_", F.coalesce("component", "node").alias("component_")))
     rest = [c for c in vectors.columns if c not in (vector_col, label_col)]
-    yes = vectors.where(takes_part).join(per_node, (F.col(label_col) == F.col("l_")) & (F.col(vector_col) == F.col("v_")), "left")
-    no = vectors.where(~takes_part).withColumns({"links_": F.lit(0).cast("long"), "component_": F.col(id_col)})
-    names = [*[F.col(f"`{c}`") for c in rest], "links_", "component_"]
+    names = [*[named(c) for c in rest], "links_", "component_"]
+    yes = vectors.where(takes_part).select(*[named(c) for c in rest], which.alias("__which"))
+    yes = join_unique(yes, "__which", per_node, "which_", per_node.count())
+    no = vectors.where(~takes_part).withColumns({"links_": F.lit(0).cast("long"), "component_": id_})
     both = yes.select(*names).unionByName(no.select(*names))
-    kept = F.coalesce(F.col(id_col) == F.col("component_"), F.lit(False))
-    return both.select(*[F.col(f"`{c}`") for c in rest], F.col("links_").cast("long").alias("n_links"), F.col("component_").alias("component_id"), kept.alias("kept"))
+    kept = F.coalesce(id_ == F.col("component_"), F.lit(False))
+    return both.select(*[named(c) for c in rest], F.col("links_").cast("long").alias("n_links"), F.col("component_").alias("component_id"), kept.alias("kept"))
 
 
 def audit(vectors: DataFrame, result: DataFrame, sample: int = 200, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> tuple[int, int]:

@@ -8,9 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def usable(vector: str) -> Column:
+def usable(vector: str | Column) -> Column:
     """Not null, not zero, without null or non-finite components."""
-    v = F.col(vector)
+    v = F.col(vector) if isinstance(vector, str) else vector
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
