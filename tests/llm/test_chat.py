@@ -48,6 +48,86 @@ def test_links_order_and_problems(spark):
     assert len(json.loads(by(5)[0].message)["content"]) == 300_000
 
 
+def slow_chats(rows, tools):
+    """The same in plain Python, one conversation after the other: (turn, role, message, place, linked turn, problems) of each message."""
+    fits = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
+    out = []
+    for conv in {r[0] for r in rows}:
+        messages = []
+        for _, turn, role, text in [r for r in rows if r[0] == conv]:
+            try:
+                body = json.loads(text or "")
+            except ValueError:
+                body = None
+            body = body if isinstance(body, dict) else {}
+            calls = body.get("tool_calls") if role != "tool" else None
+            answer = body.get("tool_call_id") if role == "tool" else None
+            messages.append((turn, role, text, body, calls or [], calls is not None, answer))
+        first, answers, same = {}, {}, {}
+        for turn, _, _, _, calls, _, answer in messages:
+            for pos, c in enumerate(calls):
+                same[c["id"]] = same.get(c["id"], 0) + 1
+                first[c["id"]] = min(first.get(c["id"], (turn, pos)), (turn, pos))
+            if answer is not None:
+                answers[answer] = min(answers.get(answer, turn), turn)
+        for turn, role, text, body, calls, has, answer in messages:
+            place, linked, problems = (turn, 0, 0, 0), None, []
+            message = {"role": role}
+            content = body.get("content") if has or answer is not None else (text or "")
+            if content is not None:
+                message["content"] = content
+            if answer is not None:
+                message["tool_call_id"] = answer
+                if answer not in first:
+                    problems = [f"orphan:{answer}"]
+                else:
+                    linked, pos = first[answer]
+                    place = (linked, 1, pos, turn)
+                    problems = [f"repeated:{answer}"] if turn > answers[answer] else []
+            if calls:
+                message["tool_calls"] = [{"arguments": c["arguments"], "id": c["id"], "name": c["name"]} for c in calls]
+                for c in calls:
+                    known, given = tools.get(c["name"]), c["arguments"]
+                    if known is None:
+                        problems.append(f"{c['id']}:tool")
+                        continue
+                    found = [f"missing:{p}" for p, (_, needed) in known.items() if needed and p not in given]
+                    found += [f"type:{p}" for p, (t, _) in known.items() if p in given and (not isinstance(given[p], fits[t]) or (isinstance(given[p], bool) and t != "boolean"))]
+                    found += [f"unknown:{p}" for p in given if p not in known]
+                    problems += [f"{c['id']}:{x}" for x in sorted(found)]
+                mine = {i for i, at in first.items() if at[0] == turn}
+                problems += sorted({f"repeated:{i}" for i in mine if same[i] > 1} | {f"unanswered:{i}" for i in mine if i not in answers})
+            out.append((conv, turn, json.dumps(message, sort_keys=True, separators=(",", ":"), ensure_ascii=False), place, linked, problems))
+    return sorted(out, key=repr)
+
+
+def test_against_plain_python(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    value = lambda: rng.choice(["x", 3, 2.5, True, ["a"], {"k": 1}])
+    for conv in range(60):
+        ids = [f"c{rng.randrange(6)}" for _ in range(8)]
+        for turn in range(rng.randrange(1, 14)):
+            kind = rng.choice(["plain", "call", "call", "result", "result"])
+            if kind == "plain":
+                rows.append((conv, turn, rng.choice(["user", "assistant", "tool"]), rng.choice(["hello", "{no", None, '{"a": 1}'])))
+            elif kind == "call":
+                names = rng.sample(["search", "calculator", "lookup", "nope"], 2)
+                calls = [{"id": rng.choice(ids), "name": n, "arguments": {p: value() for p in rng.sample(["query", "limit", "expression", "id", "fields", "odd"], 3)}} for n in names]
+                rows.append((conv, turn, "assistant", call(*calls, content=rng.choice([None, "thinking"]))))
+            else:
+                rows.append((conv, turn, "tool", result(rng.choice(ids), rng.choice(["r", "[1]"]))))
+    hot = [(999, 2 * i, "assistant", call({"id": f"h{i}", "name": "search", "arguments": {"query": "q"}})) for i in range(400)]
+    hot += [(999, 2 * i + 1 if i % 3 else 5000 - i, "tool", result(f"h{i}", "r")) for i in range(400) if i % 7]
+    rows += hot
+    out = formatted(spark, rows).collect()
+    got = sorted(((r.conv_id, r.turn, r.message, (r.order_turn, r.order_kind, r.order_call, r.order_result), r.linked_turn, r.problems) for r in out), key=repr)
+    assert got == slow_chats(rows, C.TOOLS)
+    places = [(r.conv_id, r.order_turn, r.order_kind, r.order_call, r.order_result) for r in out if r.linked_turn is not None]
+    assert len(places) > 300 and all(p[1] == r.linked_turn and p[2] == 1 for p, r in zip(places, [r for r in out if r.linked_turn is not None], strict=True))
+
+
 def test_messages_are_canonical(spark):
     for r in formatted(spark).collect():
         m = json.loads(r.message)

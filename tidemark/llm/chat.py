@@ -4,11 +4,13 @@ A turn whose text is a JSON object may carry tool_calls, a list of {id, name, ar
 stand under `function`), and content; a turn of role `tool` carries tool_call_id and content. Calls and results meet in a
 hash join by conversation and identifier, each side first reduced to one row for an identifier. Messages are put in
 topological order: a result comes right behind the message that calls it, by the call's place there, wherever it stood.
-The order is given as a key of four numbers, so no task needs a conversation whole. Arguments are checked against the
-tools' schemas. Each message becomes one line of canonical JSON: names in order of code points, no blanks, absent parts
-left out.
+Results call nothing, so that graph is one step deep and its order a key of four numbers; no task needs a conversation
+whole. Arguments are checked against the tools' schemas. Each message becomes one line of canonical JSON: names in order of code
+points, no blanks, absent parts left out.
 
-Defined cases: null text reads as empty; text that isn't a JSON object of the kind above is content as it stands; a call
+The table is read twice: once for the messages that call or answer, which are cut off and linked among themselves, and once for all the rest.
+
+Defined cases: null text reads as empty; texts of any length are read whole; text that isn't a JSON object of the kind above is content as it stands; a call
 or result without an identifier links with nothing; arguments that aren't JSON are written as a string; of calls (results) that repeat an identifier the first by turn and
 place links, later ones are reported as repeated; a result without a call stays at its turn and is reported as
 orphan; a call without a result is reported as unanswered; null turns come first; a row that repeats a conversation and
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, named, table
 
 CALL = "struct<id:string,name:string,arguments:string,function:struct<name:string,arguments:string>>"
 BODY = f"struct<content:string,tool_calls:array<{CALL}>,tool_call_id:string>"
@@ -62,10 +64,10 @@ def _problems(name: Column, arguments: Column, schemas: Schemas) -> Column:
 def format_chats(turns: DataFrame, schemas: Schemas, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each message: conv_id, turn, role, order_turn, order_kind, order_call, order_result, message (canonical
     JSON), n_calls, linked_turn (of a result's call), problems (array)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(named(text_col), F.lit(""))
     looks = text.rlike(r"^\s*\{[\s\S]*\}\s*$")
     body = F.from_json(F.when(looks, text), BODY)
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), text.alias("raw"), body.alias("body"))
+    rows = turns.select(named(conv_col).alias("conv"), named(turn_col).cast("long").alias("turn"), named(role_col).alias("role"), text.alias("raw"), body.alias("body"))
     calls = F.transform(
         "body.tool_calls",
         lambda c: F.struct(
@@ -79,6 +81,9 @@ def format_chats(turns: DataFrame, schemas: Schemas, conv_col: str = "conv_id",
     rows = rows.withColumn("calls", F.when(has_calls, calls).otherwise(F.array().cast("array<struct<id:string,name:string,arguments:string>>")))
     rows = rows.withColumn("result_id", F.when(tool, F.col("body.tool_call_id")))
     rows = rows.withColumn("content", F.when(has_calls | F.col("result_id").isNotNull(), F.col("body.content")).otherwise(F.col("raw")))
+    links = F.col("result_id").isNotNull() | (F.size("calls") > 0)
+    plain = rows.where(~links)
+    rows = cut(rows.where(links).drop("raw", "body"))
 
     # One row for each identifier on either side, then the hash join.
     each = rows.select("conv", "turn", F.posexplode("calls").alias("pos", "c")).where("c.id is not null")
@@ -88,7 +93,6 @@ def format_chats(turns: DataFrame, schemas: Schemas, conv_col: str = "conv_id",
 
     # Back to the messages: results by their identifier, calling messages by theirs.
     to_result = linked.select(F.col("conv").alias("c1"), F.col("id").alias("i1"), "call", F.col("answer").alias("first_answer"))
-    plain = rows.where(F.col("result_id").isNull() & (F.size("calls") == 0))
     results = rows.where("result_id is not null").join(to_result, (F.col("conv") == F.col("c1")) & (F.col("result_id") == F.col("i1")), "left")
     state = linked.select(
         F.col("conv").alias("c2"), F.col("call.turn").alias("t2"), F.when(F.col("n_same") > 1, F.concat(F.lit("repeated:"), "id")).alias("again"), F.when(F.col("answer").isNull(), F.concat(F.lit("unanswered:"), "id")).alias("open")
