@@ -45,6 +45,13 @@ def test_search_in_blocks_of_queries(spark, monkeypatch):
     assert out.count() == 12 * 3
 
 
+def test_lengths_are_searched_apart(spark):
+    rows = [(i, [float(i), 1.0], 0) for i in range(6)] + [(10 + i, [float(i), 2.0, 1.0], 0) for i in range(4)]
+    frame = table_of(spark, rows).withColumnRenamed("embedding", "the.vector")
+    out = sorted((r.query_id, r["rank"], r.vec_id) for r in A.search(frame, A.F.col("id") % 10 == 0, vector_col="the.vector", k=2).collect())
+    assert out == [(0, 1, 1), (0, 2, 2), (10, 1, 11), (10, 2, 12)]
+
+
 def test_few_candidates_and_none(spark):
     few = table_of(spark, [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1)])
     assert sorted((r.query_id, r.rank, r.vec_id) for r in A.search(few, A.F.col("id") == 0).collect()) == [(0, 1, 2), (0, 2, 1)]
@@ -95,9 +102,39 @@ def test_links_against_brute_force(spark, monkeypatch, shard, block):
         else:
             assert (r.n_links, r.component_id) == (0, r.vec_id)
         assert r.kept == (r.vec_id is not None and r.vec_id == r.component_id)
-    assert found >= 0.99 * links
-    if found == links:
-        assert {r.vec_id: (r.n_links, r.component_id) for r in out if r.vec_id in want} == want
+    assert found == links and {r.vec_id: (r.n_links, r.component_id) for r in out if r.vec_id in want} == want
+
+
+def test_a_block_with_a_missed_link_is_searched_again(monkeypatch):
+    x = clustered(np.random.default_rng(11), 300)
+    unit = G._units(x)
+    none = np.empty(0, dtype=np.int64)
+    monkeypatch.setattr(G, "range_search", lambda *_: (none, none))
+    block = G.Block(np.arange(300), np.ones(300), unit, G.COSINE)
+    near = unit @ unit.T >= G.COSINE
+    np.fill_diagonal(near, False)
+    assert near.any() and block.links.tolist() == near.sum(axis=1).tolist()
+
+
+def test_sql_on_planted_links(spark, monkeypatch):
+    """The query's SQL, over clusters, a vector that a third of all rows hold, several shards and blocks."""
+    import duckdb
+
+    monkeypatch.setattr(G, "SHARD", 40)
+    monkeypatch.setattr(G, "BLOCK", 60)
+    import tidemark.llm.grouping as H
+
+    monkeypatch.setattr(H, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(H, "LEAST_HOT", 20)
+    x = clustered(np.random.default_rng(12), 300)
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(1000 + i, x[3].tolist(), 0) for i in range(150)] + [(7, x[7].tolist(), 1), *ODD[:5]]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", [list(r) for r in rows])
+    want = sorted(con.execute(G.OP4_SQL).fetchall(), key=repr)
+    out = G.link_vectors(table_of(spark, rows))
+    assert sorted((tuple(r) for r in out.select("vec_id", "n_links", "component_id", "kept").collect()), key=repr) == want
+    assert sum(r[1] > 100 for r in want) >= 150 and len({r[2] for r in want}) > 20
 
 
 @pytest.mark.parametrize("block", [2048, 80])

@@ -11,10 +11,11 @@ the k nearest, not only likely to be.
 Queries are taken in blocks of QUERY_BLOCK, which bounds what is broadcast; each task passes over its part of the index
 and gives k rows for a query. Nothing else moves.
 
-Defined cases: vectors that are null, zero or hold null or non-finite components take no part, as queries or candidates;
-nor do vectors of another length than most. Rows that have the query's id are its own; other rows that repeat an id are
-candidates each. A null id is a candidate without a name: it is left out. Ties go to the smaller id. Empty tables give
-empty results.
+Defined cases: vectors that are null, zero or hold null or non-finite components take no part, as queries or candidates.
+Vectors of different lengths have no distance: each length has an index and queries of its own. Rows that have the query's id are its own; other
+rows that repeat an id are candidates each; of query rows that repeat an id the smallest vector asks. A null id is a candidate without a name: it is
+left out. Ties go to the smaller id. Only the two named columns are read, so others may have any name and type. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import cut, named, table
 from .vectors import distances, kmeans, matrix, usable
 
 BOOKS, WORDS, BEAM = 48, 64, 4
@@ -83,16 +84,14 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int = 7)
     return Codebooks(np.linalg.solve(gram, pull).reshape(first.books.shape))
 
 
-def _dimension(vectors: DataFrame) -> int:
-    found = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return found["d"] if found else 0
+def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, v) of the rows that take part."""
+    vector = named(vector_col)
+    return vectors.where(usable(vector) & named(id_col).isNotNull()).select(named(id_col).cast("long").alias("id"), vector.cast("array<double>").alias("v"))
 
 
-def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, Codebooks | None]:
-    """(id, v, codes, norm, error) for every usable vector, and the codebooks (None for an empty table)."""
-    good = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    d = _dimension(good)
-    good = good.where(F.size("v") == d)
+def build_index(good: DataFrame) -> tuple[DataFrame, Codebooks | None]:
+    """good(id, v) of one length -> (id, v, codes, norm, error) for every vector, and the codebooks (None for an empty table)."""
     n = good.count()
     if not n:
         return good.selectExpr("id", "v", "cast(null as binary) codes", "0D norm", "0D error"), None
@@ -100,7 +99,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     rows = good.where(part).select("v").limit(2 * SAMPLE).collect()
     rows = rows or good.select("v").limit(SAMPLE).collect()
     model = train(np.array([r["v"] for r in rows]))
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+    shared = good.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -174,8 +173,12 @@ def nearest(index: DataFrame, model: Codebooks | None, queries: DataFrame, k: in
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10) -> DataFrame:
     """The k nearest of all rows to each row that is_query picks (a condition on `id`)."""
-    index, model = build_index(vectors, id_col, vector_col)
-    return nearest(index, model, index.where(is_query).select("id", "v"), k)
+    good, found = usable_vectors(vectors, id_col, vector_col), None
+    for row in good.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
+        index, model = build_index(good.where(F.size("v") == row["d"]))
+        part = nearest(index, model, index.where(is_query).select("id", "v"), k)
+        found = part if found is None else found.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double") if found is None else found
 
 
 # ---------------------------------------------------------------- query
