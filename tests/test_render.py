@@ -70,7 +70,7 @@ def test_statements(spark):
 
 
 @pytest.mark.parametrize(("settings", "what"), [
-    ({"keys": ()}, render.NO_KEYS), ({"keys": ("zz",)}, "Key column zz not found"),
+    ({"keys": ()}, render.NO_KEYS), ({"keys": ("zz",)}, render.LACKS_KEY + "zz"),
     ({"identity": "nothing"}, render.NOTHING), ({"identity": "full", "before": None}, render.NO_OLD),
 ])
 def test_rows_that_cannot_be_found(spark, settings, what):

@@ -113,7 +113,7 @@ def test_log_source(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.event for r in spark.table("wal").orderBy("lsn").collect()] == ["begin", "c", "c", "commit"]
-    with pytest.raises(Exception, match="slot name"):
+    with pytest.raises(Exception, match="slot's name"):
         slot_status(spark, "jdbc:x", "Bad Name")
 
 

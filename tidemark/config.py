@@ -40,14 +40,14 @@ class Config:
 
     def validate(self) -> Config:
         problems = (
-            (not self.source, "Source connection string is required"),
-            (not self.destination, "Destination connection string is required"),
-            (not valid_slot_name(self.slot), f"Invalid slot name: {self.slot!r}"),
-            (not self.publication, "Publication name is required"),
-            (not 1 <= self.protocol_version <= 4, "Protocol version must be between 1 and 4"),
-            (self.streaming and self.protocol_version < 2, "Streaming requires protocol version 2 or higher"),
-            (self.two_phase and self.protocol_version < 3, "Two-phase commit requires protocol version 3 or higher"),
-            (self.buffer_size <= 0, "Buffer size must be greater than 0"),
+            (not self.source, "no source to read from"),
+            (not self.destination, "no destination to write to"),
+            (not valid_slot_name(self.slot), f"a slot's name has a-z, 0-9 and _ only, not {self.slot!r}"),
+            (not self.publication, "no publication named"),
+            (not 1 <= self.protocol_version <= 4, f"there are protocols 1 to 4, not {self.protocol_version}"),
+            (self.streaming and self.protocol_version < 2, "transactions are streamed from protocol 2 on"),
+            (self.two_phase and self.protocol_version < 3, "two phases are there from protocol 3 on"),
+            (self.buffer_size <= 0, "the buffer must hold a row at least"),
         )
         for wrong, what in problems:
             if wrong:
@@ -83,7 +83,7 @@ def parse_schema_mappings(text: str) -> dict[str, str]:
     for pair in filter(None, (p.strip() for p in text.split(","))):
         source, colon, target = (x.strip() for x in pair.partition(":"))
         if not colon or not source or not target:
-            raise ConfigError(f"Invalid schema mapping {pair!r}: source:destination is expected")
+            raise ConfigError(f"{pair!r} doesn't map a schema to a schema (from:to)")
         out[source] = target
     return out
 
@@ -132,7 +132,7 @@ def load_config(environment: Mapping[str, str] | None = None) -> Config:
         out |= {setting: parse(env[name]) for name, setting in names.items() if name in env}
     kind = env.get("CDC_DEST_TYPE", "mysql").lower()
     if kind not in DESTINATIONS:
-        log.warning("Unknown destination type %r, defaulting to MySQL", kind)
+        log.warning("no destination is called %r; taking mysql", kind)
         kind = "mysql"
     if "CDC_TRANSACTION_SEGMENT_SIZE_MB" in env:
         out["segment_bytes"] = parse_int(env["CDC_TRANSACTION_SEGMENT_SIZE_MB"]) << 20

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+
 
 class ChangelogError(Exception):
     """Base of all errors; permanent unless a subclass says otherwise."""
@@ -39,6 +41,13 @@ def is_transient(error: BaseException) -> bool:
     return getattr(error, "transient", False) or isinstance(error, (ConnectionError, TimeoutError))
 
 
+def backoff(attempt: Column) -> Column:
+    """backoff_seconds for a column of attempts."""
+    from pyspark.sql import functions as F
+
+    return F.least(F.pow(F.lit(2.0), attempt), F.lit(30.0))
+
+
 def backoff_seconds(attempt: int) -> float:
     """Doubling waits, half a minute at most."""
     return float(min(2**attempt, 30))

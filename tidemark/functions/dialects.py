@@ -34,6 +34,11 @@ class Dialect:
     double_backslash: bool = False
     truncate: str | None = "TRUNCATE TABLE "
     compat_booleans: bool = True
+    signs: tuple[str, str] = ('"', '"')
+
+    def named(self, name: str) -> str:
+        """A quoted identifier as text."""
+        return self.signs[0] + name.replace(self.signs[1], self.signs[1] * 2) + self.signs[1]
 
     def qualify(self, schema: Column, table: Column) -> Column:
         return F.concat_ws(".", self.quote(schema), self.quote(table)) if self.with_schema else self.quote(table)
@@ -61,8 +66,8 @@ class Dialect:
 
 
 ANSI = Dialect("ansi", _quoted('"', '"'), _hex("X'", "'"))
-MYSQL = Dialect("mysql", _quoted("`", "`"), _hex("X'", "'"), double_backslash=True)
-SQLSERVER = Dialect("sqlserver", _quoted("[", "]"), _hex("0x", ""))
+MYSQL = Dialect("mysql", _quoted("`", "`"), _hex("X'", "'"), double_backslash=True, signs=("`", "`"))
+SQLSERVER = Dialect("sqlserver", _quoted("[", "]"), _hex("0x", ""), signs=("[", "]"))
 SQLITE = Dialect("sqlite", _quoted('"', '"'), _hex("X'", "'"), with_schema=False, truncate="DELETE FROM ")
 KAFKA = Dialect("kafka", _quoted('"', '"'), _hex("X'", "'"), with_schema=False, truncate=None)
 

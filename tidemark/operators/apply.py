@@ -6,11 +6,16 @@ shuffle of the log and, with a base table, one join. An update never makes a row
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 WRITES = ("c", "u")
 
@@ -110,19 +115,30 @@ def replay_rows(base: DataFrame, log: DataFrame, columns: list[str], order: list
     group = [F.coalesce(F.col(c), F.col(f"old_{c}")).alias(f"__g{i}") for i, c in enumerate(by)] or [F.lit(0).alias("__g0")]
     schema = base.select(*columns).schema
 
-    def run(frame):
-        import pandas as pd
-
-        plain = lambda values: tuple(None if v is None or v != v else v for v in values)
-        start, counts = frame["__n"].notna(), {}
-        for r in frame[start][[*columns, "__n"]].itertuples(index=False):
-            counts[plain(r[:-1])] = int(r[-1])
-        for r in frame[~start].sort_values(order)[["op", *columns, *[f"old_{c}" for c in columns]]].itertuples(index=False):
-            new, old = plain(r[1 : 1 + len(columns)]), plain(r[1 + len(columns) :])
-            if r[0] == "c":
-                counts[new] = counts.get(new, 0) + 1
-            elif (n := counts.pop(old, 0)) and r[0] == "u":
-                counts[new] = counts.get(new, 0) + n
-        return pd.DataFrame([row for row, n in counts.items() for _ in range(n)], columns=columns)
-
-    return both.groupBy(*group).applyInPandas(run, schema)
+    names = [*columns, "__n"]
+    kinds = StructType([*schema.fields, StructField("__n", LongType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        def images(prefix: str, where: pa.Table) -> list[tuple]:
+            return list(zip(*[where.column(f"{prefix}{c}").to_pylist() for c in columns], strict=True))
+
+        def same(row: tuple) -> tuple:  # not-a-numbers are equal, as in a table
+            return tuple("nan" if isinstance(v, float) and v != v else json.dumps(v, default=str) if isinstance(v, (list, dict)) else (type(v), v) for v in row)
+
+        start = pc.is_valid(table.column("__n"))
+        held = table.filter(start)
+        counts = {same(row): [row, n] for row, n in zip(images("", held), held.column("__n").to_pylist(), strict=True)}
+        moves = table.filter(pc.invert(start)).sort_by([(c, "ascending") for c in order])
+        for op, new, old in zip(moves.column("op").to_pylist(), images("", moves), images("old_", moves), strict=True):
+            if op == "c":
+                counts.setdefault(same(new), [new, 0])[1] += 1
+            elif (gone := counts.pop(same(old), None)) is not None and op == "u":
+                counts.setdefault(same(new), [new, 0])[1] += gone[1]
+        left = [(*row, n) for row, n in counts.values()]
+        kept = list(zip(*left, strict=True)) or [()] * len(names)
+        return pa.table([pa.array(v, type=t.type) for v, t in zip(kept, arrow, strict=True)], names=names)
+
+    arrow = to_arrow_schema(kinds)
+    out = both.groupBy(*group).applyInArrow(run, kinds)
+    # Equal rows come as a count and are told apart here, so a task holds each once.
+    return out.where("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*columns)

@@ -89,6 +89,14 @@ def chunked_inserts(rows: DataFrame, by: list[str], prefix: Column, tuple_: Colu
     return rows.groupBy(*by, "piece").agg(F.concat(F.first("__prefix"), F.array_join(_in_order(F.col("__tuple"), order), ", "), F.lit(";")).alias("statement"))
 
 
+def union_all(rows: DataFrame, by: list[str], names: list[str], values: Column, order: str = "lsn") -> DataFrame:
+    """(by..., statement): the body of a derived table for each group, a SELECT for each row; the first names the columns."""
+    first = F.array_join(F.zip_with(values, F.array(*[F.lit(n) for n in names]), lambda v, n: F.concat_ws(" AS ", v, n)), ", ")
+    parts = _in_order(F.struct(first.alias("first"), F.array_join(values, ", ").alias("plain")), order)
+    body = F.transform(parts, lambda x, i: F.when(i == 0, x["first"]).otherwise(x["plain"]))
+    return rows.groupBy(*by).agg(F.concat(F.lit("SELECT "), F.array_join(body, " UNION ALL SELECT ")).alias("statement"))
+
+
 def last_writes(rows: DataFrame, keys: list[str], columns: list[str], order: str = "lsn") -> DataFrame:
     """(keys, columns): the last value of each, so a later update of a row wins over an earlier one."""
     return rows.groupBy(*keys).agg(*[F.max_by(c, order).alias(c) for c in columns])
@@ -113,7 +121,7 @@ def or_delete(d: Dialect, rows: DataFrame, by: list[str], table: Column, predica
 
 def join_update_sql(d: Dialect, table: str, keys: list[str], columns: list[str], rows: list[list[str]]) -> str:
     """UPDATE by a join with a derived table of literals, each row's keys first; the shape depends on the dialect."""
-    q = {"mysql": lambda x: f"`{x}`", "sqlserver": lambda x: f"[{x}]"}.get(d.name, lambda x: f'"{x}"')
+    q = d.named
     names = [*keys, *columns]
     first = "SELECT " + ", ".join(f"{v} AS {q(n)}" for v, n in zip(rows[0], names, strict=True))
     body = " UNION ALL ".join([first, *["SELECT " + ", ".join(r) for r in rows[1:]]])

@@ -90,16 +90,18 @@ def envelope(log: DataFrame, prefix: str, db: str, mappings: Mapping[str, str] |
         ),
         {"ignoreNullFields": "false"},
     )
+    # Images and field lists are made once, behind a projection; the two parts of the schema share one list.
     fields = F.coalesce(field_schema(after), field_schema(before), F.array().cast("array<struct<type:string,optional:boolean,field:string>>"))
-    part = lambda name: F.struct(F.lit("struct").alias("type"), fields.alias("fields"), F.lit(True).alias("optional"), F.lit(name).alias("field"))
+    rows = rows.withColumns({"__fields": F.to_json(fields), "__before": row_json(before), "__after": row_json(after)})
+    part = lambda name: F.concat(F.lit('{"type":"struct","fields":'), F.col("__fields"), F.lit(f',"optional":true,"field":"{name}"}}'))
     fixed = "[" + ",".join(f'{{"type":"{t}","optional":{str(o).lower()},"field":"{n}"}}' for n, t, o in SOURCE_FIELDS) + "]"
     shape = F.concat(
-        F.lit('{"type":"struct","fields":['), F.to_json(part("before")), F.lit(","), F.to_json(part("after")),
+        F.lit('{"type":"struct","fields":['), part("before"), F.lit(","), part("after"),
         F.lit(f',{{"type":"struct","fields":{fixed},"optional":false,"field":"source"}},{{"type":"string","optional":false,"field":"op"}},{{"type":"int64","optional":true,"field":"ts_ms"}}],"optional":false,"name":'),
         _string(topic(prefix, schema, table, "Envelope")), F.lit("}"),
     )
     payload = F.concat(
-        F.lit('{"before":'), row_json(before), F.lit(',"after":'), row_json(after), F.lit(',"source":'), source, F.lit(',"op":"'), F.col("event"),
+        F.lit('{"before":'), F.col("__before"), F.lit(',"after":'), F.col("__after"), F.lit(',"source":'), source, F.lit(',"op":"'), F.col("event"),
         F.lit('","ts_ms":'), F.coalesce(ts.cast("string"), F.lit("null")), F.lit("}"),
     )
     return rows.select(

@@ -50,7 +50,7 @@ def latest(gauges: DataFrame, name: str, value: str, at: str) -> DataFrame:
     return gauges.groupBy(name).agg(F.max_by(value, at).alias(value))
 
 
-#: Upper ends of the buckets of a duration, in seconds.
+#: Upper ends of the buckets of a duration, in seconds. Fixed values.
 BUCKETS = (0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
 

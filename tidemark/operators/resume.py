@@ -38,7 +38,7 @@ def batches(rows: DataFrame, tx: str, order: str, size: int) -> DataFrame:
     return rows.withColumn("batch_index", batch).withColumn("progress", F.least((batch + 1) * size, last).cast("long"))
 
 
-def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, values: list[str], span: int = 1000) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, values: list[str], span: int | None = None) -> DataFrame:
     """left with the values of the last right row at or before it.
 
     Both sides are put in one order and the last right row is carried forward, so no pair of rows is formed and no task
@@ -48,6 +48,6 @@ def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, values
 
     l = left.select("*", F.col(left_at).cast("long").alias("__at"), F.lit(1).alias("__side"))
     r = right.select(F.col(right_at).cast("long").alias("__at"), F.lit(0).alias("__side"), F.struct(right_at, *[c for c in values if c != right_at]).alias("__right"))
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("__order", F.col("__at") * 2 + F.col("__side"))
-    out = carry_forward(both, F.col("__right"), "__found", order="__order", span=2 * span)
+    both = l.unionByName(r, allowMissingColumns=True)
+    out = carry_forward(both, F.col("__right"), "__found", order="__at", span=span, tie=["__side"])
     return out.where("__side = 1").select(*left.columns, *[F.col("__found")[c].alias(c) for c in values])

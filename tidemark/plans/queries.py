@@ -6,36 +6,16 @@ error deletes it, all else updates it. Names, texts and prices of the other tabl
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import errors
 from ..functions.dialects import ANSI, MYSQL, SQLITE, SQLSERVER, Dialect
 from ..functions.literals import tsv_line, typed_literal
 from ..functions.lsn import format_lsn, parse_lsn
 from ..operators import apply, assemble, coalesce, envelope, mapping, metrics, render, resume
 from ..schema import image
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register the decorated function as a query."""
-
-    def add(run):
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return run
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLE_SQL, QUERIES, query, read  # noqa: F401
 
 CL = """cl AS (SELECT event_id AS lsn, CAST(floor(event_id / 10) AS BIGINT) AS tx_id, user_id AS k, value, ts, event_type,
   CASE event_type WHEN 'signup' THEN 'c' WHEN 'error' THEN 'd' ELSE 'u' END AS op FROM events)"""
@@ -68,15 +48,16 @@ def replay_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "replay_truncate_barrier",
     f"""WITH all_changes AS (SELECT * FROM (WITH {CL} SELECT * FROM cl)),
-t AS (SELECT max(lsn) AS at FROM all_changes WHERE lsn % 4999 = 0 AND lsn > 0),
+t AS (SELECT max(lsn) AS at FROM all_changes WHERE lsn % 3001 = 0 AND lsn > 0),
 cl AS (SELECT a.* FROM all_changes a, t WHERE t.at IS NULL OR a.lsn > t.at), {LIFE}
 SELECT cl.k, arg_max(cl.value, cl.lsn) AS value, max(cl.lsn) AS last_lsn
 FROM cl JOIN c ON cl.k = c.k WHERE cl.lsn >= c.c AND cl.op IN ('c', 'u') GROUP BY cl.k""",
 )
 def replay_truncate_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 4999th position truncates the table; a scalar of the log bounds the scan."""
+    """Every 3001st position truncates the table; the last one of the log, a scalar, bounds the scan."""
     log = changes(spark, sf_dir)
-    last = log.where("lsn % 4999 = 0 and lsn > 0").agg(F.max("lsn")).first()[0]
+    cuts = log.where("lsn % 3001 = 0 and lsn > 0").select("lsn", F.lit("t").alias("event"), F.array(F.lit("public.users")).alias("tables"))
+    last = apply.truncations(cuts).where("table = 'users'").agg(F.max("lsn")).first()[0]
     log = log.select("k", "lsn", "op", F.struct("value").alias("after"))
     return apply.replay(log, ["k"], ["lsn"], ["value"], barrier=None if last is None else F.struct(F.lit(last).alias("lsn")))
 
@@ -207,18 +188,10 @@ def committed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("commit_order", f"WITH {TX} SELECT tx_id, commit_lsn, CAST(row_number() OVER (ORDER BY commit_lsn NULLS LAST, tx_id) AS BIGINT) AS place FROM tx")
 def commit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places by spans of positions: a span's rows are numbered apart, after the count of all spans before it."""
-    from pyspark.sql.window import Window
+    return assemble.in_commit_order(committed(spark, sf_dir)).select("tx_id", "commit_lsn", "place")
 
-    span = F.coalesce(F.floor(F.col("commit_lsn") / assemble.SPAN), F.lit(2**62))
-    rows = committed(spark, sf_dir).withColumn("span", span)
-    before = F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("span")) - F.col("count")
-    sums = rows.groupBy("span").count().select(F.col("span").alias("s"), before.alias("before"))
-    place = F.row_number().over(Window.partitionBy("span").orderBy(*assemble.commit_order())) + F.col("before")
-    return rows.join(sums, F.col("span") == F.col("s")).select("tx_id", "commit_lsn", place.cast("long").alias("place"))
 
-
-@query("dedup_boundary", f"WITH {TX} SELECT tx_id, n_events, commit_lsn FROM tx WHERE commit_lsn > 500")
+@query("dedup_boundary", f"WITH {TX} SELECT tx_id, n_events, commit_lsn FROM tx WHERE commit_lsn > 500 OR commit_lsn IS NULL")
 def dedup_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.not_applied(committed(spark, sf_dir), 500).select("tx_id", "n_events", "commit_lsn")
 
@@ -255,7 +228,7 @@ FROM events e ASOF LEFT JOIN (SELECT event_id, value FROM events WHERE event_id
 def as_of_sync_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     points = events.where("event_id % 1000 = 17").select(F.col("event_id").alias("sync_id"), F.col("value").alias("sync_value"))
-    return resume.as_of(events.select("event_id"), points, "event_id", "sync_id", ["sync_id", "sync_value"], assemble.SPAN)
+    return resume.as_of(events.select("event_id"), points, "event_id", "sync_id", ["sync_id", "sync_value"])
 
 
 @query("resume_skip", f"WITH {CL}, n AS (SELECT tx_id, lsn, row_number() OVER (PARTITION BY tx_id ORDER BY lsn) - 1 AS pos FROM cl) SELECT tx_id, lsn FROM n WHERE pos >= 4")
@@ -280,7 +253,7 @@ def slot_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("retry_backoff", "SELECT o_orderkey, least(pow(2, o_orderkey % 8), 30.0) AS seconds FROM orders")
 def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.least(F.pow(F.lit(2.0), F.col("o_orderkey") % 8), F.lit(30.0)).alias("seconds"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", errors.backoff(F.col("o_orderkey") % 8).alias("seconds"))
 
 
 # ---------------------------------------------------------------- names and columns
@@ -356,10 +329,14 @@ def byte_cap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bulk_eligible_batches",
-    f"WITH {CL} SELECT tx_id, count(*) AS n, bool_and(op = 'c') AND count(DISTINCT event_type) = 1 AND count(*) >= 2 AS bulk FROM (SELECT * FROM cl WHERE lsn % 5 < 2) GROUP BY tx_id",
+    f"""WITH {CL}, m AS (SELECT tx_id, CASE WHEN tx_id % 3 = 0 THEN 'c' ELSE op END AS op, CASE WHEN tx_id % 6 = 0 THEN 'one' ELSE event_type END AS shape FROM cl)
+SELECT tx_id, count(*) AS n, bool_and(op = 'c') AND count(DISTINCT shape) = 1 AND count(*) >= 2 AS bulk FROM m GROUP BY tx_id""",
 )
 def bulk_eligible_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coalesce.bulk_eligible(changes(spark, sf_dir).where("lsn % 5 < 2"), F.col("event_type"), ["tx_id"], 2)
+    """Whole transactions: every third creates rows only, every sixth of one shape."""
+    op = F.when(F.col("tx_id") % 3 == 0, "c").otherwise(F.col("op"))
+    shape = F.when(F.col("tx_id") % 6 == 0, "one").otherwise(F.col("event_type"))
+    return coalesce.bulk_eligible(changes(spark, sf_dir).withColumn("op", op), shape, ["tx_id"], 2)
 
 
 @query(
@@ -381,10 +358,15 @@ def or_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coalesce.or_delete(ANSI, read(spark, sf_dir, "supplier"), ["s_nationkey"], F.lit('"supplier"'), predicate, "s_suppkey")
 
 
-@query("union_all_rows", "SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+@query(
+    "union_all_rows",
+    """SELECT c_nationkey, 'SELECT ' || string_agg(CASE WHEN n = 1 THEN '''' || c_custkey || ''' AS "id", ''' || c_name || ''' AS "name"' ELSE '''' || c_custkey || ''', ''' || c_name || '''' END, ' UNION ALL SELECT ' ORDER BY n) AS body
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer) GROUP BY c_nationkey""",
+)
 def union_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return a.unionByName(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    """The derived table that a join with new values is written with."""
+    values = F.array(ANSI.text(F.col("c_custkey").cast("string")), ANSI.text(F.col("c_name")))
+    return coalesce.union_all(read(spark, sf_dir, "customer"), ["c_nationkey"], [ANSI.named("id"), ANSI.named("name")], values, "c_custkey").withColumnRenamed("statement", "body")
 
 
 # ---------------------------------------------------------------- metrics
@@ -400,10 +382,9 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.event_counts(log)
 
 
-@query("error_counts", "SELECT event_type AS kind, user_id % 4 AS component, count(*) AS n FROM events WHERE event_type IN ('error', 'view') GROUP BY ALL")
+@query("error_counts", "SELECT event_type AS kind, user_id % 4 AS component, count(*) AS n FROM events GROUP BY ALL")
 def error_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").where("event_type in ('error', 'view')")
-    return metrics.error_counts(rows.select(F.col("event_type").alias("kind"), (F.col("user_id") % 4).alias("component")))
+    return metrics.error_counts(read(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), (F.col("user_id") % 4).alias("component")))
 
 
 @query("tx_counts", f"WITH {CL} SELECT count(DISTINCT tx_id) AS processed, count(DISTINCT CASE WHEN op = 'd' THEN tx_id END) AS complete FROM cl")
@@ -638,14 +619,18 @@ SELECT k AS lsn, 'app.main.' || t AS topic, CASE WHEN n < 4 AND k >= f.since OR
 FROM m, f""",
 )
 def envelope_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of a log, read back: each is parsed once, for the fields that are looked at."""
     out = envelope.envelope(order_changes(spark, sf_dir), "app", "shop", {"public": "main"})
-    get = lambda path, source="value": F.get_json_object(source, path)
-    return out.select(
-        "lsn", "topic", get("$.payload.id", "key").alias("key_id"), get("$.payload.op").alias("op"), get("$.payload.before.id").alias("before_id"),
-        get("$.payload.before.priority").alias("before_priority"), get("$.payload.after.status").alias("after_status"), get("$.payload.after.priority").alias("after_priority"),
-        get("$.payload.source.schema").alias("source_schema"), get("$.payload.source.table").alias("source_table"), get("$.payload.source.txId").alias("tx"),
-        get("$.payload.source.lsn").alias("source_lsn"), get("$.payload.ts_ms").alias("ts_ms"), get("$.schema.name").alias("envelope_name"),
-        F.json_array_length(get("$.schema.fields[0].fields")).alias("n_fields"),
+    row = "struct<id:string,status:string,priority:string>"
+    source = "struct<schema:string,table:string,txId:string,lsn:string>"
+    message = f"struct<payload:struct<op:string,before:{row},after:{row},source:{source},ts_ms:string>,schema:struct<name:string,fields:array<struct<fields:array<struct<field:string>>>>>>"
+    read_back = out.select("lsn", "topic", F.from_json("key", "struct<payload:struct<id:string>>").alias("k"), F.from_json("value", message).alias("m"))
+    return read_back.select(
+        "lsn", "topic", F.col("k.payload.id").alias("key_id"), F.col("m.payload.op").alias("op"), F.col("m.payload.before.id").alias("before_id"),
+        F.col("m.payload.before.priority").alias("before_priority"), F.col("m.payload.after.status").alias("after_status"), F.col("m.payload.after.priority").alias("after_priority"),
+        F.col("m.payload.source.schema").alias("source_schema"), F.col("m.payload.source.table").alias("source_table"), F.col("m.payload.source.txId").alias("tx"),
+        F.col("m.payload.source.lsn").alias("source_lsn"), F.col("m.payload.ts_ms").alias("ts_ms"), F.col("m.schema.name").alias("envelope_name"),
+        F.size(F.col("m.schema.fields")[0]["fields"]).alias("n_fields"),
     )
 
 

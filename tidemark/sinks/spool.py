@@ -47,16 +47,18 @@ def sync_points(statements: DataFrame, by: list[str], order: str, column: str =
 
 
 def save_position(spark: SparkSession, path: str, flush_lsn: int, last_tx: int | None = None, pending: int = 0) -> None:
-    """Write beside, then rename: a reader sees the old state or the new. Works on any file system that Spark reaches."""
+    """Write beside, then rename over the old file: a reader sees the old state or the new, and a crash leaves one of them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(f"{path}/{POSITION}")
     beside = jvm.org.apache.hadoop.fs.Path(f"{path}/.{POSITION}.new")
     fs = target.getFileSystem(conf)
+    fs.mkdirs(target.getParent())
+    beside, target = fs.makeQualified(beside), fs.makeQualified(target)
     state = {"version": 1, "last_updated": datetime.now(UTC).isoformat(), "flush_lsn": flush_lsn, "last_tx": last_tx, "pending": pending}
     out = fs.create(beside, True)
     out.write(bytearray(json.dumps(state).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise DataError(f"can't write {target}")
+    names = jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(getattr(names, "Options$Rename"), 1)
+    how[0] = getattr(names, "Options$Rename").OVERWRITE
+    names.FileContext.getFileContext(target.toUri(), conf).rename(beside, target, how)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +40,7 @@ def read_open(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("tx_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("made")).orderBy("made", "tx_id")
 
 
-def sync_point(points: DataFrame, targets: DataFrame, span: int = 100_000) -> DataFrame:
+def sync_point(points: DataFrame, targets: DataFrame, span: int | None = None) -> DataFrame:
     """targets(target) with the largest (statement_index, byte_offset) at or before each; index 0 where there is none."""
     from ..operators.resume import as_of
 
@@ -50,12 +49,20 @@ def sync_point(points: DataFrame, targets: DataFrame, span: int = 100_000) -> Da
 
 
 def load_position(spark: SparkSession, path: str) -> dict | None:
-    """The state that save_position wrote; None where there is none or it can't be read."""
+    """The state that save_position wrote; None where there is no file, or it is empty or broken. Other failures are raised: to start
+    afresh because a store can't be reached would apply everything again."""
     from ..sinks.spool import POSITION
 
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/{POSITION}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
     try:
-        rows = spark.read.text(str(PurePosixPath(path) / POSITION), wholetext=True).collect()
-        state = json.loads(rows[0][0])
-    except Exception:  # a missing, empty or broken file means starting afresh
+        state = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    except ValueError:
         return None
+    finally:
+        stream.close()
     return state if isinstance(state, dict) and isinstance(state.get("flush_lsn"), int) else None

@@ -93,5 +93,5 @@ def slot_status(spark: SparkSession, url: str, slot: str, **options: str) -> Dat
     from ..errors import ConfigError
 
     if not valid_slot_name(slot):
-        raise ConfigError(f"Invalid slot name: {slot!r}")
+        raise ConfigError(f"a slot's name has a-z, 0-9 and _ only, not {slot!r}")
     return spark.read.format("jdbc").options(url=url, query=SLOT_QUERY.format(slot), **options).load()
