@@ -1,63 +1,53 @@
-"""A SQLite file as a sink: the statements of a batch in commit order, in one transaction with the batch's number."""
+"""A SQLite file as a sink."""
 
 from __future__ import annotations
 
 import sqlite3
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ..errors import SinkError
 from ..functions.dialects import SQLITE
-from ..functions.sqltext import split_statements
-from ..operators.render import change_sql
-from .registry import Hook, register_sink
-
-STATE = "CREATE TABLE IF NOT EXISTS _applied (id INTEGER PRIMARY KEY CHECK (id = 0), batch_id INTEGER, lsn INTEGER)"
-
+from .registry import register_sink
+from .sql import SqlSink
 
-class SqliteSink:
-    """One file has one writer, so statements stream through the driver partition by partition; they are never held whole."""
 
-    dialect, takes_events = "sqlite", False
+class SqliteConnection:
+    """A file, made if it isn't there, with a write-ahead journal and foreign keys checked."""
 
-    def __init__(self, path: str, mappings: dict[str, str] | None = None):
-        self.mappings = mappings or {}
+    def __init__(self, path: str):
         self.db = sqlite3.connect(path, isolation_level=None, check_same_thread=False)  # Spark calls from threads of its own, one at a time
         self.db.execute("PRAGMA journal_mode = WAL")
         self.db.execute("PRAGMA foreign_keys = ON")
-        self.db.execute(STATE)
-
-    def applied(self) -> tuple[int, int]:
-        """(last batch, last position), -1 and 0 before the first."""
-        return self.db.execute("SELECT batch_id, lsn FROM _applied").fetchone() or (-1, 0)
-
-    def write(self, batch: DataFrame, batch_id: int, hook: Hook | None = None) -> None:
-        """Apply rows of the changelog. A batch, or a transaction, that is already applied is passed over."""
-        last_batch, last_lsn = self.applied()
-        if batch_id <= last_batch:
-            return
-        rows = batch.where(F.col("commit_lsn") > last_lsn) if last_lsn else batch
-        rows = rows.select("commit_lsn", "tx_id", "lsn", "seq", "event", change_sql(SQLITE, self.mappings).alias("sql"))
-        rows = rows.where("sql is not null").orderBy(F.asc_nulls_last("commit_lsn"), "tx_id", "lsn", "seq")
-        self.db.execute("BEGIN IMMEDIATE")
+
+    def _run(self, sql: str) -> sqlite3.Cursor:
         try:
-            for row in rows.toLocalIterator():
-                for statement in split_statements(row["sql"]) if row["event"] == "t" else [row["sql"]]:
-                    self.db.execute(statement)
-                last_lsn = max(last_lsn, row["commit_lsn"] or 0)
-            self.db.execute("INSERT OR REPLACE INTO _applied VALUES (0, ?, ?)", (batch_id, last_lsn))
-            if hook is not None:
-                hook()
-            self.db.execute("COMMIT")
-        except BaseException as error:
-            self.db.execute("ROLLBACK")
-            if isinstance(error, sqlite3.Error):
-                raise SinkError(str(error)) from error
-            raise
+            return self.db.execute(sql)
+        except sqlite3.Error as error:
+            raise SinkError(str(error)) from error
+
+    def begin(self) -> None:
+        self._run("BEGIN IMMEDIATE")
+
+    def commit(self) -> None:
+        if self.db.in_transaction:
+            self._run("COMMIT")
+
+    def rollback(self) -> None:
+        if self.db.in_transaction:
+            self._run("ROLLBACK")
+
+    def execute(self, sql: str) -> None:
+        self._run(sql)
+
+    def query(self, sql: str) -> list[tuple]:
+        return self._run(sql).fetchall()
 
     def close(self) -> None:
         self.db.close()
 
 
+class SqliteSink(SqlSink):
+    def __init__(self, path: str, mappings: dict[str, str] | None = None, batch_size: int = 0):
+        super().__init__(SqliteConnection(path), SQLITE, mappings, batch_size=batch_size)
+
+
 register_sink("sqlite", SqliteSink)
