@@ -76,6 +76,18 @@ def _in_order(x: Column, order: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), x.alias("x")))), lambda p: p["x"])
 
 
+def bulk_runs(rows: DataFrame, tx: str = "tx_id", order: str = "lsn") -> DataFrame:
+    """rows(tx, order, change: what render.structured gives) -> (tx, run, first, kind, table, columns, n, rows): neighbouring bulk inserts into one table
+    and list of columns as one, with the values of all; any other change alone."""
+    bulk = F.col("change.kind") == "bulk_insert"
+    signature = F.struct(F.when(bulk, F.col("change.table")).alias("t"), F.when(bulk, F.col("change.columns")).alias("c"), F.when(~bulk, F.col(order)).alias("alone"))
+    each = runs(rows, signature, tx, order)
+    return each.groupBy(tx, "run").agg(
+        F.min(order).alias("first"), F.first("change.kind").alias("kind"), F.first("change.table").alias("table"), F.first("change.columns").alias("columns"),
+        F.count(F.lit(1)).alias("n"), _in_order(F.col("change.values"), order).alias("rows"),
+    )
+
+
 def multi_row_insert(rows: DataFrame, by: list[str], prefix: Column, tuple_: Column, order: str = "lsn") -> DataFrame:
     """(by..., statement): one INSERT for each piece. prefix: all up to VALUES; tuple_: a row's values in parentheses."""
     return rows.groupBy(*by).agg(F.concat(F.first(prefix), F.lit(" VALUES "), F.array_join(_in_order(tuple_, order), ", "), F.lit(";")).alias("statement"))

@@ -76,8 +76,10 @@ class TableMapping:
         return rows.select(*out)
 
 
-def from_origin(origin: Column, wanted: str | None) -> Column:
-    """Rows to keep: wanted `any` keeps all, `none` those without an origin, else those of that origin."""
+def from_origin(origin: Column, wanted: str | Sequence[str] | None) -> Column:
+    """Rows to keep: wanted `any` keeps all, `none` those without an origin, else those of that origin or of any in the list."""
     if wanted is None or wanted == "any":
         return F.lit(True)
-    return origin.isNull() if wanted == "none" else F.coalesce(origin == wanted, F.lit(False))
+    if wanted == "none":
+        return origin.isNull()
+    return F.coalesce(origin.isin(*([wanted] if isinstance(wanted, str) else wanted)), F.lit(False))

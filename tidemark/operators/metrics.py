@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def event_total(log: DataFrame) -> DataFrame:
+    """(n): all events."""
+    return log.agg(F.count(F.lit(1)).alias("n"))
+
+
 def event_counts(log: DataFrame, event: str = "event", table: str | Column = "table") -> DataFrame:
     """(event, table, n). A truncation of several tables names them all, comma-joined."""
     table = F.col(table) if isinstance(table, str) else table

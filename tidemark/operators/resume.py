@@ -24,6 +24,13 @@ def resume_decision(disk: Column, slot_state: Column, confirmed: Column) -> Colu
     )
 
 
+def replayed_then_live(pending: DataFrame, live: DataFrame) -> DataFrame:
+    """Rows of transactions that were left on disk, then those of the log, as one: turn says which come first. A transaction that is in
+    both is taken from the disk, where its progress is kept."""
+    fresh = live.join(pending.select("tx_id").distinct(), "tx_id", "left_anti")
+    return pending.withColumn("turn", F.lit(0)).unionByName(fresh.withColumn("turn", F.lit(1)))
+
+
 def skip_applied(statements: DataFrame, applied: int, index: str = "pos") -> DataFrame:
     """Statements from the count applied on."""
     return statements.where(F.col(index) >= applied)

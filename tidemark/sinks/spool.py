@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import gzip
 import json
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..errors import DataError
+from ..operators.coalesce import byte_capped
 
 #: Statements between two sync points. Fixed value.
 SYNC_EVERY = 1000
 POSITION = "position.json"
+#: Bytes of a segment. Fixed value.
+SEGMENT_BYTES = 64 << 20
 
 
 def finished(statement) -> object:
@@ -32,6 +39,53 @@ def write_statements(statements: DataFrame, path: str, column: str = "statement"
     writer.text(path)
 
 
+def segments(statements: DataFrame, by: list[str], order: str, column: str = "statement", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """statements with segment: filled in order, one is closed when the next line would pass segment_bytes."""
+    return byte_capped(statements, F.octet_length(finished(F.col(column))) + 1, segment_bytes, by, order).withColumnRenamed("piece", "segment")
+
+
+def pack(statements: DataFrame, by: list[str], order: str, column: str = "statement", every: int = SYNC_EVERY, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """(by..., segment, statement_index, n, byte_offset, data): each transaction's statements as gzip members of at most `every`. Members set one behind
+    the other are a gzip file; byte_offset is a member's place in its segment's. A task holds one member."""
+    rows = segments(statements.select(*by, order, finished(F.col(column)).alias("__line")), by, order, "__line", segment_bytes)
+    rows = rows.repartition(*by).sortWithinPartitions(*by, order).select(*by, "segment", "__line")
+    fields = [*[rows.schema[c] for c in by], *[StructField(n, LongType()) for n in ("segment", "statement_index", "n", "byte_offset")], StructField("data", BinaryType())]
+    width = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lines, index, offset = None, [], 0, 0
+
+        def member() -> pa.RecordBatch:
+            data = gzip.compress("".join(lines).encode(), mtime=0)
+            values = [*now, index, len(lines), offset, data]
+            return pa.RecordBatch.from_arrays([pa.array([v], f) for v, f in zip(values, kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for *key, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if lines and (key != now or len(lines) == every):
+                    out = member()
+                    yield out
+                    index, offset = index + len(lines), offset + len(out.column(width + 4)[0].as_py())
+                    lines = []
+                if key != now:
+                    index = index if now is not None and key[:width] == now[:width] else 0
+                    now, offset = key, 0
+                lines.append(line + "\n")
+        if lines:
+            yield member()
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+    return rows.mapInArrow(run, StructType(fields))
+
+
+def index_json(members: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., index): where the members of each transaction begin, as JSON."""
+    points = F.array_sort(F.collect_list(F.struct("statement_index", "segment", "byte_offset")))
+    return members.groupBy(*by).agg(F.to_json(F.struct(F.sum("n").alias("total_statements"), points.alias("offsets"))).alias("index"))
+
+
 def write_events(log: DataFrame, path: str, compress: bool = False) -> None:
     """Lines of JSON, null fields left out; no rows are fine."""
     log.write.option("compression", "gzip" if compress else "none").json(path)

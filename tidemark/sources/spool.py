@@ -18,6 +18,22 @@ def read_statements(spark: SparkSession, path: str, start: int = 0) -> DataFrame
     return explode_statements(files).where(F.col("pos") >= start)
 
 
+def unpack(members: DataFrame, by: list[str], start: int = 0) -> DataFrame:
+    """(by..., pos, statement) of members that pack made, from statement `start` of each transaction on. Members that end before it aren't read."""
+    import gzip
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def text(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: gzip.decompress(x).decode())
+
+    needed = members.where(F.col("statement_index") + F.col("n") > start)
+    texts = needed.select(*by, "statement_index", text("data").alias("value"))
+    rows = explode_statements(texts).withColumn("pos", F.col("statement_index") + F.col("pos")).drop("statement_index")
+    return rows.where(F.col("pos") >= start)
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The changelog in lines of JSON. Blank lines are passed over; a broken line is an error."""
     return spark.read.schema(CHANGELOG).option("mode", "FAILFAST").json(path)

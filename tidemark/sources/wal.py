@@ -7,7 +7,9 @@ No server can be reached from this repository's tests, so they use a transport t
 from __future__ import annotations
 
 import importlib
+import time
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..config import Config
+from ..errors import backoff_seconds, is_transient
 from ..functions.lsn import parse_lsn
 from ..schema import CHANGELOG
 
@@ -46,17 +50,39 @@ class LogReader(DataSourceStreamReader):
         module, _, name = options["transport"].rpartition(":")
         self.transport: Transport = getattr(importlib.import_module(module), name)(dict(options))
 
+        self.most, self.tries = int(options.get("max_positions", 0)), int(options.get("tries", 5))
+        self.last: int | None = None
+
     def initialOffset(self) -> dict:
         return {"lsn": self.transport.confirmed()}
 
     def latestOffset(self) -> dict:
-        return {"lsn": self.transport.latest()}
+        """The end of the log, or max_positions behind the last offset, which is the back-pressure."""
+        latest = self.transport.latest()
+        if self.most:
+            since = self.transport.confirmed() if self.last is None else self.last
+            latest = min(latest, since + self.most)
+        self.last = latest
+        return {"lsn": latest}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         return [Range(start["lsn"], end["lsn"])] if start["lsn"] < end["lsn"] else []
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        return iter(self.transport.records(partition.after, partition.upto))
+        """Records of the range. After an error that may pass, reading goes on behind the last position that was whole."""
+        after, tried = partition.after, 0
+        while True:
+            try:
+                for lsn, rows in groupby(self.transport.records(after, partition.upto), key=lambda r: r[0]):
+                    whole = list(rows)
+                    yield from whole
+                    after, tried = lsn, 0
+                return
+            except Exception as error:
+                tried += 1
+                if tried >= self.tries or not is_transient(error):
+                    raise
+                time.sleep(backoff_seconds(tried - 1) / 10)
 
     def commit(self, end: dict) -> None:
         self.transport.acknowledge(end["lsn"])
@@ -80,6 +106,14 @@ def read_log(spark: SparkSession, transport: str, **options: str) -> DataFrame:
     return spark.readStream.format(FORMAT).options(transport=transport, **options).load()
 
 
+def stream_options(config: Config) -> dict[str, str]:
+    """A configuration as the reader's options."""
+    return {
+        "source": config.source, "slot": config.slot, "publication": config.publication, "protocol_version": str(config.protocol_version),
+        "streaming": str(config.streaming).lower(), "connection_timeout": str(config.connection_timeout), "max_positions": "0",
+    }
+
+
 def slot_fields(restart: Column, confirmed: Column, active: Column) -> Column:
     """A slot's texts as struct<restart_lsn, confirmed_flush_lsn, active>."""
     return F.struct(
@@ -94,4 +128,4 @@ def slot_status(spark: SparkSession, url: str, slot: str, **options: str) -> Dat
 
     if not valid_slot_name(slot):
         raise ConfigError(f"a slot's name has a-z, 0-9 and _ only, not {slot!r}")
-    return spark.read.format("jdbc").options(url=url, query=SLOT_QUERY.format(slot), **options).load()
+    return spark.read.format("jdbc").options(url=url, query=SLOT_QUERY.format(slot), **{"queryTimeout": "10"} | options).load()

@@ -44,7 +44,29 @@ class Metrics(StreamingQueryListener):
             return "\n".join([*lines, *[f"# TYPE changelog_{k} gauge\nchangelog_{k} {v}" for k, v in sorted(self.gauges.items())], ""])
 
 
-def serve(metrics: Metrics, port: int = 0) -> ThreadingHTTPServer:
+class NoMetrics(StreamingQueryListener):
+    """The same interface where nothing is to be counted."""
+
+    counters: Counter[str] = Counter()
+    gauges: dict[str, float] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def text(self) -> str:
+        return ""
+
+
+def serve(metrics: Metrics | NoMetrics, port: int = 0) -> ThreadingHTTPServer:
     """GET /metrics and /health; all else is 404. Runs in a thread until shutdown()."""
 
     class Handler(BaseHTTPRequestHandler):
