@@ -21,6 +21,7 @@ from ..functions.dialects import ANSI, Dialect
 from ..functions.sqltext import split_statements
 from ..operators.render import change_sql
 from ..operators.statements import coalesced
+from ..schema import only_changes
 from .registry import Hook
 
 log = logging.getLogger(__name__)
@@ -146,8 +147,9 @@ class SqlSink:
         """(commit_lsn, statement) in the order they are run in."""
         rows = batch.where(F.col("commit_lsn").isNull() | (F.col("commit_lsn") > last_lsn)) if last_lsn else batch
         at = F.struct(F.col("commit_lsn").isNull().alias("late"), "commit_lsn", "tx_id", "lsn", "seq")
-        rows = rows.select(F.struct("commit_lsn", "tx_id").alias("tx"), at.alias("at"), change_sql(self.render, self.mappings).alias("statement")).where("statement is not null and statement <> ''")
-        few = coalesced(rows, self.render, self.packet, self.max_rows, "tx", "at")
+        # Statements are filtered behind the parser only: a filter on them could be moved before the one that picks rows to render.
+        rows = rows.where(only_changes()).select(F.struct("commit_lsn", "tx_id").alias("tx"), at.alias("at"), change_sql(self.render, self.mappings).alias("statement"))
+        few = coalesced(rows, self.render, self.packet, self.max_rows, "tx", "at").where("statement is not null and statement <> ';'")
         return few.orderBy("first").select(F.col("tx.commit_lsn").alias("commit_lsn"), "kind", "statement")
 
     def write(self, batch: DataFrame, batch_id: int, hook: Hook | None = None) -> None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.sqltext import explode_statements
 from ..operators.assemble import commit_order
@@ -20,11 +23,7 @@ def read_statements(spark: SparkSession, path: str, start: int = 0) -> DataFrame
 
 def unpack(members: DataFrame, by: list[str], start: int = 0) -> DataFrame:
     """(by..., pos, statement) of members that pack made, from statement `start` of each transaction on. Members that end before it aren't read."""
-    import gzip
-
-    import pandas as pd
-
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def text(data: pd.Series) -> pd.Series:
         return data.map(lambda x: gzip.decompress(x).decode())
 
