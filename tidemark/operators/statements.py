@@ -22,7 +22,8 @@ from .coalesce import byte_capped, byte_limit, runs
 
 _TEXTS = ArrayType(StringType())
 #: What a statement is read into. head: all up to VALUES, or the table; body: the values in parentheses; clause: behind WHERE; keys: columns
-#: that the clause compares for equality, null if it does anything else; moves: a key is set to another value.
+#: that the clause compares for equality, null if it does anything else; moves: what the clause reads is set to another value, so that the next
+#: statement may find other rows.
 PARTS = StructType(
     [
         StructField("kind", StringType()), StructField("head", StringType()), StructField("body", StringType()), StructField("columns", _TEXTS), StructField("values", _TEXTS),
@@ -40,11 +41,11 @@ def statement_parts(text: str) -> dict:
     if (found := sqltext.update_parts(text)) is not None:
         table, pairs, clause = found
         where = sqltext.where_pairs(clause)
-        made = none | {"kind": "update", "head": table, "columns": [c for c, _ in pairs], "values": [v for _, v in pairs], "clause": clause}
+        new = dict(pairs)
+        made = none | {"kind": "update", "head": table, "columns": list(new), "values": list(new.values()), "clause": clause}
         if where:
-            new = dict(pairs)
-            made |= {"keys": [c for c, _ in where], "key_values": [v for _, v in where], "moves": any(new.get(c, v) != v for c, v in where)}
-        return made
+            return made | {"keys": [c for c, _ in where], "key_values": [v for _, v in where], "moves": any(new.get(c, v) != v for c, v in where)}
+        return made | {"moves": any(c in clause for c in new)}
     if (found := sqltext.delete_parts(text)) is not None:
         where = sqltext.where_pairs(found[1]) or None
         return none | {"kind": "delete", "head": found[0], "clause": found[1]} | ({"keys": [c for c, _ in where], "key_values": [v for _, v in where]} if where else {})

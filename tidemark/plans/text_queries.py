@@ -135,8 +135,8 @@ def coalesce_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _update_rows(spark: SparkSession, sf_dir: str, d: Dialect, by_null: bool = False) -> DataFrame:
     """Each customer's orders update three rows again and again; the last update of a row wins."""
     q, key = d.named, (F.col("o_orderkey") % 3).cast("string")
-    more = f" AND {q('p')} IS NULL" if by_null else ""
-    text = _text(f"UPDATE {q('o')} SET {q('id')} = '{{i}}', {q('state')} = '{{s}}', {q('at')} = '{{k}}' WHERE {q('id')} = '{{i}}'{more};", i=key, s=F.col("o_orderstatus"), k=F.col("k"))
+    more, own = (f" AND {q('p')} IS NULL", "") if by_null else ("", f"{q('id')} = '{{i}}', ")
+    text = _text(f"UPDATE {q('o')} SET {own}{q('state')} = '{{s}}', {q('at')} = '{{k}}' WHERE {q('id')} = '{{i}}'{more};", i=key, s=F.col("o_orderstatus"), k=F.col("k"))
     return _orders(spark, sf_dir).select(F.col("o_custkey").alias("tx"), F.col("o_orderkey").alias("pos"), text.alias("statement"))
 
 
@@ -159,8 +159,8 @@ def coalesce_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "coalesce_updates_by_case",
     f"""WITH {LAST}, w AS (SELECT *, '"id" = ''' || i || ''' AND "p" IS NULL' AS c FROM l)
-SELECT tx, any_value(n) AS n, CASE WHEN any_value(many) = 1 THEN string_agg('UPDATE "o" SET "id" = ''' || i || ''', "state" = ''' || s || ''', "at" = ''' || k || ''' WHERE ' || c || ';', '')
-  ELSE 'UPDATE "o" SET "id" = CASE' || string_agg(' WHEN ' || c || ' THEN ''' || i || '''', '' ORDER BY place DESC) || ' ELSE "id" END, "state" = CASE' || string_agg(' WHEN ' || c || ' THEN ''' || s || '''', '' ORDER BY place DESC)
+SELECT tx, any_value(n) AS n, CASE WHEN any_value(many) = 1 THEN string_agg('UPDATE "o" SET "state" = ''' || s || ''', "at" = ''' || k || ''' WHERE ' || c || ';', '')
+  ELSE 'UPDATE "o" SET "state" = CASE' || string_agg(' WHEN ' || c || ' THEN ''' || s || '''', '' ORDER BY place DESC)
     || ' ELSE "state" END, "at" = CASE' || string_agg(' WHEN ' || c || ' THEN ''' || k || '''', '' ORDER BY place DESC) || ' ELSE "at" END WHERE ' || string_agg('(' || c || ')', ' OR ' ORDER BY place) || ';' END AS statement FROM w GROUP BY tx""",
 )
 def coalesce_updates_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
