@@ -230,7 +230,8 @@ def sqlite_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
 
-def _derby() -> str:
+def _derby(spark: SparkSession) -> str:
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", str(Path(tempfile.gettempdir()) / "derby.log"))
     return f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
 
 
@@ -238,7 +239,7 @@ def _derby() -> str:
 def jdbc_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log applied to a database behind JDBC, in packets of 20,000 bytes and transactions of 500 statements, and read back over JDBC. A create of a
     row that is there is a deletion and a create, as nothing replaces by itself there."""
-    url = _derby()
+    url = _derby(spark)
     connection = JdbcConnection(spark, url, **DERBY)
     connection.execute('CREATE SCHEMA "main"')
     connection.execute('CREATE TABLE "main"."users" ("id" VARCHAR(20) PRIMARY KEY, "value" VARCHAR(60), "kind" VARCHAR(20))')
@@ -254,7 +255,7 @@ def jdbc_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jdbc_bulk_load", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, 'bulk, insert, insert' AS ways FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name, 'bulk, insert, insert' FROM customer WHERE c_custkey % 3 <> 0")
 def jdbc_bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New rows loaded in bulk; where that fails, by INSERTs of many rows, and the table isn't tried again."""
-    url = _derby()
+    url = _derby(spark)
     connection = JdbcConnection(spark, url, **DERBY)
     for table in ("good", "bad"):
         connection.execute(f'CREATE TABLE "{table}" ("id" VARCHAR(20), "name" VARCHAR(60))')
@@ -279,7 +280,7 @@ def jdbc_bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("slot_lookup", "SELECT 281474976710672 AS restart_lsn, 4294967296 AS confirmed_flush_lsn, true AS active")
 def slot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slot's row looked up over JDBC."""
-    url = _derby()
+    url = _derby(spark)
     connection = JdbcConnection(spark, url, **DERBY)
     connection.execute("CREATE TABLE pg_replication_slots (slot_name VARCHAR(20), restart_lsn VARCHAR(20), confirmed_flush_lsn VARCHAR(20), active VARCHAR(5))")
     connection.execute("INSERT INTO pg_replication_slots VALUES ('a', '10000/10', '1/0', 't'), ('b', '0/1', '0/1', 'f')")

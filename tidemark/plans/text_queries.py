@@ -9,7 +9,7 @@ from pyspark.sql.types import IntegerType
 
 from .. import config, errors
 from ..functions import settings, sqltext
-from ..functions.dialects import ANSI, MYSQL, Dialect, dialect, register_dialect
+from ..functions.dialects import ANSI, MYSQL, SQLITE, SQLSERVER, Dialect, dialect, register_dialect
 from ..operators import coalesce, mapping, render, resume, statements
 from ..schema import image
 from ..sinks import jdbc, kafka
@@ -145,15 +145,23 @@ LAST = f"""r AS (SELECT o_custkey AS tx, o_orderkey AS pos, {K} AS k, o_orderkey
 l AS (SELECT *, row_number() OVER (PARTITION BY tx ORDER BY pos) AS place, count(*) OVER (PARTITION BY tx) AS many FROM r WHERE back = 1)"""
 
 
-@query(
-    "coalesce_updates",
-    f"""WITH {LAST}
-SELECT tx, any_value(n) AS n, CASE WHEN any_value(many) = 1 THEN string_agg('UPDATE `o` SET `id` = ''' || i || ''', `state` = ''' || s || ''', `at` = ''' || k || ''' WHERE `id` = ''' || i || ''';', '')
-  ELSE 'UPDATE `o` AS t JOIN (SELECT ' || string_agg(CASE WHEN place = 1 THEN '''' || i || ''' AS `id`, ''' || s || ''' AS `state`, ''' || k || ''' AS `at`' ELSE '''' || i || ''', ''' || s || ''', ''' || k || '''' END, ' UNION ALL SELECT ' ORDER BY place)
-    || ') AS v ON t.`id` = v.`id` SET t.`state` = v.`state`, t.`at` = v.`at`;' END AS statement FROM l GROUP BY tx""",
-)
-def coalesce_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements.coalesced(_update_rows(spark, sf_dir, MYSQL), MYSQL, tx="tx", order="pos").select("tx", "n", "statement")
+def _joined(name: str, d: Dialect, open_: str, close: str, before: str, behind: str, target: str) -> None:
+    """An UPDATE by a join in one dialect; before and behind stand around the derived table."""
+    q = lambda x: f"{open_}{x}{close}"
+    sets = f"{target}{q('state')} = v.{q('state')}, {target}{q('at')} = v.{q('at')}"
+    sql = f"""WITH {LAST}
+SELECT tx, any_value(n) AS n, CASE WHEN any_value(many) = 1 THEN string_agg('UPDATE {q("o")} SET {q("id")} = ''' || i || ''', {q("state")} = ''' || s || ''', {q("at")} = ''' || k || ''' WHERE {q("id")} = ''' || i || ''';', '')
+  ELSE '{before.format(sets=sets)}(SELECT ' || string_agg(CASE WHEN place = 1 THEN '''' || i || ''' AS {q("id")}, ''' || s || ''' AS {q("state")}, ''' || k || ''' AS {q("at")}' ELSE '''' || i || ''', ''' || s || ''', ''' || k || '''' END, ' UNION ALL SELECT ' ORDER BY place)
+    || '{behind.format(sets=sets, on=f"t.{q('id')} = v.{q('id')}")};' END AS statement FROM l GROUP BY tx"""
+
+    @query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return statements.coalesced(_update_rows(spark, sf_dir, d), d, tx="tx", order="pos").select("tx", "n", "statement")
+
+
+_joined("coalesce_updates", MYSQL, "`", "`", "UPDATE `o` AS t JOIN ", ") AS v ON {on} SET {sets}", "t.")
+_joined("coalesce_updates_sqlserver", SQLSERVER, "[", "]", "UPDATE t SET {sets} FROM [o] AS t INNER JOIN ", ") AS v ON {on}", "t.")
+_joined("coalesce_updates_sqlite", SQLITE, '"', '"', 'UPDATE "o" AS t SET {sets} FROM ', ") AS v WHERE {on}", "")
 
 
 @query(
@@ -176,7 +184,7 @@ SELECT tx, any_value(n) AS n, 'DELETE FROM [s] WHERE ' || string_agg(CASE WHEN n
 def coalesce_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _text("DELETE FROM [s] WHERE [id] = '{k}';", k=F.col("s_suppkey").cast("string"))
     rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("tx"), F.col("s_suppkey").alias("pos"), text.alias("statement"))
-    return statements.coalesced(rows, dialect("sqlserver"), tx="tx", order="pos").select("tx", "n", "statement")
+    return statements.coalesced(rows, SQLSERVER, tx="tx", order="pos").select("tx", "n", "statement")
 
 
 def _greedy(cost: str, opening: str, limit: int) -> str:

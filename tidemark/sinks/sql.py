@@ -56,7 +56,6 @@ class JdbcConnection:
             given.setProperty(name, value)
         if "driver" in properties:
             jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(properties["driver"])
-        self._call(lambda: None)
         self.raw = self._call(lambda: jvm.java.sql.DriverManager.getConnection(url, given))
         self.raw.setAutoCommit(False)
 
