@@ -39,10 +39,29 @@ def test_search_is_exact(spark):
 
 
 def test_search_in_blocks_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(A, "QUERY_BLOCK", 3)
     x = clustered(np.random.default_rng(2), 60)
-    out = A.search(table_of(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), A.F.col("id") % 5 == 0, k=3)
-    assert out.count() == 12 * 3
+    frame = table_of(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    one = sorted(map(tuple, A.search(frame, A.F.col("id") % 5 == 0, k=3).collect()))
+    monkeypatch.setattr(A, "QUERY_BYTES", 3 * 16 * 8)
+    out = A.search(frame, A.F.col("id") % 5 == 0, k=3)
+    assert out.count() == 12 * 3 and sorted(map(tuple, out.collect())) == one
+
+
+def test_many_queries_at_a_time(monkeypatch):
+    x = clustered(np.random.default_rng(5), 200)
+    model = A.train(x, books=4, words=16)
+    codes = model.encode(x)
+    near = model.decode(codes)
+    pa = A.pa
+    columns = [pa.array(np.arange(200)), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((near * near).sum(axis=1)), pa.array(np.sqrt(((x - near) ** 2).sum(axis=1)))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["id", "v", "codes", "norm", "error"])
+    found = []
+    for at_once, rows in ((2048, 2048), (7, 30)):
+        monkeypatch.setattr(A, "AT_ONCE", at_once)
+        monkeypatch.setattr(A, "ROWS", rows)
+        out = pa.Table.from_batches(A._scan(iter([batch]), np.arange(50), x[:50], model.books, 5))
+        found.append(sorted(zip(*[c.to_pylist() for c in out.columns], strict=True)))
+    assert found[0] == found[1] and len(found[0]) == 250
 
 
 def test_lengths_are_searched_apart(spark):

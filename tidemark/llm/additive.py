@@ -8,8 +8,9 @@ to get its distance from every reconstruction; the true distance differs by no m
 whose lower bound doesn't exceed the k-th distance found is reranked by its exact distance, so the k nearest are
 the k nearest, not only likely to be.
 
-Queries are taken in blocks of QUERY_BLOCK, which bounds what is broadcast; each task passes over its part of the index
-and gives k rows for a query. Nothing else moves.
+Queries are taken in blocks of QUERY_BYTES, which bounds what is broadcast; for each block every task passes once over its part of
+the index, scores AT_ONCE queries at a time against a batch of its rows, and gives k rows for a query. Nothing else moves. The work is queries times
+vectors, as a table look-up for each book; exact distances are only taken of the few that the stored errors leave.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, as queries or candidates.
 Vectors of different lengths have no distance: each length has an index and queries of its own. Rows that have the query's id are its own; other
@@ -34,7 +35,8 @@ from .vectors import distances, kmeans, matrix, usable
 
 BOOKS, WORDS, BEAM = 48, 64, 4
 SAMPLE = 4096
-QUERY_BLOCK = 2048
+#: Bytes of the queries of one pass over the index, in double precision; queries that are scored at once; rows of the index that are.
+QUERY_BYTES, AT_ONCE = 32 << 20, 2048
 ROWS = 2048
 #: Room for rounding in single precision, relative to the largest norms.
 SLACK = 1e-4
@@ -115,41 +117,65 @@ def build_index(good: DataFrame) -> tuple[DataFrame, Codebooks | None]:
     return cut(good.mapInArrow(run, "id long, v array<double>, codes binary, norm double, error double")), model
 
 
+class _Search:
+    """The k nearest so far for some queries."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int):
+        self.ids, self.queries, self.books, self.k = ids, queries, books, k
+        self.best_d, self.best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, dtype=np.int64)
+        self.lengths = (queries * queries).sum(axis=1)
+        # The tables of one round of queries are kept; those of many are made anew for each batch of rows.
+        self.kept = self._tables(slice(0, len(ids))) if len(ids) <= AT_ONCE else None
+
+    def _tables(self, part: slice) -> list[np.ndarray]:
+        return [np.ascontiguousarray((self.queries[part] @ b.T).T, dtype=np.float32) for b in self.books]  # (WORDS, queries) each
+
+    def look(self, batch: pa.RecordBatch) -> None:
+        """Measure a batch of rows of the index against all queries."""
+        row_ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+        codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(x), -1)
+        norm, error = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+        for at in range(0, len(self.ids), AT_ONCE):
+            part = slice(at, min(at + AT_ONCE, len(self.ids)))
+            tables = self.kept or self._tables(part)
+            for low in range(0, len(x), ROWS):
+                rows = slice(low, low + ROWS)
+                self._round(part, tables, row_ids[rows], x[rows], codes[rows], norm[rows], error[rows])
+
+    def _round(self, part: slice, tables: list[np.ndarray], row_ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, error: np.ndarray) -> None:
+        ids, queries, lengths = self.ids[part], self.queries[part], self.lengths[part]
+        best_d, best_i, k = self.best_d[part], self.best_i[part], self.k  # views
+        inner = np.zeros((len(x), len(ids)), dtype=np.float32)
+        for m, looked_up in enumerate(tables):
+            inner += looked_up[codes[:, m]]
+        apart = np.sqrt(np.maximum(0.0, lengths[None, :] - 2.0 * inner + norm[:, None]))
+        slack = SLACK * (1 + np.sqrt(lengths.max(initial=0)) + np.sqrt(norm.max(initial=0)))
+        apart[row_ids[:, None] == ids[None, :]] = np.inf
+        some = min(k, len(x))
+        for q in range(len(ids)):
+            column = apart[:, q]
+            first = np.argpartition(column, some - 1)[:some]
+            limit = best_d[q, -1]
+            if some == k and np.isfinite(column[first]).all():
+                limit = min(limit, distances(x[first], queries[q]).max())
+            rerank = np.flatnonzero((column - error <= limit + slack) & np.isfinite(column))
+            if not len(rerank):
+                continue
+            exact = distances(x[rerank], queries[q])
+            d, i = np.concatenate([best_d[q], exact]), np.concatenate([best_i[q], row_ids[rerank]])
+            order = np.lexsort((i, d))[:k]
+            best_d[q], best_i[q] = d[order], i[order]
+
+
 def _scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
     """The k nearest of these rows for each query, exactly."""
-    count = len(ids)
-    tables = [np.ascontiguousarray((queries @ b.T).T, dtype=np.float32) for b in books]  # (WORDS, queries) each
-    lengths = (queries * queries).sum(axis=1)
-    best_d, best_i = np.full((count, k), np.inf), np.full((count, k), -1, dtype=np.int64)
-    for whole in batches:
-        for at in range(0, whole.num_rows, ROWS):
-            batch = whole.slice(at, ROWS)
-            row_ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(len(x), -1)
-            norm, error = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            inner = np.zeros((len(x), count), dtype=np.float32)
-            for m, looked_up in enumerate(tables):
-                inner += looked_up[codes[:, m]]
-            apart = np.sqrt(np.maximum(0.0, lengths[None, :] - 2.0 * inner + norm[:, None]))
-            slack = SLACK * (1 + np.sqrt(lengths.max(initial=0)) + np.sqrt(norm.max(initial=0)))
-            own = row_ids[:, None] == ids[None, :]
-            apart[own] = np.inf
-            some = min(k, len(x))
-            for q in range(count):
-                column = apart[:, q]
-                first = np.argpartition(column, some - 1)[:some]
-                limit = best_d[q, -1]
-                if some == k and np.isfinite(column[first]).all():
-                    limit = min(limit, distances(x[first], queries[q]).max())
-                rerank = np.flatnonzero((column - error <= limit + slack) & np.isfinite(column))
-                if not len(rerank):
-                    continue
-                exact = distances(x[rerank], queries[q])
-                d, i = np.concatenate([best_d[q], exact]), np.concatenate([best_i[q], row_ids[rerank]])
-                order = np.lexsort((i, d))[:k]
-                best_d[q], best_i[q] = d[order], i[order]
-    q, r = np.nonzero(np.isfinite(best_d))
-    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_i[q, r]), pa.array(best_d[q, r])], names=["query_id", "vec_id", "score"])
+    search = _Search(ids, queries, books, k)
+    for batch in batches:
+        search.look(batch)
+    for at in range(0, len(ids), AT_ONCE):
+        q, r = np.nonzero(np.isfinite(search.best_d[at : at + AT_ONCE]))
+        q += at
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(search.best_i[q, r]), pa.array(search.best_d[q, r])], names=["query_id", "vec_id", "score"])
 
 
 def nearest(index: DataFrame, model: Codebooks | None, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -157,12 +183,12 @@ def nearest(index: DataFrame, model: Codebooks | None, queries: DataFrame, k: in
     spark = index.sparkSession
     found = spark.createDataFrame([], "query_id long, vec_id long, score double")
     total = queries.count() if model is not None else 0
-    blocks = -(-total // QUERY_BLOCK)
+    blocks = -(-total * 8 * model.books.shape[2] // QUERY_BYTES) if total else 0
     for b in range(blocks):  # each block's queries are bounded by the even spread of a hash
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).groupBy("id").agg(F.min("v").alias("v")).orderBy("id").collect()
-        if not rows:
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).groupBy("id").agg(F.min("v").alias("v")).orderBy("id").toArrow().combine_chunks()
+        if not rows.num_rows:
             continue
-        ids, q = np.array([r["id"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows])
+        ids, q = rows.column(0).to_numpy(), matrix(rows.column(1).combine_chunks())
         shared = spark.sparkContext.broadcast((ids, q, model.books))
         part = index.mapInArrow(lambda it, s=shared: _scan(it, *s.value, k), "query_id long, vec_id long, score double")
         found = part if b == 0 else found.unionByName(part)
