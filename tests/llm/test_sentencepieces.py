@@ -74,6 +74,8 @@ def test_frame(spark, words):
     assert len(out) == 4 and out[0].decoded == "Hello  world\n" and out[0].ids == words.library.encode("Hello  world\n")
     assert [(r.ids, r.decoded) for r in out[1:3]] == [([], ""), ([], "")]
     assert P.encode_decode(docs.limit(0)).count() == 0
+    slim = P.encode_decode(docs, keep_text=False)
+    assert slim.columns == ["doc_id", "ids", "has_text"] and [(r.ids, r.has_text) for r in slim.collect()] == [(r.ids, r.decoded != "") for r in out]
 
 
 def test_query_digests(spark, words):

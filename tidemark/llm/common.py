@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,19 @@ from pyspark.sql.types import StructField, StructType
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch; Spark's own default is ten times as many, and a worker holds several copies of one.
+ARROW_ROWS, DEFAULT_ROWS = 1000, "10000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has a size of its own. For queries and pipelines; operators leave settings alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,6 +78,22 @@ def replacing(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """run, for the batches of a task; what it used is given back to the system at its end, as workers live on for other tasks."""
+
+    @wraps(run)
+    def whole(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def with_arrays(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]], added: list[StructField], keep: int | None = None) -> DataFrame:
     """The first `keep` columns of df (all by default) and those that run adds to each batch. Columns go by place, so their names may
     hold any signs."""
@@ -74,5 +104,5 @@ def with_arrays(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch, more in run(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[:count], *more], names=inner.names)
 
-    out = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(whole, inner)
+    out = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(lean(whole), inner)
     return out.toDF(*df.columns[:count], *[f.name for f in added])

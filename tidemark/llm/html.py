@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from .common import cut, named, replacing, table, with_arrays
+from .common import cut, lean, named, replacing, table, with_arrays
 from .grouping import BROADCAST_ROWS, join_unique
 
 TOKENS = re.compile(
@@ -639,7 +639,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
     kind = "host string, wrapper string"
     read_pages = pages.select(_host(url_col).alias("host"), F.coalesce(named(html_col), F.lit("")).alias("html"))
-    some = read_pages.mapInArrow(by_task, kind)
+    some = read_pages.mapInArrow(lean(by_task), kind)
     salted = some.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
     salted = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper")
     whole = salted.mapInArrow(again, kind).repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(again, kind)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 from pyspark.sql.window import Window
 
-from .common import cut, named, replacing, table, with_arrays
+from .common import cut, lean, named, replacing, table, with_arrays
 
 #: N-grams in a language's profile and in a document's list.
 PROFILE_SIZE = 400
@@ -249,7 +249,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", size:
 
     labelled = docs.where(named(lang_col).isNotNull() & named(text_col).isNotNull())
     labelled = labelled.select(named(lang_col).cast("string").alias("lang"), named(text_col).cast("string").alias("text"))
-    counts = labelled.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = labelled.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(16))).orderBy(F.desc("n"), "gram")
     whole = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("r", F.row_number().over(part)).where(F.col("r") <= size).drop("r")

@@ -28,17 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField
 
-from .common import replacing, table, with_arrays
+from .common import named, replacing, table, with_arrays
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of chunks that a worker remembers, about; characters of the longest that is remembered; characters of new chunks that
 #: are checked at once; rows that are handed on at a time.
-REMEMBERED, LONGEST, CHECKED, ROWS = 64 << 20, 64, 1 << 20, 256
+REMEMBERED, LONGEST, CHECKED, ROWS = 96 << 20, 64, 1 << 20, 256
 #: What a remembered chunk takes besides its characters and ids: two objects and a place in a table.
-ENTRY = 250
+ENTRY = 150
 #: Texts up to this length have their agenda as a list, longer ones as a heap.
 SHORT, NEVER = 40, float("inf")
 
@@ -228,10 +228,13 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_decode(docs: DataFrame, model_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with ids (array<int>) and decoded (what the ids decode to)."""
+def encode_decode(docs: DataFrame, model_path: str | None = None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs with ids (array<int>) and decoded (what the ids decode to). Without keep_text neither text comes back; has_text says whether
+    what was decoded isn't empty."""
     path = model_path or default_model()
-    docs = replacing(docs, "ids", "decoded")
+    docs = replacing(docs, "ids", "decoded" if keep_text else "has_text")
+    if not keep_text:
+        docs = docs.select(*[named(c) for c in docs.columns if c != text_col], named(text_col))
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
@@ -247,9 +250,12 @@ def encode_decode(docs: DataFrame, model_path: str | None = None, text_col: str
                     decoded.append(words.decode(found))
                 words.check()
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
-                yield batch, [lists, pa.array(decoded, pa.string())]
+                yield batch, [lists, pa.array(decoded, pa.string()) if keep_text else pa.array([d != "" for d in decoded], pa.bool_())]
 
-    return with_arrays(docs, run, [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
+    ids = StructField("ids", ArrayType(IntegerType()))
+    if keep_text:
+        return with_arrays(docs, run, [ids, StructField("decoded", StringType())])
+    return with_arrays(docs, run, [ids, StructField("has_text", BooleanType())], keep=where)
 
 
 # ---------------------------------------------------------------- query

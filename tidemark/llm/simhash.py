@@ -19,7 +19,7 @@ Fingerprints that differ in few bits belong to texts that are almost equal. For
 part the fingerprints. There a shard is a text's smallest shingle hash under one of KEYS orders: texts of similarity s
 share each with probability s, so one of 0.8 is missed in 3 of 10,000 cases. The shard's BK-tree is searched within
 WIDE_RADIUS, sketches (smallest hashes in BINS parts of the hash range) pass over pairs that are clearly less similar, and
-a pair links only if the two sets themselves are that similar. All of it is of sets: the fingerprint counts each
+a pair links only if the two sets themselves (of 32-bit hashes) are that similar. All of it is of sets: the fingerprint counts each
 different shingle once, and what is compared once, however many documents have it, is a set of shingles (by a hash of
 it). Different sets with one fingerprint are compared like any others.
 
@@ -33,6 +33,7 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -42,9 +43,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import cut, named, table
+from .common import cut, lean, named, table
 from .components import connected_components
-from .grouping import join_groups, join_unique, join_verified, runs, sized
+from .grouping import BROADCAST_ROWS, join_groups, join_unique, join_verified, runs, sized
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Mean fingerprints of a shard, beyond which one more block is used.
@@ -115,7 +116,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType
     schema = StructType([StructField("id", kind), StructField("fp", LongType(), False)])
     picked = docs.select(named(id_col).alias("id"), named(text_col).cast(StringType()).alias("text"))
-    return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return picked.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 # ---------------------------------------------------------------- BK-trees
@@ -263,7 +264,7 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _sets(column: np.ndarray | None, similarity: float | None) -> Sets | None:
-    return None if similarity is None else Sets([np.frombuffer(x, dtype="<u8") for x in column], similarity)
+    return None if similarity is None else Sets([np.frombuffer(x, dtype="<u4") for x in column], similarity)
 
 
 def _whole_shards(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
@@ -306,30 +307,31 @@ class _Leaders:
                 yield pa.RecordBatch.from_arrays([*rows, names], names=["choice", "bits", "unit", "root"])
 
 
-def _by_leaders(hot: DataFrame, radius: int, similarity: float | None) -> DataFrame:
-    """(choice, bits, unit, root) of the rows of large shards, hot(choice, bits, n, unit, fp, hashes?); see _Leaders."""
-    keys, picked = ["choice", "bits"], [c for c in hot.columns if c != "n"]
+def _searching(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lean(lambda batches: shared.value.run(batches))
+
+
+def _by_leaders(hot: DataFrame, attach: Callable[[DataFrame], DataFrame], radius: int, similarity: float | None) -> DataFrame:
+    """(choice, bits, unit, root) of the rows of large shards, hot(choice, bits, n, unit, fp, size); see _Leaders."""
+    spark, keys, kind = hot.sparkSession, ["choice", "bits"], "choice int, bits long, unit long, root long"
     part = F.pmod(F.xxhash64("unit", F.lit(7)), F.lit(1 << 30))
-    leaders = cut(hot.where(part < F.lit(LEADERS * 2.0**30) / F.col("n")).select(*picked))
-    size = leaders.agg(F.sum(F.lit(64) + (F.length("hashes") if "hashes" in picked else F.lit(0)))).first()[0] or 0
+    leaders = hot.where(part < F.lit(LEADERS * 2.0**30) / F.col("n"))
+    size = leaders.agg(F.sum(F.lit(64) + F.col("size"))).first()[0] or 0
     rounds = int(size // BROADCAST_BYTES) + 1
     here = F.pmod(F.xxhash64(*keys), F.lit(rounds))
     out = []
     for k in range(rounds):
-        trees = _Leaders(leaders.where(here == k).toArrow(), radius, similarity)
-        shared = hot.sparkSession.sparkContext.broadcast((sorted(trees.keys), trees))
-        known = hot.sparkSession.createDataFrame(sorted(trees.keys), "choice int, bits long") if trees.keys else None
-        rows = hot.where(here == k).select(*picked)
-        if known is None:  # by chance, no row of these shards leads
-            out.append(rows.select(*keys, "unit", F.lit(None).cast("long").alias("root")))
+        trees = _Leaders(attach(leaders.where(here == k)).toArrow(), radius, similarity)
+        rows = hot.where(here == k)
+        alone = F.lit(None).cast("long").alias("root")
+        if not trees.keys:  # by chance, no row of these shards leads
+            out.append(rows.select(*keys, "unit", alone))
             continue
-        led = rows.join(F.broadcast(known), keys, "left_semi")
-        out.append(led.mapInArrow(lambda it, s=shared: s.value[1].run(it), "choice int, bits long, unit long, root long"))
-        out.append(rows.join(F.broadcast(known), keys, "left_anti").select(*keys, "unit", F.lit(None).cast("long").alias("root")))
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return cut(found)
+        known = F.broadcast(leaders.where(here == k).select(*keys).distinct())  # as many as trees
+        shared = spark.sparkContext.broadcast(trees)
+        out.append(attach(rows.join(known, keys, "left_semi")).mapInArrow(_searching(shared), kind))
+        out.append(rows.join(known, keys, "left_anti").select(*keys, "unit", alone))
+    return cut(reduce(DataFrame.unionByName, out))
 
 
 def _visits(batches: Iterator[pa.RecordBatch], radius: int, similarity: float | None) -> Iterator[pa.RecordBatch]:
@@ -366,39 +368,47 @@ def _visits(batches: Iterator[pa.RecordBatch], radius: int, similarity: float |
     yield from ends()
 
 
-def shard_links(rows: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """rows(choice, bits, unit, fp, hashes?) -> (a, b): links of units that span the groups found in all shards."""
-    keys, payload = ["choice", "bits"], [c for c in rows.columns if c not in ("choice", "bits")]
-    size = F.sum(F.length("hashes")) if similarity is not None else F.lit(0)
-    trees = lambda n, b: F.greatest(F.ceil(n / TREE_SIZE), F.ceil(b / TREE_BYTES), F.lit(1)).cast("int")
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), size.cast("long").alias("bytes"))
-    large = cut(sizes.where((F.col("n") > TREE_SIZE) | (F.col("bytes") > TREE_BYTES)))
+def shard_links(rows: DataFrame, radius: int, similarity: float | None = None, sets: DataFrame | None = None) -> DataFrame:
+    """rows(choice, bits, unit, fp) -> (a, b): links of units that span the groups found in all shards. sets(u2, size, hashes): the units'
+    shingle sets, where pairs must be similar too; they are joined to rows only on the way to their tree."""
+    keys, kinds = ["choice", "bits"], "a long, b long"
+    if sets is None:
+        rows = rows.withColumn("size", F.lit(0))
+    else:
+        rows = cut(rows.join(sets.select("u2", "size"), F.col("unit") == F.col("u2")).drop("u2"))
+
+    def attach(some: DataFrame, *more: str) -> DataFrame:
+        names = [*keys, *more, "unit", "fp"]
+        if sets is None:
+            return some.select(*names)
+        return some.join(sets.select("u2", "hashes"), F.col("unit") == F.col("u2")).select(*names, "hashes")
+
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    large = cut(sizes.where((F.col("n") > TREE_SIZE) | (F.col("bytes") > TREE_BYTES)).drop("bytes"))
     count = large.count()
-    kinds = "a long, b long"
-    small = rows if not count else rows.join(sized(large, count), keys, "left_anti")
-    small = small.select(*keys, *payload).repartition(*keys).sortWithinPartitions(*keys)
-    links = small.mapInArrow(lambda it: _whole_shards(it, radius, similarity), kinds)
+    small = attach(rows.join(sized(large, count), keys, "left_anti") if count else rows)
+    links = small.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(lambda it: _whole_shards(it, radius, similarity)), kinds)
     if not count:
         return links
-    hot = cut(rows.join(sized(large, count), keys).select(*keys, "n", *payload))
-    found = _by_leaders(hot, radius, similarity)
-    links = links.unionByName(found.where("root is not null").select(F.col("unit").alias("a"), F.col("root").alias("b")))
+    hot = cut(rows.join(sized(large, count), keys))
+    found = _by_leaders(hot, attach, radius, similarity)
+    joined = found.where("root is not null")
+    links = links.unionByName(joined.select(F.col("unit").alias("a"), F.col("root").alias("b")))
     # The largest group of each shard; all other rows go into trees.
-    groups = found.where("root is not null").groupBy(*keys, "root").count()
-    main = groups.groupBy(*keys).agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    main = joined.groupBy(*keys, "root").count().groupBy(*keys).agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     inside = found.join(sized(main, count), keys).where("root = main").select(*keys, "unit").distinct()
-    others = cut(hot.join(inside, [*keys, "unit"], "left_anti").withColumn("slices", F.ceil(F.col("n") / TREE_SIZE)))
-    sums = others.groupBy(*keys).agg(trees(F.count(F.lit(1)), size).alias("trees"))
+    others = cut(hot.join(inside, [*keys, "unit"], "left_anti"))
+    trees = F.greatest(F.ceil(F.count(F.lit(1)) / TREE_SIZE), F.ceil(F.sum("size") / TREE_BYTES), F.lit(1)).cast("int")
+    sums = others.groupBy(*keys).agg(trees.alias("trees"))
     spread = lambda n, salt: F.pmod(F.xxhash64("unit", F.lit(salt)), n).cast("int")
-    own = others.join(sized(sums, count), keys).select(
-        *keys, spread(F.col("trees"), 1).alias("tree"), F.explode(F.sequence(F.lit(0), (F.col("slices") - 1).cast("int"))).alias("slice"), F.lit(True).alias("own"), *payload
-    )
-    guests = hot.join(sized(sums, count), keys).select(
-        *keys, F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"), spread(F.ceil(F.col("n") / TREE_SIZE), 2).alias("slice"), F.lit(False).alias("own"), *payload
-    )
-    at = [*keys, "tree", "slice"]
-    dealt = own.unionByName(guests).repartition(*at).sortWithinPartitions(*at, F.desc("own"))
-    return links.unionByName(dealt.mapInArrow(lambda it: _visits(it, radius, similarity), kinds)).where("a <> b")
+    slices = F.ceil(F.col("n") / TREE_SIZE).cast("int")
+    own = others.join(sized(sums, count), keys).withColumns({"tree": spread(F.col("trees"), 1), "own": F.lit(True)})
+    own = own.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    guests = hot.join(sized(sums, count), keys).withColumns({"slice": spread(slices, 2), "own": F.lit(False)})
+    guests = guests.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
+    at = ["choice", "bits", "tree", "slice"]
+    dealt = attach(own.unionByName(guests), "tree", "slice", "own").repartition(*at).sortWithinPartitions(*at, F.desc("own"))
+    return links.unionByName(dealt.mapInArrow(lean(lambda it: _visits(it, radius, similarity)), kinds)).where("a <> b")
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -421,9 +431,15 @@ def smallest(hashes: np.ndarray) -> list[int]:
     return [int((hashes * np.uint64(order)).min().view(np.int64)) for order in ORDERS] if len(hashes) else [0] * KEYS
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """A set as it travels: 32 bits of each hash, sorted. Of two sets of 1,000 shingles one pair in 4,000 has two different shingles that are taken
+    for the same."""
+    return np.unique(hashes >> np.uint64(32)).astype("<u4").tobytes()
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """The smallest hash in each bin: 8 bits of it, 0 for an empty bin."""
-    mixed = np.sort(hashes * np.uint64(ORDERS[0]))
+    mixed = np.sort(hashes.astype(np.uint64) * np.uint64(ORDERS[0]))
     bins, first = np.unique((mixed >> np.uint64(64 - 10)).astype(np.int64), return_index=True)
     out = np.zeros(BINS, dtype=np.uint8)
     out[bins] = 1 + (mixed[first] >> np.uint64(8)) % np.uint64(255)
@@ -431,7 +447,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Shingle sets, each as sorted hashes, by position."""
+    """Shingle sets, each as sorted numbers, by position."""
 
     def __init__(self, sets: list[np.ndarray], similarity: float, table: np.ndarray | None = None):
         self.sets, self.similarity = sets, similarity
@@ -484,29 +500,36 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
     kind = docs.schema[id_col].dataType
     more = [StructField("unit", LongType()), StructField("fp", LongType()), StructField("keys", ArrayType(LongType()))]
     picked = docs.select(named(id_col).alias("id"), named(text_col).cast(StringType()).alias("text"))
-    return picked.mapInArrow(run, StructType([StructField("id", kind), *more])).withColumnRenamed("id", id_col)
+    return picked.mapInArrow(lean(run), StructType([StructField("id", kind), *more])).withColumnRenamed("id", id_col)
 
 
-def sets_of(docs: DataFrame, units: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(unit, hashes) of the sets that are among units(unit): the sorted hashes as bytes, each set once."""
+def sets_of(docs: DataFrame, found: DataFrame, units: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(u2, size, hashes) of the sets that are among units(unit), packed, each set once. found(id_col, unit).
+
+    Only some rows have such a set; while one id for each of them is few enough to broadcast, no other texts are read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = dict(shingle_set(text.as_py(), shingle) for text in batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array([h.tobytes() for h in found.values()], pa.binary())], names=["unit", "hashes"])
+            some = dict(shingle_set(text.as_py(), shingle) for text in batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.int64()), pa.array([packed(h) for h in some.values()], pa.binary())], names=["unit", "hashes"])
 
-    known = docs.select(named(text_col).cast(StringType()).alias("text")).mapInArrow(run, "unit long, hashes binary")
-    return known.join(sized(units, units.count()), "unit", "left_semi").dropDuplicates(["unit"])
+    count, id_ = units.count(), named(id_col)
+    if count <= BROADCAST_ROWS:
+        ids = found.join(F.broadcast(units), "unit", "left_semi").groupBy("unit").agg(F.min(id_).alias("__first")).select("__first").distinct()
+        docs = docs.join(F.broadcast(cut(ids)), id_.eqNullSafe(F.col("__first")), "left_semi")
+    known = docs.select(named(text_col).cast(StringType()).alias("text")).mapInArrow(lean(run), "unit long, hashes binary")
+    known = known.join(sized(units, count), "unit", "left_semi").dropDuplicates(["unit"])
+    return known.select(F.col("unit").alias("u2"), F.length("hashes").cast("long").alias("size"), "hashes")
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, similarity: float, text_col: str, shingle: int, radius: int = WIDE_RADIUS) -> DataFrame:
+def similar_links(docs: DataFrame, found: DataFrame, distinct: DataFrame, similarity: float, id_col: str, text_col: str, shingle: int, radius: int = WIDE_RADIUS) -> DataFrame:
     """distinct(unit, fp, keys), each set of docs once -> (a, b): links of units that span the groups."""
     keys = distinct.select("unit", "fp", F.posexplode("keys").alias("choice", "bits"))
     shared = keys.groupBy("choice", "bits").count().where("count > 1").select(F.col("choice").alias("c2"), F.col("bits").alias("b2"))
     met = cut(keys.join(shared, (F.col("choice") == F.col("c2")) & (F.col("bits") == F.col("b2")), "left_semi"))
-    sets = cut(sets_of(docs, cut(met.select("unit").distinct()), text_col, shingle)).withColumnRenamed("unit", "u2")
-    rows = met.join(sets, F.col("unit") == F.col("u2")).select("choice", "bits", "unit", "fp", "hashes")
-    return shard_links(rows, radius, similarity)
+    sets = cut(sets_of(docs, found, cut(met.select("unit").distinct()), id_col, text_col, shingle))
+    return shard_links(met.select("choice", "bits", "unit", "fp"), radius, similarity, sets)
 
 
 def _units(docs: DataFrame, links: DataFrame, unit: str) -> DataFrame:
@@ -537,7 +560,8 @@ def group_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _similar(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     found = cut(signatures(docs, id_col, text_col, shingle))
     distinct = cut(found.groupBy("unit").agg(F.min(F.struct("fp", "keys")).alias("s")).select("unit", "s.fp", "s.keys"))
-    return found.select(named(id_col), "unit"), cut(similar_links(docs, distinct, similarity, text_col, shingle))
+    found = found.select(named(id_col), "unit")
+    return found, cut(similar_links(docs, found, distinct, similarity, id_col, text_col, shingle))
 
 
 def group_near_duplicates(
