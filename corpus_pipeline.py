@@ -1,4 +1,9 @@
-"""A training-data pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input."""
+"""A training-data pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input.
+
+For every stage: a null text reads as empty; a null doc_id, lang or source is a value of its own; texts of any length are read whole; repeated rows are
+rows each, unless the stage says so; ties are broken by values, never by the order of rows; an empty table gives an empty one; other columns, whatever
+their names and types, stay as they are.
+"""
 
 from __future__ import annotations
 
@@ -8,32 +13,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, secrets, sentencepieces, simhash
-from tidemark.llm.common import drop_folder, shared_folder
+from tidemark.llm.common import bounded_batches, drop_folder, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents whose language can be told; those without a letter, or without a text, go."""
+    bounded_batches(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8), that with the smallest id."""
+    """One document of each group of near-duplicates (sets of five-word shingles, similarity 0.8, linked directly or by others), the one with the smallest
+    id, none last. Different texts under one id are documents each; of rows that repeat an id and a set of shingles one stays."""
+    bounded_batches(spark)
     return simhash.keep_one_each(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced."""
+    """All documents, with secrets in their texts replaced, and n_chars of those that changed; a document is a repository, its source the owner."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it has copies."""
+    """The mix: each document as often as it has copies; rows that repeat an id are drawn together."""
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids): the mix in pieces of the vocabulary."""
-    out = sentencepieces.encode_decode(docs)
+    bounded_batches(spark)
+    out = sentencepieces.encode_decode(docs.select("doc_id", "lang", "source", "text"), keep_text=False)
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
