@@ -185,8 +185,7 @@ class Trees:
         a, b = a[a != b], b[a != b]
         if sets is None:
             return join_groups(root, a, b)
-        near = sets.may_be_similar(a, b)
-        return join_verified(root, a[near], b[near], sets.similar)
+        return join_verified(root, a, b, sets.similar)
 
     def visit(self, values: np.ndarray, shard: np.ndarray, sets: Sets | None = None) -> np.ndarray:
         """For each row the position, in the trees, of a group that it links with, or -1; groups that it links with become one."""
@@ -466,10 +465,10 @@ class Sets:
         return out
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the sets themselves are that similar."""
-        out = np.empty(len(a), dtype=bool)
-        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-            x, y = self.sets[i], self.sets[j]
+        """Whether the sets themselves are that similar, asked where their sketches don't tell that they aren't."""
+        out = self.may_be_similar(a, b)
+        for k in np.flatnonzero(out).tolist():
+            x, y = self.sets[a[k]], self.sets[b[k]]
             both = len(np.intersect1d(x, y, assume_unique=True))
             out[k] = both >= self.similarity * (len(x) + len(y) - both) - 1e-9
         return out
