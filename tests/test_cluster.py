@@ -33,7 +33,7 @@ def run_apart(name, tmp_path):
     return f"{out}/*.parquet"
 
 
-@pytest.mark.parametrize("name", ["slot_lookup", "jdbc_bulk_load"])
+@pytest.mark.parametrize("name", ["slot_lookup", "jdbc_bulk_load", "jdbc_apply"])
 def test_on_a_cluster(duck, tmp_path, name):  # noqa: F811
     made = duck.execute(f"SELECT * FROM '{run_apart(name, tmp_path)}'")
     columns, rows = [c[0] for c in made.description], made.fetchall()
