@@ -125,3 +125,12 @@ def test_byte_limit():
 def test_value_of_null(spark):
     row = one(spark, value("a", F.lit(None).cast("string")))
     assert (row.kind, row.bytes) == ("null", None)
+
+
+def test_chunked_inserts_fill_the_limit(spark):
+    """A statement of exactly max_bytes, semicolon included, is whole; one byte less cuts it."""
+    rows = spark.createDataFrame([(1, i, f"({i})") for i in range(3)], "g int, lsn int, t string")
+    whole = "INSERT INTO t (a) VALUES (0), (1), (2);"
+    made = lambda n: [r.statement for r in coalesce.chunked_inserts(rows, ["g"], F.lit("INSERT INTO t (a)"), F.col("t"), max_bytes=n).orderBy("piece").collect()]
+    assert made(len(whole)) == [whole]
+    assert made(len(whole) - 1) == ["INSERT INTO t (a) VALUES (0), (1);", "INSERT INTO t (a) VALUES (2);"]
