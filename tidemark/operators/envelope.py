@@ -11,6 +11,8 @@ from ..schema import get
 from .mapping import map_schema, table_spec
 
 CONNECTOR, VERSION = "tidemark", "1"
+#: Tables whose learned keys are broadcast, and tasks that a table's rows are dealt to where there are more.
+MOST_TABLES, SALTS = 20_000, 64
 #: The source block's fields: name, type, optional. Fixed values.
 SOURCE_FIELDS = (
     ("version", "string", False), ("connector", "string", False), ("name", "string", False), ("ts_ms", "int64", False), ("db", "string", False),
@@ -52,11 +54,18 @@ def learned_keys(log: DataFrame, configured: Mapping[str, Sequence[str]] | None
     """log with effective_keys: configured ones; else an update's or delete's own; else, for a create, those of the table's
     first update or delete so far.
 
-    Learning needs only each table's first row with keys, so it is an aggregate and a join, not a window over the table.
+    Learning needs only each table's first row with keys, so it is an aggregate and a join, not a window over the table. What is learned is
+    fetched, so that it can be broadcast: a log has few tables, and by a shuffle all rows of a table would meet in one task. Beyond the bound, a
+    table's rows are dealt to SALTS tasks.
     """
     own = F.col("event").isin("u", "d") & (F.size(F.coalesce("key_columns", F.array().cast("array<string>"))) > 0)
     first = log.where(own).groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(order).alias("__since"), F.min_by("key_columns", order).alias("__keys"))
-    out = log.join(first, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], "left")
+    same, known = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by], first.limit(MOST_TABLES + 1).collect()
+    if len(known) <= MOST_TABLES:
+        out = log.join(F.broadcast(log.sparkSession.createDataFrame(known, first.schema)), same, "left")
+    else:
+        dealt = first.withColumn("__n", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        out = log.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")).join(dealt, [*same, F.col("__salt") == F.col("__n")], "left")
     found = F.when(own, F.col("key_columns")).when((F.col("event") == "c") & (F.col("__since") <= F.col(order)), F.col("__keys"))
     if configured:
         pairs = [x for t, cols in sorted(configured.items()) for x in (F.lit(t), F.array(*[F.lit(c) for c in cols]))]
