@@ -242,3 +242,14 @@ def test_the_log_is_read_on_after_errors_and_in_steps():
     reader.transport.left = 99
     with pytest.raises(ConnectionLost):
         list(reader.read(Range(0, 6)))
+
+
+def test_statements_travel_packed(spark, monkeypatch):
+    """Packs keep rows and their order, over partitions and several packs of one, and are far smaller than the texts."""
+    from tidemark.sinks import sql
+
+    monkeypatch.setattr(sql, "PACK", 5000)
+    rows = spark.range(4000).selectExpr("if(id % 7 = 0, null, id) as commit_lsn", "'insert' as kind", "concat('INSERT INTO t VALUES (''é', id, ''');') as statement", "id").repartition(3).orderBy("id").drop("id")
+    packs = sql.packed(rows)
+    assert [tuple(r) for r in sql.unpacked(packs)] == [tuple(r) for r in rows.collect()]
+    assert sum(len(r.pack) for r in packs.collect()) * 5 < sum(len(r.statement) for r in rows.collect())
