@@ -251,3 +251,45 @@ def test_a_large_transaction(spark, tmp_path):
     query = committed(log).writeStream.format("memory").queryName("big").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("big").where(f"commit_lsn = {n + 2}").count() == n
+
+
+def test_a_log_in_several_files_is_read_by_as_many_tasks(spark, tmp_path):
+    from tidemark.sources.replay import JsonTransport
+    from tidemark.sources.wal import LogReader, Range
+
+    folder = tmp_path / "log"
+    folder.mkdir()
+    for i, rows in enumerate((LOG[:6], LOG[6:14], LOG[14:])):  # names don't follow the order
+        write_lines(folder / f"{9 - i}.json", rows, spark)
+    (folder / "_SUCCESS").touch()
+    options = {"transport": "tidemark.sources.replay:JsonTransport", "path": f"file://{folder}"}
+    reader = LogReader(options)
+    assert reader.latestOffset() == {"lsn": 19}
+    parts = reader.partitions({"lsn": 2}, {"lsn": 17})
+    assert [(p.after, p.upto) for p in parts] == [(2, 6), (6, 14), (14, 17)] and reader.partitions({"lsn": 17}, {"lsn": 17}) == []
+    got = [b.to_pylist() for p in parts for b in reader.read(p)]
+    assert [[r["lsn"] for r in b] for b in got] == [[3, 4, 5, 6], list(range(7, 15)), [15, 16, 17]]
+    want = spark.createDataFrame(LOG[2:3], CHANGELOG).toArrow().to_pylist()
+    assert got[0][:1] == want and got[0][1]["commit_ts"].replace(tzinfo=None) == AT
+    opened, lines = [], JsonTransport._lines
+    try:
+        JsonTransport._lines = lambda self, path: (opened.append(r["lsn"]) or r for r in lines(self, path))
+        fresh = JsonTransport(options)
+        assert fresh.latest() == fresh.latest() == 19 and sorted(opened) == [1, 7, 15]  # a file's ends are read, once
+        write_lines(folder / "7.json", LOG[14:17], spark)
+        assert fresh.latest() == 17 and [r[0] for r in fresh.records(13, 16)] == [14, 15, 16]
+    finally:
+        JsonTransport._lines = lines
+    (tmp_path / "long.json").write_text(json.dumps({"lsn": 1}) + "\n" + json.dumps({"lsn": 2, "table": "x" * 300_000}) + "\n\n\n")
+    assert JsonTransport({"path": f"file://{tmp_path}/long.json"}).latest() == 2
+    (tmp_path / "a.json.gz").write_bytes(gzip.compress(b'{"lsn": 4}\n{"lsn": 5}\n'))
+    assert [r[0] for r in JsonTransport({"path": f"file://{tmp_path}/a.json.gz"}).records(4, 9)] == [5]
+    (tmp_path / "none.json").touch()
+    assert JsonTransport({"path": f"file://{tmp_path}/none.json"}).latest() == 0
+    assert [(p.after, p.upto) for p in LogReader({"transport": "tests.log_transport:ListTransport"}).partitions({"lsn": 0}, {"lsn": 4})] == [(0, 4)]
+    with pytest.raises(FileNotFoundError):
+        next(JsonTransport({"path": f"file://{tmp_path}/missing"}).records(0, 9))
+    rows = spark.createDataFrame([row(n, "c", 1, after=text(id=n)) for n in range(2500)], CHANGELOG).toJSON().collect()
+    (tmp_path / "many.json").write_text("\n".join(rows))
+    many = LogReader(options | {"path": f"file://{tmp_path}/many.json"})
+    assert [r["lsn"] for b in many.read(Range(-1, 2400)) for r in b.to_pylist()] == list(range(2401))
