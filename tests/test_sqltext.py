@@ -46,3 +46,29 @@ def test_homogeneous():
 def test_frame(spark):
     files = spark.createDataFrame([("f", "a;b 'x;'"), ("g", None)], "file string, value string")
     assert sorted(tuple(r) for r in S.explode_statements(files).collect()) == [("f", 0, "a"), ("f", 1, "b 'x;'")]
+
+
+def test_pieces_move_the_rows_once(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.coalesce import byte_capped, byte_limit, runs
+    from tidemark.operators.statements import added_cost, opening_cost, parsed, pieces
+
+    kinds = ["DELETE FROM \"o\" WHERE \"id\" = '{}';", "UPDATE \"o\" SET \"p\" = 'x' WHERE \"id\" = '{}';", "UPDATE \"o\" SET \"id\" = 'x' WHERE \"id\" = '{}';", "INSERT INTO o (a) VALUES ('{}')", "COMMIT"]
+    rows = spark.createDataFrame([(tx, n, kinds[n // 40 % 5].format(n)) for tx in (None, 1, 2) for n in range(300)], "tx int, pos long, statement string")
+    made = pieces(rows, packet=1500, max_rows=25, tx="tx", order="pos", keep=[])
+    assert made.columns == ["tx", "pos", "run", "piece"] and made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    alone = F.when((F.col("kind") == "other") | F.col("moves"), F.col("pos"))
+    signature = F.struct("kind", "head", F.when(F.col("kind") == "update", F.col("columns")).alias("c"), F.when(F.col("kind") == "update", F.col("keys")).alias("k"), alone.alias("alone"))
+    slow = byte_capped(runs(parsed(rows), signature, "tx", "pos"), added_cost(), byte_limit(1500), ["tx", "run"], "pos", 25, opening=opening_cost())
+    assert sorted(made.collect(), key=repr) == sorted(slow.select("tx", "pos", "run", "piece").collect(), key=repr)
+    assert pieces(rows, tx="tx", order="pos").columns == [*slow.drop("run", "piece").columns, "run", "piece"]
+
+
+def test_plain_statements_are_read_like_others():
+    from tidemark.operators.statements import _plain_parts, statement_parts
+
+    for plain, other in (("DELETE FROM [a b] WHERE [id] = 'x;y' AND `n` = -1;", "DELETE  FROM [a b] WHERE [id] = 'x;y' AND `n` = -1;"), ('UPDATE "s"."o" SET "p" = NULL, "id" = 2 WHERE "id" = 1', 'UPDATE  "s"."o" SET "p" = NULL, "id" = 2 WHERE "id" = 1')):
+        assert _plain_parts(other) is None and _plain_parts(plain) == statement_parts(other) and statement_parts(plain)["keys"]
+    for odd in ("DELETE FROM \"o\" WHERE \"id\" = 'it''s'", 'DELETE FROM "o" WHERE "id" = NULL', 'DELETE FROM "o" WHERE "id" = 1 OR "id" = 2', 'DELETE FROM "a""b" WHERE "id" = 1'):
+        assert _plain_parts(odd) is None

@@ -208,7 +208,7 @@ def byte_cap_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates put into one statement as long as four fifths of a packet of 2,000 bytes hold them."""
     text = _text("UPDATE \"o\" SET \"p\" = '{p}', \"c\" = '{c}' WHERE \"id\" = '{k}';", p=F.col("o_orderpriority"), c=F.col("o_custkey").cast("string"), k=F.col("k"))
     rows = _orders(spark, sf_dir).select((F.col("o_custkey") % 50).alias("tx"), F.col("o_orderkey").alias("pos"), text.alias("statement"))
-    return statements.pieces(rows, packet=2000, tx="tx", order="pos").select("tx", "pos", "piece")
+    return statements.pieces(rows, packet=2000, tx="tx", order="pos", keep=[]).select("tx", "pos", "piece")
 
 
 @query(
@@ -220,7 +220,7 @@ def byte_cap_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for deletions; a small packet still leaves 1,024 bytes."""
     text = _text("DELETE FROM \"o\" WHERE \"id\" = '{k}';", k=F.col("k"))
     rows = _orders(spark, sf_dir).select((F.col("o_custkey") % 50).alias("tx"), F.col("o_orderkey").alias("pos"), text.alias("statement"))
-    return statements.pieces(rows, packet=500, tx="tx", order="pos").select("tx", "pos", "piece")
+    return statements.pieces(rows, packet=500, tx="tx", order="pos", keep=[]).select("tx", "pos", "piece")
 
 
 @query(
