@@ -72,3 +72,13 @@ def test_plain_statements_are_read_like_others():
         assert _plain_parts(other) is None and _plain_parts(plain) == statement_parts(other) and statement_parts(plain)["keys"]
     for odd in ("DELETE FROM \"o\" WHERE \"id\" = 'it''s'", 'DELETE FROM "o" WHERE "id" = NULL', 'DELETE FROM "o" WHERE "id" = 1 OR "id" = 2', 'DELETE FROM "a""b" WHERE "id" = 1'):
         assert _plain_parts(odd) is None
+
+
+def test_texts_reach_workers_in_pieces(spark):
+    long = ["x" * n + "ä€𝄞;y'" for n in range(S.PIECE - 12, S.PIECE + 2)]
+    texts = [";".join(f"'{t.replace(chr(39), chr(39) * 2)}'" for t in long), "a;" * (S.STATEMENTS + 5), "", None, " ; ", "z" * S.PIECE, "b" * (S.PIECE - 1) + ";"]
+    files = spark.createDataFrame(list(enumerate(texts)), "file int, value string").coalesce(1)
+    made = S.explode_statements(files)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Generate")  # what a worker gets is cut already
+    assert made.columns == ["file", "pos", "statement"] and sorted(tuple(r) for r in made.collect()) == [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(S.split_statements(t or ""))]
