@@ -253,6 +253,36 @@ def test_a_large_transaction(spark, tmp_path):
     assert spark.table("big").where(f"commit_lsn = {n + 2}").count() == n
 
 
+def test_transactions_that_end_in_their_batch_dont_reach_the_state_store(spark, tmp_path):
+    ids = spark.range(300).select((F.col("id") * 10 + 1).alias("lsn"), F.lit(0).alias("seq"), F.col("id").alias("tx_id"), F.lit("begin").alias("event"))
+    make = lambda event, by: ids.withColumns({"lsn": F.col("lsn") + by, "event": F.lit(event)})
+    ids.union(make("c", 1)).union(make("u", 2)).union(make("commit", 3)).coalesce(1).write.json(str(tmp_path / "in"))
+    log = spark.readStream.schema(CHANGELOG).json(str(tmp_path / "in"))
+    query = committed(log).writeStream.format("memory").queryName("whole").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("whole").where("commit_lsn = tx_id * 10 + 4").count() == 600
+    assert [s["numRowsUpdated"] for p in query.recentProgress for s in p["stateOperators"]] == [0]
+
+
+@pytest.mark.parametrize("held", [1, 32 << 20])
+def test_parts_in_the_state_store(spark, tmp_path, held):
+    """Transactions over three batches, with changes put off in the middle of a batch, and sub-transactions that a double can't tell apart."""
+    big, late = 2**53, datetime(2024, 3, 1)
+    batches = [
+        [row(1, "begin", 1), row(2, "c", 1, big), row(3, "c", 1, big + 1), row(4, "begin", 2), row(5, "c", 2), row(6, "begin", 3), row(7, "c", 3), row(8, "c", 4)],
+        [row(9, "c", 1), row(10, "stream_abort", 1, big), row(11, "c", 2), row(12, "begin", 3), row(13, "c", 3), row(14, "c", 3, 5), row(15, "stream_abort", 3, 5)],
+        [row(16, "c", 1, big), row(17, "commit", 1), row(18, "stream_abort", 2), row(19, "c", 3), row(20, "commit", 3), row(21, "c", 4), row(22, "begin", 5), row(23, "c", 5), row(24, "commit", 5)],
+        [row(25, "c", 1), row(26, "commit", 1), row(27, "c", 2), (28, 0, 2, None, None, late, "commit", *[None] * 8)],
+    ]
+    (folder := tmp_path / "in").mkdir()
+    for i, rows in enumerate(batches):
+        write_lines(folder / f"{i}.json", rows, spark)
+        log = committed(spool.stream_events(spark, str(folder)), held)
+        log.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.lsn, r.tx_id, r.commit_lsn, r.commit_ts) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(3, 1, 17, AT), (9, 1, 17, AT), (13, 3, 20, AT), (19, 3, 20, AT), (23, 5, 24, AT), (25, 1, 26, AT), (27, 2, 28, late)]
+
+
 def test_a_log_in_several_files_is_read_by_as_many_tasks(spark, tmp_path):
     from tidemark.sources.replay import JsonTransport
     from tidemark.sources.wal import LogReader, Range
